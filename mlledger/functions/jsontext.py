@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -37,14 +37,19 @@ def canonical_stage(stage: Column | str, params: Column | str) -> Column:
     return F.when(is_teardown(params), F.lit("teardown")).otherwise(_col(stage))
 
 
-def literal_type(variant: Column | str) -> Column:
-    """int, float, bool, null, text, or nested for a parsed JSON value."""
-    kind = F.schema_of_variant(_col(variant))
-    return (
-        F.when(kind == "BIGINT", F.lit("int"))
-        .when(kind.startswith("DECIMAL") | (kind == "DOUBLE"), F.lit("float"))
-        .when(kind == "BOOLEAN", F.lit("bool"))
-        .when(kind == "VOID", F.lit("null"))
-        .when(kind == "STRING", F.lit("text"))
-        .otherwise(F.lit("nested"))
+def with_literal_type(df: DataFrame, variant: Column | str, out: str = "type") -> DataFrame:
+    """Add int, float, bool, null, text, or nested for a parsed JSON value; null if unparsed.
+
+    The schema text is a column of its own, so that each value is inspected once.
+    """
+    kind = F.col("_kind")
+    name = (
+        F.when(kind == "BIGINT", "int")
+        .when(kind.startswith("DECIMAL") | (kind == "DOUBLE"), "float")
+        .when(kind == "BOOLEAN", "bool")
+        .when(kind == "VOID", "null")
+        .when(kind == "STRING", "text")
+        .when(kind.isNotNull(), "nested")
     )
+    typed = df.withColumn("_kind", F.schema_of_variant(_col(variant)))
+    return typed.withColumn(out, name).drop("_kind")

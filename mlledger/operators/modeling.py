@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.feature import VectorAssembler
@@ -12,9 +13,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from mlledger.operators.params import DEFAULT_PATIENCE, DEFAULT_ROUNDS, DEFAULTS
-from mlledger.schemas import FEATURES, ROW_ID, SEED, TARGET
+from mlledger.schemas import FEATURES, ROW_ID, SEED, TARGET, fixed_table
 from mlledger.session import shared_root
 
+FIRST_ROUNDS = 64
 BASELINE_TREES = 100
 BASELINE_LIMIT = 10.0
 
@@ -75,8 +77,9 @@ def train(
 ) -> Trained:
     """Boosted trees, cut at the best round on the validation rows.
 
-    data has the gold columns and `split`. A shorter fit is an exact prefix of a longer one, so
-    the final model is a second fit with the best number of rounds.
+    data has the gold columns and `split`. A shorter fit is an exact prefix of a longer one. So
+    the number of rounds doubles until the best round lies `patience` behind the last one, which
+    avoids most rounds past the best, and the final model is one more fit with the best number.
     """
     params = {**DEFAULTS, **(overrides or {})}
     sc = data.sparkSession.sparkContext
@@ -85,15 +88,22 @@ def train(
     assembler = _assembler()
     laid_out = stable_layout(data.filter(F.col("split") == "train"), partitions)
     fit_rows = assembler.transform(laid_out).select("features", TARGET).persist()
-    valid_rows = assembler.transform(data.filter(F.col("split") == "valid"))
+    held_out = assembler.transform(data.filter(F.col("split") == "valid"))
+    valid_rows = held_out.select("features", TARGET).persist()
     try:
-        model = _gbt(params, seed, rounds).fit(fit_rows)
-        losses = model.evaluateEachIteration(valid_rows.select("features", TARGET), "squared")
-        best = best_round(list(losses), patience)
-        if best < rounds:
+        fitted = min(rounds, FIRST_ROUNDS)
+        while True:
+            model = _gbt(params, seed, fitted).fit(fit_rows)
+            losses = list(model.evaluateEachIteration(valid_rows, "squared"))
+            best = best_round(losses, patience)
+            if best + patience <= fitted or fitted == rounds:
+                break
+            fitted = min(rounds, 2 * fitted)
+        if best < fitted:
             model = _gbt(params, seed, best).fit(fit_rows)
     finally:
         fit_rows.unpersist()
+        valid_rows.unpersist()
     return Trained(PipelineModel([assembler, model]), best)
 
 
@@ -138,9 +148,7 @@ def feature_importance(nodes: DataFrame, features: list[str] = FEATURES) -> Data
     used = inner.groupBy(node["split"]["featureIndex"].alias("feature_no")).agg(
         F.sum(node["gain"]).alias("gain"), F.count("*").alias("split")
     )
-    names = nodes.sparkSession.createDataFrame(
-        list(enumerate(features)), "feature_no int, feature string"
-    )
+    names = fixed_table(nodes.sparkSession, ["feature_no", "feature"], list(enumerate(features)))
     return (
         names.join(used, "feature_no", "left")
         .fillna(0, ["gain", "split"])
@@ -172,25 +180,24 @@ def payload_instances(requests: DataFrame, features: list[str] = FEATURES) -> Da
     A body that is no such object, an empty list, or an instance without a feature gives a row
     with `error` and no features. request_id names one request.
     """
-    items = F.from_json(
-        F.get_json_object("body", "$.instances"), "array<map<string,string>>"
-    )
-    base = requests.select("request_id", items.alias("instances"))
-    rows = base.select("request_id", F.posexplode_outer("instances").alias("position", "instance"))
-    lacking = F.array_compact(
-        F.array(*[F.when(F.col("instance")[c].isNull(), F.lit(c)) for c in features])
+    fields = ", ".join(f"{c}: string" for c in features)
+    parsed = F.from_json("body", f"instances array<struct<{fields}>>")
+    rows = requests.select("request_id", parsed["instances"].alias("instances")).select(
+        "request_id", F.posexplode_outer("instances").alias("position", "instance")
     )
-    unusable = F.col("instance").isNull()
-    error = F.when(unusable, F.lit("no instances")).when(
-        F.size(lacking) > 0,
-        F.concat(F.lit("missing features: "), F.array_join(lacking, ", ")),
+    texts = [F.col("instance")[c].alias(c) for c in features]
+    numbers = [F.col(c).try_cast("double").alias(c) for c in features]
+    lacking = F.concat_ws(", ", *[F.when(F.col(c).isNull(), F.lit(c)) for c in features])
+    flat = rows.select(
+        "request_id", "position", F.col("position").isNull().alias("empty"), *texts
+    ).select("request_id", "position", "empty", lacking.alias("lacking"), *numbers)
+    no_number = reduce(lambda a, b: a | b, [F.col(c).isNull() for c in features])
+    error = (
+        F.when(F.col("empty"), "no instances")
+        .when(F.col("lacking") != "", F.concat(F.lit("missing features: "), "lacking"))
+        .when(no_number, "feature is no number")
     )
-    numbers = [F.col("instance")[c].try_cast("double").alias(c) for c in features]
-    flat = rows.select("request_id", "position", error.alias("error"), *numbers)
-    bad = F.lit(False)
-    for c in features:
-        bad = bad | F.col(c).isNull()
-    return flat.withColumn("error", F.coalesce("error", F.when(bad, "feature is no number")))
+    return flat.select("request_id", "position", error.alias("error"), *features)
 
 
 def score_payloads(model: PipelineModel, requests: DataFrame) -> DataFrame:

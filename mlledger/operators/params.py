@@ -8,7 +8,7 @@ from typing import Any
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from mlledger.functions.jsontext import literal_type
+from mlledger.functions.jsontext import with_literal_type
 
 # Parameters of the runner, which the learner does not get.
 RUNNER_KEYS = ["seed", "num_boost_round", "early_stopping_rounds"]
@@ -32,18 +32,15 @@ def typed_params(params: DataFrame, column: str = "params") -> DataFrame:
     A text that is a JSON literal gets that literal's type and value; any other text stays text.
     """
     others = [c for c in params.columns if c != column]
-    parsed = F.try_parse_json("text")
-    kind = (
-        F.when(F.col("text").isin(_EXTRA_NUMBERS), F.lit("float"))
-        .when(parsed.isNull(), F.lit("text"))
-        .otherwise(literal_type(parsed))
+    flat = params.select(*others, F.explode(column).alias("key", "text"))
+    parsed = with_literal_type(flat.withColumn("parsed", F.try_parse_json("text")), "parsed")
+    kind = F.when(F.col("text").isin(_EXTRA_NUMBERS), "float").otherwise(
+        F.coalesce("type", F.lit("text"))
     )
-    value = F.when(
-        kind == "text", F.coalesce(parsed.cast("string"), F.col("text"))
-    ).otherwise(F.col("text"))
-    return params.select(*others, F.explode(column).alias("key", "text")).select(
-        *others, "key", kind.alias("type"), value.alias("value")
+    value = F.when(F.col("type") == "text", F.col("parsed").cast("string")).otherwise(
+        F.col("text")
     )
+    return parsed.select(*others, "key", kind.alias("type"), value.alias("value"))
 
 
 def runner_params(params: Column | str) -> Column:

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from mlledger.functions.classify import in_lab, missing_object, parent_absent
-from mlledger.schemas import INFRA_SCHEMA, platform_dim
+from mlledger.schemas import INFRA_SCHEMA, fixed_table, platform_dim
 
 # What is checked per platform. Columns: platform, kind, severity, whether only
 # names with the lab's prefix count, the state that counts (null: any), and the URI scheme of a
@@ -37,16 +37,13 @@ FAIL_SAFE = ("snowflake", "fail_safe", "WARN", 1, "fail-safe cannot be switched
 FAIL_SAFE_ITEM = "7 days"
 
 PAGE_ROWS = 1_000
-_FINDING = "platform string, kind string, severity string, item_count long, note string"
+_FINDING = ["platform", "kind", "severity", "item_count", "note"]
 
 
 def rules(spark: SparkSession) -> DataFrame:
     """The rule table: twenty fixed rows, so always safe to broadcast."""
-    schema = (
-        "platform string, kind string, severity string, named boolean, "
-        "wanted_state string, scheme string"
-    )
-    return spark.createDataFrame(RULES, schema)
+    columns = ["platform", "kind", "severity", "named", "wanted_state", "scheme"]
+    return fixed_table(spark, columns, RULES)
 
 
 def nonempty_containers(containers: DataFrame, objects: DataFrame) -> DataFrame:
@@ -139,8 +136,8 @@ def findings(checked: DataFrame) -> DataFrame:
             F.when(broken, F.col("problem")).alias("note"),
         )
     )
-    fixed = checked.sparkSession.createDataFrame([FAIL_SAFE], _FINDING)
-    return rows.unionByName(fixed)
+    fixed = fixed_table(checked.sparkSession, _FINDING, [FAIL_SAFE])
+    return rows.unionByName(fixed.withColumn("item_count", F.col("item_count").cast("long")))
 
 
 def items(checked: DataFrame) -> DataFrame:

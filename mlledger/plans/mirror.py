@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from mlledger.functions.jsontext import literal_type, or_empty_object
+from mlledger.functions.jsontext import or_empty_object, with_literal_type
 
 # What the tracker accepts and how it names states.
 NAME_CHARS = 128
@@ -27,11 +27,12 @@ def run_name() -> Column:
 
 def _entries(runs: DataFrame, kind: str, json: str) -> DataFrame:
     """JSON members as typed entries: numbers stay numbers, everything else becomes text."""
-    members = runs.select(
+    exploded = runs.select(
         "run_name",
         "state",
         F.explode(F.from_json(or_empty_object(json), "map<string,variant>")).alias("key", "v"),
-    ).withColumn("type", literal_type("v"))
+    )
+    members = with_literal_type(exploded, "v")
     number = F.col("type").isin("int", "float")
     text = (
         F.when(F.col("type") == "bool", F.initcap(F.col("v").cast("string")))

@@ -135,11 +135,21 @@ RUN_DOMAINS = {
 }
 
 
+def fixed_table(spark: SparkSession, columns: list[str], rows: list[tuple]) -> DataFrame:
+    """A few fixed rows as an inline SQL table, whose size the optimizer knows."""
+
+    def literal(value: object) -> str:
+        if value is None:
+            return "NULL"
+        return f"'{value}'" if isinstance(value, str) else str(value)
+
+    values = ", ".join("(" + ", ".join(literal(v) for v in row) + ")" for row in rows)
+    return spark.sql(f"SELECT * FROM VALUES {values} AS fixed({', '.join(columns)})")
+
+
 def platform_dim(spark: SparkSession) -> DataFrame:
     """platform → tier, unification_unit. Five fixed rows, so always safe to broadcast."""
-    return spark.createDataFrame(
-        PLATFORM_ROWS, "platform string, tier string, unification_unit string"
-    )
+    return fixed_table(spark, ["platform", "tier", "unification_unit"], PLATFORM_ROWS)
 
 
 def uuid_shaped(column: Column | str) -> Column:

@@ -15,7 +15,9 @@ from mlledger.schemas import FAILURE_CLASSES, RUN_DOMAINS, RUN_LINE_SCHEMA
 
 # Fixed value: name of the fallback file; Spark's own appends are called part-*.json.
 LINE_FILES = "{ml_runs.jsonl,part-*.json}"
-MANIFEST_FILE = "run.json"
+# Fixed value: a manifest is a file run.json, or a folder of that name as Spark writes it.
+MANIFEST_FILES = "{run.json,part-*.txt}"
+_MANIFEST_PATH = r"/run\.json(/part-[^/]*)?$"
 
 _CORRUPT = T.StructField("_corrupt_record", T.StringType())
 
@@ -94,14 +96,13 @@ def rejected_lines(lines: DataFrame) -> DataFrame:
 
 def read_manifests(spark: SparkSession, folder: str) -> DataFrame:
     """One row per run.json below a folder; broken or non-object files give an empty manifest."""
+    path = F.col("_metadata.file_path")
     files = (
         spark.read.option("recursiveFileLookup", "true")
-        .option("pathGlobFilter", MANIFEST_FILE)
+        .option("pathGlobFilter", MANIFEST_FILES)
         .text(folder, wholetext=True)
-        .select(
-            F.regexp_replace(F.col("_metadata.file_path"), "/[^/]*$", "").alias("output_dir"),
-            F.col("value"),
-        )
+        .filter(path.rlike(_MANIFEST_PATH))
+        .select(F.regexp_replace(path, _MANIFEST_PATH, "").alias("output_dir"), "value")
     )
     return parse_manifests(files)
 
