@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from mlledger.functions.classify import error_excerpt, exit_failure_class, exit_status
 from mlledger.functions.jsontext import has_key, or_empty_object, text_of
 from mlledger.operators.exact import first_per_key
-from mlledger.schemas import RUN_SCHEMA, platform_dim
+from mlledger.schemas import PLATFORM_ROWS, RUN_SCHEMA
 
 # Params keys that hand a value to the next stage; earlier model keys win.
 ARTIFACT_KEY = "model_artifact_uri"
@@ -16,8 +16,17 @@ MODEL_KEYS = ["model_resource_name", "model_version", "model_package_arn"]
 
 
 def with_platform(df: DataFrame) -> DataFrame:
-    """Add tier and unification_unit. The dimension has five fixed rows."""
-    return df.join(F.broadcast(platform_dim(df.sparkSession)), "platform")
+    """Add tier and unification_unit.
+
+    The dimension has five fixed rows, so the lookup is an expression in the projection: no
+    join, nothing to broadcast, and pruned where it is unused. An unknown platform keeps its row
+    with nulls, which the domain checks report.
+    """
+    tiers = F.create_map(*[F.lit(v) for p, tier, _ in PLATFORM_ROWS for v in (p, tier)])
+    units = F.create_map(*[F.lit(v) for p, _, unit in PLATFORM_ROWS for v in (p, unit)])
+    return df.withColumns(
+        {"tier": tiers[F.col("platform")], "unification_unit": units[F.col("platform")]}
+    )
 
 
 def stamp_created(df: DataFrame) -> DataFrame:

@@ -175,49 +175,53 @@ def score(model: PipelineModel, df: DataFrame) -> DataFrame:
 
 
 def payload_instances(requests: DataFrame, features: list[str] = FEATURES) -> DataFrame:
-    """Explode {"instances": [{...}]} bodies: request_id, position, features, error.
+    """Explode {"instances": [{...}]} bodies: request_no, request_id, position, error, features.
 
     A body that is no such object, an empty list, or an instance without a feature gives a row
-    with `error` and no features. request_id names one request.
+    with `error`. request_no tells apart requests that share an id.
     """
     fields = ", ".join(f"{c}: string" for c in features)
     parsed = F.from_json("body", f"instances array<struct<{fields}>>")
-    rows = requests.select("request_id", parsed["instances"].alias("instances")).select(
-        "request_id", F.posexplode_outer("instances").alias("position", "instance")
+    ids = ["request_no", "request_id"]
+    numbered = requests.withColumn("request_no", F.monotonically_increasing_id())
+    rows = numbered.select(*ids, parsed["instances"].alias("instances")).select(
+        *ids, F.posexplode_outer("instances").alias("position", "instance")
     )
     texts = [F.col("instance")[c].alias(c) for c in features]
     numbers = [F.col(c).try_cast("double").alias(c) for c in features]
     lacking = F.concat_ws(", ", *[F.when(F.col(c).isNull(), F.lit(c)) for c in features])
     flat = rows.select(
-        "request_id", "position", F.col("position").isNull().alias("empty"), *texts
-    ).select("request_id", "position", "empty", lacking.alias("lacking"), *numbers)
+        *ids, "position", F.col("position").isNull().alias("empty"), *texts
+    ).select(*ids, "position", "empty", lacking.alias("lacking"), *numbers)
     no_number = reduce(lambda a, b: a | b, [F.col(c).isNull() for c in features])
     error = (
         F.when(F.col("empty"), "no instances")
         .when(F.col("lacking") != "", F.concat(F.lit("missing features: "), "lacking"))
         .when(no_number, "feature is no number")
     )
-    return flat.select("request_id", "position", error.alias("error"), *features)
+    return flat.select(*ids, "position", error.alias("error"), *features)
 
 
 def score_payloads(model: PipelineModel, requests: DataFrame) -> DataFrame:
-    """request_id, position, prediction, error: the answer of every instance as a row.
+    """request_no, request_id, position, prediction, error: every instance's answer as a row.
 
-    One bad instance fails its whole request, as one answer covers all of its instances.
+    Unusable instances pass through the model with zeros, so the payloads are read and parsed
+    once; their prediction is then removed.
     """
-    instances = payload_instances(requests)
-    good = score(model, instances.filter(F.col("error").isNull()))
-    bad = instances.filter(F.col("error").isNotNull()).withColumn(
-        "prediction", F.lit(None).cast("double")
+    scored = score(model, payload_instances(requests).fillna(0.0, FEATURES))
+    prediction = F.when(F.col("error").isNull(), F.col("prediction"))
+    return scored.select(
+        "request_no", "request_id", "position", prediction.alias("prediction"), "error"
     )
-    columns = ["request_id", "position", "prediction", "error"]
-    return good.select(*columns).unionByName(bad.select(*columns))
 
 
 def payload_answers(scored: DataFrame) -> DataFrame:
-    """request_id, predictions, error: one answer per request, no longer than its body was."""
+    """request_id, predictions, error: one answer per request, no longer than its body was.
+
+    One bad instance fails its whole request, as one answer covers all of its instances.
+    """
     pair = F.struct("position", "prediction")
-    answers = scored.groupBy("request_id").agg(
+    answers = scored.groupBy("request_no", "request_id").agg(
         F.array_sort(F.collect_list(pair)).alias("pairs"), F.min("error").alias("error")
     )
     predictions = F.when(F.col("error").isNull(), F.col("pairs.prediction"))

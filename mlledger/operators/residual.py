@@ -76,7 +76,8 @@ def judged(inventory: DataFrame, objects: DataFrame, prefix: str) -> DataFrame:
     """Inventory rows under their rule, with `item` (null: does not count) and `problem`.
 
     A failed listing is a row with error_text. If the parent is gone there is nothing below it,
-    so `problem` is then empty; any other error is kept as text.
+    so `problem` is then empty; any other error is kept as text. Rows with neither are left out,
+    which leaves a small table; a job that needs findings and items keeps it with `durable`.
     """
     ruled = inventory.join(F.broadcast(rules(inventory.sparkSession)), ["platform", "kind"])
     held = objects.select("platform", "name").distinct().withColumn("_held", F.lit(True))
@@ -100,44 +101,50 @@ def judged(inventory: DataFrame, objects: DataFrame, prefix: str) -> DataFrame:
     gone = parent_absent("error_text") | (
         (F.col("kind") == "uc_volume") & missing_object("error_text")
     )
+    problem = F.when(gone, "").otherwise(F.col("error_text"))
     return rows.select(
         "platform",
         "kind",
         "severity",
         F.when(counts, text).alias("item"),
-        F.when(F.col("error_text").isNotNull(), F.when(gone, "").otherwise(F.col("error_text")))
-        .alias("problem"),
-    )
+        F.when(F.col("error_text").isNotNull(), problem).alias("problem"),
+    ).filter(F.col("item").isNotNull() | F.col("problem").isNotNull())
 
 
 def _verdicts(checked: DataFrame) -> DataFrame:
-    """One row per (platform, kind): a failed listing voids the items of its kind."""
-    failed = F.max("problem")
-    return checked.groupBy("platform", "kind", "severity").agg(
-        F.count("item").alias("items"), failed.alias("problem")
+    """platform, kind, severity, items, problem: one row per rule at most, so twenty.
+
+    The problem text is first a grouping key, which keeps the pass over all rows a hash
+    aggregate; only its few results are then reduced to one text per kind.
+    """
+    keys = ["platform", "kind", "severity"]
+    tallies = checked.groupBy(*keys, "problem").agg(F.count("item").alias("items"))
+    return tallies.groupBy(*keys).agg(
+        F.sum("items").alias("items"), F.max("problem").alias("problem")
     )
 
 
 def findings(checked: DataFrame) -> DataFrame:
     """platform, kind, severity, item_count, note; kinds without residue give no row.
 
-    Unreadable listings become ERROR findings, and the fixed fail-safe row is always there.
+    A failed listing voids the items of its kind and becomes an ERROR finding, unless its parent
+    is gone. The fixed fail-safe row is always there.
     """
     broken = F.coalesce(F.col("problem") != "", F.lit(False))
-    found = F.col("problem").isNull() & (F.col("items") > 0)
-    rows = (
+    left = F.col("problem").isNull() & (F.col("items") > 0)
+    found = (
         _verdicts(checked)
-        .filter(broken | found)
+        .filter(broken | left)
         .select(
             "platform",
             "kind",
             F.when(broken, "ERROR").otherwise(F.col("severity")).alias("severity"),
-            F.when(broken, F.lit(0)).otherwise(F.col("items")).cast("long").alias("item_count"),
+            F.when(broken, 0).otherwise(F.col("items")).alias("item_count"),
             F.when(broken, F.col("problem")).alias("note"),
         )
     )
     fixed = fixed_table(checked.sparkSession, _FINDING, [FAIL_SAFE])
-    return rows.unionByName(fixed.withColumn("item_count", F.col("item_count").cast("long")))
+    return found.unionByName(fixed.withColumn("item_count", F.col("item_count").cast("long")))
 
 
 def items(checked: DataFrame) -> DataFrame:
@@ -145,16 +152,15 @@ def items(checked: DataFrame) -> DataFrame:
 
     This is the unbounded part of a finding, so it stays in rows; findings carry its size.
     """
-    void = (
-        checked.filter(F.col("problem").isNotNull()).select("platform", "kind").distinct()
-    )
+    keys = ["platform", "kind", "severity"]
     counted = (
         checked.filter(F.col("item").isNotNull())
-        .groupBy("platform", "kind", "severity", "item")
+        .groupBy(*keys, "item")
         .agg(F.count("*").alias("copies"))
     )
+    failed = checked.filter(F.col("problem").isNotNull()).select(*keys).distinct()
     # At most one row per rule, and there are twenty rules.
-    return counted.join(F.broadcast(void), ["platform", "kind"], "left_anti")
+    return counted.join(F.broadcast(failed), keys, "left_anti")
 
 
 def item_pages(item_rows: DataFrame, page_rows: int = PAGE_ROWS) -> DataFrame:

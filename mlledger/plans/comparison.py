@@ -18,7 +18,7 @@ from mlledger.functions.jsontext import (
 )
 from mlledger.operators.exact import number_within
 from mlledger.schemas import PLATFORMS, STAGES, platform_dim
-from mlledger.sources.ledger_files import union_all
+from mlledger.session import durable
 
 # Fixed value: end of the first measured campaign (UTC).
 CAMPAIGN_END = "2026-08-01 15:00:00"
@@ -54,10 +54,12 @@ def metric_parity(runs: DataFrame) -> DataFrame:
     """Whether all platforms report the same RMSE. Not grouped by revision on purpose.
 
     Revisions are counted here and listed as rows by `parity_revisions`, since their number
-    grows with the ledger; the platform list has five entries at most.
+    grows with the ledger; the platform list has five entries at most. The runs are reduced to
+    their distinct combinations first, as several distinct counts multiply their input.
     """
     number = F.col("rmse").try_cast("double")
-    return _measured(runs).agg(
+    values = _measured(runs).select("platform", "rmse", "code_revision").distinct()
+    return values.agg(
         F.count_distinct("platform").alias("platforms"),
         F.count_distinct("rmse").alias("distinct_rmse"),
         F.min("rmse").alias("rmse_min"),
@@ -182,56 +184,74 @@ def ordered(report: DataFrame, name: str) -> DataFrame:
     return report.orderBy(*[c for c, _ in keys], ascending=[up for _, up in keys])
 
 
-def _axis(df: DataFrame, name: str, value: str) -> DataFrame:
-    return df.select(
-        F.lit(name).alias("axis"), "platform", F.col(value).cast("string").alias("value")
+def _run_cells(runs: DataFrame) -> DataFrame:
+    """Run counts and seconds per combination of the fixed domains: one scan, few rows.
+
+    Several axes read them, so they are computed once.
+    """
+    return durable(
+        runs.groupBy(
+            "platform",
+            canonical_stage("stage", "params").alias("stage"),
+            is_teardown("params").alias("torn_down"),
+            "status",
+            "failure_class",
+            "write_path",
+        ).agg(
+            F.count("*").alias("n"),
+            F.sum(F.col("duration_seconds").cast(_SECONDS)).alias("seconds"),
+        )
     )
 
 
 def selection_matrix(runs: DataFrame, infra: DataFrame) -> DataFrame:
-    """Axes by platforms. Every input is aggregated to a few rows per platform first."""
-    tries = friction(runs).withColumn(
-        "fixes", F.greatest(F.col("attempts_until_success") - 1, F.lit(0))
+    """Axes by platforms; every input is a few aggregated rows per platform."""
+    cells = _run_cells(runs)
+    live = cells.filter(~F.col("torn_down"))
+    fixes = friction(runs).groupBy("platform").agg(
+        F.sum(F.greatest(F.col("attempts_until_success") - 1, F.lit(0))).alias("fixes")
     )
-    fixes = tries.groupBy("platform").agg(F.sum("fixes").alias("fixes"))
     failures = (
-        failure_mix(runs)
+        live.filter(F.col("status") == "failure")
         .groupBy("platform", "failure_class")
-        .agg(F.sum("failures").alias("n"))
-        .withColumn("text", F.concat_ws(" ", "failure_class", "n"))
+        .agg(F.sum("n").alias("n"))
         .groupBy("platform")
-        .agg(F.array_join(F.array_sort(F.collect_list("text")), " / ").alias("mix"))
+        .agg(F.array_sort(F.collect_list(F.concat_ws(" ", "failure_class", "n"))).alias("mix"))
     )
-    paths = (
-        write_paths(runs)
-        .groupBy("platform")
-        .agg(F.array_join(F.array_sort(F.collect_set("write_path")), " / ").alias("paths"))
+    paths = live.groupBy("platform").agg(F.array_sort(F.collect_set("write_path")).alias("paths"))
+    trained = cells.filter((F.col("stage") == "train") & (F.col("status") == "success"))
+    train = trained.groupBy("platform").agg(
+        F.round(F.sum("seconds") / F.sum("n"), 1).cast("double").alias("train_seconds")
     )
-    train = stage_durations(runs).filter(F.col("stage") == "train")
-    ops = infra_friction(infra)
-    left = (
-        teardown_quality(infra)
-        .groupBy("platform")
-        .agg(F.max("finding_count").alias("findings"))
+    found = array_size("residual_resources", "findings")
+    destroyed = F.col("action") == "destroy"
+    ops = infra.groupBy("platform").agg(
+        F.count_if(F.col("action") == "apply").alias("applies"),
+        F.count_if(destroyed).alias("destroys"),
+        F.max(F.when(destroyed, found)).alias("findings"),
     )
-    dim = platform_dim(runs.sparkSession)
+    wide = platform_dim(runs.sparkSession)
+    for part in [fixes, failures, paths, train, ops]:
+        wide = wide.join(part, "platform", "left")
+    axes = {
+        "tier": F.concat_ws(" / ", "tier", "unification_unit"),
+        "fixes until success": F.col("fixes"),
+        "failure classes": F.array_join("mix", " / "),
+        "write path": F.array_join("paths", " / "),
+        "train seconds": F.col("train_seconds"),
+        "apply tries": F.col("applies"),
+        "destroy tries": F.col("destroys"),
+        "most findings": F.col("findings"),
+    }
+    entries = [
+        F.struct(F.lit(name).alias("axis"), value.cast("string").alias("value"))
+        for name, value in axes.items()
+    ]
     return (
-        union_all(
-            [
-                _axis(dim.withColumn("unit", F.concat_ws(" / ", "tier", "unification_unit")),
-                      "tier", "unit"),
-                _axis(fixes, "fixes until success", "fixes"),
-                _axis(failures, "failure classes", "mix"),
-                _axis(paths, "write path", "paths"),
-                _axis(train, "train seconds", "avg_seconds"),
-                _axis(ops.filter("action = 'apply'"), "apply tries", "attempts"),
-                _axis(ops.filter("action = 'destroy'"), "destroy tries", "attempts"),
-                _axis(left, "most findings", "findings"),
-            ]
-        )
-        .groupBy("axis")
+        wide.select("platform", F.explode(F.array(*entries)).alias("e"))
+        .groupBy("e.axis")
         .pivot("platform", PLATFORMS)
-        .agg(F.first("value"))
+        .agg(F.first("e.value"))
     )
 
 

@@ -25,72 +25,65 @@ def run_name() -> Column:
     return F.substring(name, 1, NAME_CHARS)
 
 
-def _entries(runs: DataFrame, kind: str, json: str) -> DataFrame:
-    """JSON members as typed entries: numbers stay numbers, everything else becomes text."""
-    exploded = runs.select(
-        "run_name",
-        "state",
-        F.explode(F.from_json(or_empty_object(json), "map<string,variant>")).alias("key", "v"),
-    )
-    members = with_literal_type(exploded, "v")
-    number = F.col("type").isin("int", "float")
-    text = (
-        F.when(F.col("type") == "bool", F.initcap(F.col("v").cast("string")))
-        .when(F.col("type") == "null", F.lit("None"))
-        .when(F.col("type") == "text", F.col("v").cast("string"))
-        .otherwise(F.to_json("v"))
+_ENTRY = "struct<kind: string, key: string, value: variant>"
+
+
+def _members(kind: str, json: str) -> Column:
+    """The members of a JSON object as entries."""
+    pairs = F.map_entries(F.from_json(or_empty_object(json), "map<string,variant>"))
+    return F.transform(
+        pairs,
+        lambda p: F.struct(
+            F.lit(kind).alias("kind"), p["key"].alias("key"), p["value"].alias("value")
+        ),
     )
-    return members.select(
-        "run_name",
-        "state",
+
+
+def _own(kind: str, column: str, json: str) -> Column:
+    """A column of the run as an entry; null if it is null or the JSON has such a member."""
+    keys = F.json_object_keys(or_empty_object(json))
+    shadowed = F.coalesce(F.array_contains(keys, column), F.lit(False))
+    entry = F.struct(
         F.lit(kind).alias("kind"),
-        "key",
-        F.when(number, F.col("v").cast("string").cast("double")).alias("num_value"),
-        F.when(~number, text).alias("str_value"),
+        F.lit(column).alias("key"),
+        F.col(column).cast("variant").alias("value"),
     )
+    return F.when(F.col(column).isNotNull() & ~shadowed, entry)
 
 
 def tracker_entries(runs: DataFrame, platform: str = "vertex") -> DataFrame:
-    """run_name, state, kind (param, metric), key, num_value, str_value.
+    """run_name, state, kind (param, metric), key, num_value, str_value, in one scan.
 
     The run's own columns are params too, and the duration a metric; a params or metrics member
-    of the same name wins over them.
+    of the same name wins over them. Numbers stay numbers, everything else becomes text.
     """
     state = F.when(F.col("status") == "success", STATES["success"]).otherwise(STATES["failure"])
-    ours = runs.filter(F.col("platform") == platform).withColumns(
-        {"run_name": run_name(), "state": state}
-    )
-    none = F.lit(None)
-
-    def entry(kind: str, key: str, number: Column, text: Column) -> Column:
-        return F.struct(
-            F.lit(kind).alias("kind"),
-            F.lit(key).alias("key"),
-            number.cast("double").alias("num_value"),
-            text.cast("string").alias("str_value"),
-        )
-
-    def member(json: str, key: str) -> Column:
-        keys = F.json_object_keys(or_empty_object(json))
-        return F.coalesce(F.array_contains(keys, key), F.lit(False))
-
-    columns = [
-        F.when(
-            F.col(c).isNotNull() & ~member("params", c),
-            entry("param", c, F.col(c) if c == "attempt" else none,
-                  none if c == "attempt" else F.col(c)),
-        )
-        for c in RUN_COLUMNS
-    ]
-    duration = F.when(
-        F.col("duration_seconds").isNotNull() & ~member("metrics", "duration_seconds"),
-        entry("metric", "duration_seconds", F.col("duration_seconds"), none),
+    own = [_own("param", c, "params") for c in RUN_COLUMNS]
+    own.append(_own("metric", "duration_seconds", "metrics"))
+    entries = F.concat(
+        F.array_compact(F.array(*own)).cast(f"array<{_ENTRY}>"),
+        _members("param", "params").cast(f"array<{_ENTRY}>"),
+        _members("metric", "metrics").cast(f"array<{_ENTRY}>"),
     )
-    own = (
-        ours.select("run_name", "state", F.explode(F.array(*columns, duration)).alias("e"))
-        .filter(F.col("e").isNotNull())
+    exploded = (
+        runs.filter(F.col("platform") == platform)
+        .select(run_name().alias("run_name"), state.alias("state"), F.explode(entries).alias("e"))
         .select("run_name", "state", "e.*")
     )
-    return own.unionByName(_entries(ours, "param", "params")).unionByName(
-        _entries(ours, "metric", "metrics")
+    typed = with_literal_type(exploded, "value")
+    number = F.col("type").isin("int", "float")
+    words = F.col("value").cast("string")
+    text = (
+        F.when(F.col("type") == "bool", F.initcap(words))
+        .when(F.col("type") == "null", "None")
+        .when(F.col("type") == "text", words)
+        .otherwise(F.to_json("value"))
+    )
+    return typed.select(
+        "run_name",
+        "state",
+        "kind",
+        "key",
+        F.when(number, words.cast("double")).alias("num_value"),
+        F.when(~number, text).alias("str_value"),
     )

@@ -18,32 +18,37 @@ from mlledger.schemas import (
 )
 from mlledger.sources.artifacts import file_checksums
 
-TABLES: dict[str, tuple[StructType, list[str]]] = {
-    "ml_runs": (RUN_SCHEMA, ["platform"]),
-    "infra_events": (INFRA_SCHEMA, ["platform"]),
-    "cost_snapshots": (COST_SCHEMA, ["platform"]),
-    "housing": (HOUSING_TABLE_SCHEMA, []),
+TABLES: dict[str, tuple[StructType, tuple[str, ...]]] = {
+    "ml_runs": (RUN_SCHEMA, ("platform",)),
+    "infra_events": (INFRA_SCHEMA, ("platform",)),
+    "cost_snapshots": (COST_SCHEMA, ("platform",)),
+    "housing": (HOUSING_TABLE_SCHEMA, ()),
 }
 
 
-def create_table(spark: SparkSession, path: str, schema: StructType) -> None:
+def create_table(
+    spark: SparkSession, path: str, schema: StructType, partition_by: tuple[str, ...] = ()
+) -> None:
     """An empty table folder; an existing one is left as it is."""
-    spark.createDataFrame([], schema).write.mode("ignore").parquet(path)
+    empty = spark.createDataFrame([], schema)
+    empty.write.mode("ignore").partitionBy(*partition_by).parquet(path)
 
 
 def create_tables(spark: SparkSession, root: str) -> None:
-    for name, (schema, _) in TABLES.items():
-        create_table(spark, f"{root}/{name}", schema)
+    for name, (schema, partition_by) in TABLES.items():
+        create_table(spark, f"{root}/{name}", schema, partition_by)
 
 
 def register_tables(spark: SparkSession, root: str, database: str = "default") -> None:
     """The same folders as catalog tables, for SQL users."""
-    for name, (schema, _) in TABLES.items():
-        ddl = schema.toDDL()
+    for name, (schema, partition_by) in TABLES.items():
+        layout = f"PARTITIONED BY ({', '.join(partition_by)})" if partition_by else ""
         spark.sql(
-            f"CREATE TABLE IF NOT EXISTS {database}.{name} ({ddl}) "
-            f"USING parquet LOCATION '{root}/{name}'"
+            f"CREATE TABLE IF NOT EXISTS {database}.{name} ({schema.toDDL()}) "
+            f"USING parquet {layout} LOCATION '{root}/{name}'"
         )
+        if partition_by:
+            spark.sql(f"MSCK REPAIR TABLE {database}.{name}")
 
 
 def drop_tables(spark: SparkSession, database: str = "default") -> None:
@@ -58,6 +63,7 @@ def append_absent(
     key: str,
     schema: StructType,
     order: list[Column] | None = None,
+    partition_by: tuple[str, ...] = (),
 ) -> int:
     """Append the rows whose key the table lacks; returns how many.
 
@@ -69,7 +75,8 @@ def append_absent(
     rows = absent_rows(incoming, existing, key, order).select(
         *[F.col(f.name).cast(f.dataType).alias(f.name) for f in schema.fields]
     )
-    rows.observe(seen, F.count(F.lit(1)).alias("inserted")).write.mode("append").parquet(path)
+    counted = rows.observe(seen, F.count(F.lit(1)).alias("inserted"))
+    counted.write.mode("append").partitionBy(*partition_by).parquet(path)
     return seen.get["inserted"]
 
 
@@ -96,17 +103,15 @@ def load_housing(incoming: DataFrame, path: str, source: str) -> dict[str, int]:
     }
 
 
-def export_dataset(df: DataFrame, path: str, single_file: bool = False) -> DataFrame:
+def export_dataset(df: DataFrame, path: str) -> DataFrame:
     """Write the hand-over data set with its checksums beside it; zero rows are refused.
 
     <path>.sha256 holds sha256 and name per file, <path>.fingerprint the layout-independent
-    content fingerprint. single_file is for receivers that need one file and fits data of one
-    task only.
+    content fingerprint.
     """
     if df.isEmpty():
         raise DataContractError("nothing to export")
-    out = df.coalesce(1) if single_file else df
-    out.write.mode("errorifexists").parquet(path)
+    df.write.mode("errorifexists").parquet(path)
     spark = df.sparkSession
     written = spark.read.parquet(path)
     name = F.element_at(F.split("path", "/"), -1)
@@ -135,9 +140,8 @@ def append_costs(costs: DataFrame, path: str, batch_no: int) -> None:
     Appending keeps a lost job harmless: repeating the batch repeats equal rows.
     """
     rows = costs.withColumn("batch_no", F.lit(batch_no))
-    rows.select(
-        *[F.col(f.name).cast(f.dataType).alias(f.name) for f in COST_SCHEMA.fields]
-    ).write.mode("append").parquet(path)
+    typed = [F.col(f.name).cast(f.dataType).alias(f.name) for f in COST_SCHEMA.fields]
+    rows.select(*typed).write.mode("append").partitionBy("platform").parquet(path)
 
 
 def current_costs(costs: DataFrame) -> DataFrame:

@@ -8,9 +8,11 @@ from pyspark.sql.streaming import StreamingQuery
 
 from mlledger.operators.ledger import stamp_created
 from mlledger.schemas import RUN_SCHEMA
-from mlledger.sinks.tables import append_absent, create_table
+from mlledger.sinks.tables import TABLES, append_absent, create_table
 from mlledger.sources.ledger_files import decode_lines, good_lines, rejected_lines, stream_lines
 
+PARTITIONS = TABLES["ml_runs"][1]
+
 
 def collect_stream(
     spark: SparkSession,
@@ -25,13 +27,15 @@ def collect_stream(
     A batch appends only run ids the ledger lacks, so a batch repeated after a failure, a file
     delivered twice, or a second start adds nothing.
     """
-    create_table(spark, ledger, RUN_SCHEMA)
+    create_table(spark, ledger, RUN_SCHEMA, PARTITIONS)
 
     def ingest(batch: DataFrame, batch_no: int) -> None:
         kept = batch.persist()
         try:
             runs = stamp_created(good_lines(kept)).withColumn("write_path", F.lit("collected"))
-            append_absent(runs, ledger, "run_id", RUN_SCHEMA, _arrival_order(runs))
+            append_absent(
+                runs, ledger, "run_id", RUN_SCHEMA, _arrival_order(runs), PARTITIONS
+            )
             if rejects is not None:
                 rejected_lines(kept).write.mode("overwrite").json(f"{rejects}/batch={batch_no}")
         finally:
@@ -52,9 +56,11 @@ def _arrival_order(runs: DataFrame) -> list[Column]:
 
 def collect_batch(spark: SparkSession, lines: DataFrame, ledger: str) -> int:
     """The same ingest for lines that were read as a batch; returns the inserted rows."""
-    create_table(spark, ledger, RUN_SCHEMA)
+    create_table(spark, ledger, RUN_SCHEMA, PARTITIONS)
     runs = stamp_created(good_lines(lines)).withColumn("write_path", F.lit("collected"))
-    return append_absent(runs, ledger, "run_id", RUN_SCHEMA, _arrival_order(runs))
+    return append_absent(
+        runs, ledger, "run_id", RUN_SCHEMA, _arrival_order(runs), PARTITIONS
+    )
 
 
 def counters(lines: DataFrame) -> DataFrame:

@@ -18,7 +18,7 @@ from mlledger.functions.jsontext import array_size, text_of
 from mlledger.operators import checks, costs, exact, ledger, modeling, params, prep, residual
 from mlledger.plans import comparison, mirror
 from mlledger.schemas import FEATURES, ROW_ID, RUN_LINE_SCHEMA, RUN_SCHEMA, TARGET
-from mlledger.session import fresh_folder
+from mlledger.session import durable, fresh_folder
 from mlledger.sinks import tables as sinks
 from mlledger.sources import artifacts, ledger_files, tables
 from mlledger.sources.exports import resource_count
@@ -508,7 +508,7 @@ def _checked(spark, sf):
 
 
 def _full_findings(spark, sf):
-    checked = _checked(spark, sf)
+    checked = durable(_checked(spark, sf))
     return residual.with_short_items(residual.findings(checked), residual.items(checked), 40)
 
 
