@@ -9,12 +9,12 @@ from functools import reduce
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.regression import GBTRegressor, RandomForestRegressor
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from mlledger.operators.params import DEFAULT_PATIENCE, DEFAULT_ROUNDS, DEFAULTS
 from mlledger.schemas import FEATURES, ROW_ID, SEED, TARGET, fixed_table
-from mlledger.session import shared_root
+from mlledger.session import ensure_checkpoints
 
 FIRST_ROUNDS = 64
 BASELINE_TREES = 100
@@ -82,9 +82,7 @@ def train(
     avoids most rounds past the best, and the final model is one more fit with the best number.
     """
     params = {**DEFAULTS, **(overrides or {})}
-    sc = data.sparkSession.sparkContext
-    if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(shared_root(data.sparkSession))
+    ensure_checkpoints(data.sparkSession)
     assembler = _assembler()
     laid_out = stable_layout(data.filter(F.col("split") == "train"), partitions)
     fit_rows = assembler.transform(laid_out).select("features", TARGET).persist()
@@ -156,10 +154,9 @@ def feature_importance(nodes: DataFrame, features: list[str] = FEATURES) -> Data
     )
 
 
-def saved_nodes(df_session, model_path: str) -> DataFrame:
-    """Node table of a pipeline saved by `save_artifacts`: the ensemble is its second stage."""
-    stages = f"{model_path}/stages/1_*/data"
-    return df_session.read.parquet(stages)
+def saved_nodes(spark: SparkSession, model_path: str) -> DataFrame:
+    """Node table of a saved pipeline; the ensemble is its second stage."""
+    return spark.read.parquet(f"{model_path}/stages/1_*/data")
 
 
 def missing_features(columns: list[str], features: list[str] = FEATURES) -> list[str]:

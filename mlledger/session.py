@@ -23,15 +23,18 @@ def local_session(cpus: str = "8", app: str = "mlledger") -> SparkSession:
 
 
 def shared_root(spark: SparkSession) -> str:
-    """The folder all executors can reach, as the cluster names it in spark.checkpoint.dir."""
-    root = spark.conf.get("spark.checkpoint.dir", None)
+    """The folder all executors can reach, as the cluster names it in spark.checkpoint.dir.
+
+    Only a local session without that setting gets a temporary folder.
+    """
+    sc = spark.sparkContext
+    root = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
     if root:
         return root.rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
+    if not sc.master.startswith("local"):
         raise RuntimeError("spark.checkpoint.dir must name a shared folder on a cluster")
-    root = tempfile.mkdtemp(prefix="mlledger-")
-    spark.conf.set("spark.checkpoint.dir", root)
-    return root
+    sc.setCheckpointDir(tempfile.mkdtemp(prefix="mlledger-"))
+    return sc.getCheckpointDir()
 
 
 def fresh_folder(spark: SparkSession, label: str) -> str:
@@ -41,7 +44,12 @@ def fresh_folder(spark: SparkSession, label: str) -> str:
 
 def durable(df: DataFrame) -> DataFrame:
     """Reliable checkpoint: the rows outlive lost executors and are computed once."""
-    sc = df.sparkSession.sparkContext
-    if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(shared_root(df.sparkSession))
+    ensure_checkpoints(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def ensure_checkpoints(spark: SparkSession) -> None:
+    """Checkpoints, also those of iterative training, go to the shared folder."""
+    root = shared_root(spark)
+    if spark.sparkContext.getCheckpointDir() is None:
+        spark.sparkContext.setCheckpointDir(root)

@@ -97,7 +97,9 @@ infra AS (
   FROM k),
 infra_base AS (SELECT * FROM infra WHERE created_at < TIMESTAMP '{CUTOFF}')
 """
-FINDING_COUNT = "coalesce(json_array_length(residual_resources, '$.findings'), 0)"
+FINDING_COUNT = (
+    "CAST(coalesce(json_array_length(residual_resources, '$.findings'), 0) AS INTEGER)"
+)
 HOUSING = """
 housing AS (
   SELECT o_orderkey AS row_id, o_custkey % 1000 / 100.0::DOUBLE AS med_inc,
@@ -575,7 +577,7 @@ ORACLES: dict[str, str] = {
     SELECT substr(h, 1, 8) || '-' || substr(h, 9, 4) || '-' || substr(h, 13, 4) || '-'
       || substr(h, 17, 4) || '-' || substr(h, 21) AS event_id, platform, 'destroy' AS action,
     CASE WHEN count(*) FILTER (severity = 'FAIL') > 0 THEN 'failure' ELSE 'success' END AS status,
-    count(severity) AS findings
+    CAST(count(severity) AS INTEGER) AS findings
     FROM ids LEFT JOIN findings USING (platform) GROUP BY platform, h""",
     "orphans": with_(INVENTORY)
     + """SELECT platform, kind, name FROM inventory o WHERE NOT EXISTS (
@@ -652,8 +654,8 @@ ORACLES: dict[str, str] = {
     round(1 - sum(e * e) / (var_pop(med_house_val) * count(*)), 6) AS r2
     FROM (SELECT med_house_val, med_house_val - (2.5 + 0.5 * med_inc) AS e FROM housing)""",
     "prediction_parity": with_(HOUSING)
-    + """SELECT row_id, 2 AS scored, CASE WHEN ave_rooms = 12 THEN 2 ELSE 1 END
-      AS distinct_predictions,
+    + """SELECT row_id, 2::BIGINT AS scored, CASE WHEN ave_rooms = 12 THEN 2::BIGINT
+      ELSE 1::BIGINT END AS distinct_predictions,
     CASE WHEN ave_rooms = 12 THEN 0.25::DOUBLE ELSE 0.0::DOUBLE END AS spread,
     CASE WHEN ave_rooms = 12 THEN 0 ELSE 1 END AS within_tolerance FROM housing""",
     "payload_instances": with_(HOUSING)
