@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from mlledger.functions.classify import error_excerpt, exit_failure_class, exit_status
 from mlledger.functions.jsontext import has_key, or_empty_object, text_of
 from mlledger.operators.exact import first_per_key
-from mlledger.schemas import PLATFORM_ROWS, RUN_SCHEMA
+from mlledger.schemas import PLATFORM_ROWS, PLATFORMS, RUN_SCHEMA
 
 # Params keys that hand a value to the next stage; earlier model keys win.
 ARTIFACT_KEY = "model_artifact_uri"
@@ -29,6 +29,15 @@ def with_platform(df: DataFrame) -> DataFrame:
     )
 
 
+def per_platform(dim: DataFrame, report: DataFrame) -> DataFrame:
+    """Attach a report with one row per platform to the platforms; clean platforms keep a row.
+
+    Only the five platforms are taken from the report, which bounds the broadcast.
+    """
+    rows = report.filter(F.col("platform").isin(PLATFORMS))
+    return dim.join(F.broadcast(rows), "platform", "left")
+
+
 def stamp_created(df: DataFrame) -> DataFrame:
     """created_at is set when the row enters the ledger, unless it came with one."""
     if "created_at" not in df.columns:

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from mlledger.functions.classify import in_lab, missing_object, parent_absent
+from mlledger.operators.ledger import per_platform
 from mlledger.schemas import INFRA_SCHEMA, fixed_table, platform_dim
 
 # What is checked per platform. Columns: platform, kind, severity, whether only
@@ -187,7 +188,7 @@ def summary(all_findings: DataFrame) -> DataFrame:
 
     `status` fails on FAIL only; `blocking` also on ERROR.
     """
-    per_platform = all_findings.groupBy("platform").agg(
+    tallies = all_findings.groupBy("platform").agg(
         F.count("*").alias("findings"),
         F.count_if(F.col("severity") == "FAIL").alias("fails"),
         F.count_if(F.col("severity") == "ERROR").alias("errors"),
@@ -195,7 +196,7 @@ def summary(all_findings: DataFrame) -> DataFrame:
     )
     dim = platform_dim(all_findings.sparkSession).select("platform")
     counts = ["findings", "fails", "errors", "warnings"]
-    joined = dim.join(per_platform, "platform", "left").fillna(0, counts)
+    joined = per_platform(dim, tallies).fillna(0, counts)
     return joined.select(
         "platform",
         *counts,
@@ -216,8 +217,9 @@ def with_short_items(
         F.array_sort(F.flatten(F.collect_list(texts))).alias("items")
     )
     fixed = F.when(F.col("kind") == FAIL_SAFE[1], F.array(F.lit(FAIL_SAFE_ITEM)))
+    # Again at most one row per rule.
     return (
-        all_findings.join(arrays, ["platform", "kind"], "left")
+        all_findings.join(F.broadcast(arrays), ["platform", "kind"], "left")
         .withColumn("items", F.coalesce("items", fixed, F.array().cast("array<string>")))
     )
 
@@ -258,7 +260,7 @@ def infra_events(full_findings: DataFrame, check_id: str, checked_at: Column) ->
     rows = platform_dim(full_findings.sparkSession).select("platform")
     body = F.struct(F.coalesce("findings", empty).alias("findings"))
     status = F.when(F.coalesce("failed", F.lit(False)), "failure").otherwise("success")
-    event = rows.join(grouped, "platform", "left").select(
+    event = per_platform(rows, grouped).select(
         event_id.alias("event_id"),
         "platform",
         F.lit("destroy").alias("action"),

@@ -17,6 +17,7 @@ from mlledger.functions.jsontext import (
     text_of,
 )
 from mlledger.operators.exact import number_within
+from mlledger.operators.ledger import per_platform
 from mlledger.schemas import PLATFORMS, STAGES, platform_dim
 from mlledger.session import durable
 
@@ -85,7 +86,8 @@ def friction(runs: DataFrame) -> DataFrame:
     """Tries until the first success and failures per (platform, stage); null: never worked.
 
     The try number of the first success is the number of rows up to it, so two partial
-    aggregates give it and no task sorts a whole (platform, stage), however large.
+    aggregates give it and no task sorts a whole (platform, stage), however large. Platforms and
+    stages are those of the fixed domains, which bounds the broadcast to 25 rows.
     """
     kept = without_teardown(runs).select("platform", "stage", "status", "created_at", "run_id")
     moment = F.struct("created_at", "run_id")
@@ -94,7 +96,6 @@ def friction(runs: DataFrame) -> DataFrame:
         .groupBy("platform", "stage")
         .agg(F.min(moment).alias("first_success"))
     )
-    # One row per platform and stage of the fixed domains.
     known = first.filter(F.col("platform").isin(PLATFORMS) & F.col("stage").isin(STAGES))
     joined = kept.join(F.broadcast(known), ["platform", "stage"], "left")
     reached = F.count_if(moment <= F.col("first_success"))
@@ -232,7 +233,7 @@ def selection_matrix(runs: DataFrame, infra: DataFrame) -> DataFrame:
     )
     wide = platform_dim(runs.sparkSession)
     for part in [fixes, failures, paths, train, ops]:
-        wide = wide.join(part, "platform", "left")
+        wide = per_platform(wide, part)
     axes = {
         "tier": F.concat_ws(" / ", "tier", "unification_unit"),
         "fixes until success": F.col("fixes"),
@@ -288,12 +289,8 @@ def phase_scorecard(runs: DataFrame, infra: DataFrame) -> DataFrame:
         "c6_destroyed",
         "c7_residuals_recorded",
     ]
-    joined = (
-        platform_dim(runs.sparkSession)
-        .select("platform")
-        .join(by_run, "platform", "left")
-        .join(by_event, "platform", "left")
-    )
+    dim = platform_dim(runs.sparkSession).select("platform")
+    joined = per_platform(per_platform(dim, by_run), by_event)
     return joined.select(
         "platform", *[F.coalesce(F.col(n), F.lit(False)).alias(n) for n in names]
     )
