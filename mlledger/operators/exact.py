@@ -116,16 +116,20 @@ def number_within(df: DataFrame, group: list[str], order: list[str], out: str) -
     earlier = (
         Window.partitionBy(*group).orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
     )
-    shifts = (
-        ranged.groupBy(*group, "_slice")
-        .agg(F.count("*").alias("_rows"))
-        .withColumn("_shift", F.coalesce(F.sum("_rows").over(earlier), F.lit(0)))
-        .drop("_rows")
+    sizes = ranged.groupBy(*group, "_slice").agg(F.count("*").alias("_rows"))
+    # A slice meets few groups, so there are about as many sizes as slices and groups.
+    shifts = sizes.select(
+        *[F.col(g).alias(f"_of_{g}") for g in group],
+        F.col("_slice").alias("_of_slice"),
+        F.coalesce(F.sum("_rows").over(earlier), F.lit(0)).alias("_shift"),
     )
     within = Window.partitionBy(*group, "_slice").orderBy(*order)
+    same = F.col("_slice") == F.col("_of_slice")
+    for g in group:
+        same = same & F.col(g).eqNullSafe(F.col(f"_of_{g}"))
     return (
         ranged.withColumn("_n", F.row_number().over(within))
-        .join(shifts, [*group, "_slice"])
+        .join(shifts, same)
         .withColumn(out, F.col("_n") + F.col("_shift"))
         .select(*df.columns, out)
     )

@@ -189,7 +189,8 @@ def test_folder_listing_and_checksums(spark, tmp_path):
 
 
 @pytest.mark.parametrize(
-    "name", ["train_eval", "baseline_eval", "feature_importance", "score_payloads"]
+    "name",
+    ["train_eval", "training_job", "baseline_eval", "feature_importance", "score_payloads"],
 )
 def test_training_queries_run(spark, name):
     assert entry.queries()[name](spark, SF).count() > 0

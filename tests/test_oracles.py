@@ -14,7 +14,7 @@ TABLES = [
 ]
 ORACLES = entry.oracle_sql()
 # Training takes a while, so these are checked once each in test_modeling.
-SLOW = {"train_eval", "baseline_eval", "feature_importance", "score_payloads"}
+SLOW = {"train_eval", "training_job", "baseline_eval", "feature_importance", "score_payloads"}
 
 
 @pytest.fixture(scope="module")

@@ -101,11 +101,12 @@ def test_exact_cut_refuses_copies_of_one_key(spark):
 
 
 def test_numbering_equals_a_window_with_a_hot_group(spark):
-    rows = [("hot" if i % 3 else f"g{i % 5}", i % 11, i) for i in range(600)]
+    rows = [("hot" if i % 3 else f"g{i % 5}" if i % 2 else None, i % 11, i) for i in range(600)]
     df = spark.createDataFrame(rows, "g string, t int, id int")
     numbered = exact.number_within(df, ["g"], ["t", "id"], "n")
     expected = df.selectExpr("*", "row_number() over (partition by g order by t, id) n")
-    assert sorted(map(tuple, numbered.collect())) == sorted(map(tuple, expected.collect()))
+    assert {tuple(r) for r in numbered.collect()} == {tuple(r) for r in expected.collect()}
+    assert numbered.count() == 600
 
 
 def test_first_per_key_limits_rows_before_the_shuffle(spark):

@@ -17,6 +17,7 @@ from mlledger.functions.classify import (
 from mlledger.functions.jsontext import array_size, text_of
 from mlledger.operators import checks, costs, exact, ledger, modeling, params, prep, residual
 from mlledger.plans import comparison, mirror
+from mlledger.plans.training import TrainingConfig, run_training
 from mlledger.schemas import FEATURES, ROW_ID, RUN_LINE_SCHEMA, RUN_SCHEMA, TARGET
 from mlledger.session import durable, fresh_folder
 from mlledger.sinks import tables as sinks
@@ -770,6 +771,23 @@ def train_eval(spark, sf):
     return report.withColumn("best_iteration", F.lit(fitted.best_iteration))
 
 
+def training_job(spark, sf):
+    """The whole job with baseline and artifacts; the row is what its manifest says."""
+    output = fresh_folder(spark, "job")
+    config = TrainingConfig(
+        output_dir=output,
+        code_revision=_revision_text(1),
+        run_id="job-1",
+        params={"num_boost_round": str(ROUNDS), "early_stopping_rounds": "3", "num_leaves": "31"},
+        partitions=8,
+        with_baseline=True,
+        baseline_trees=5,
+    )
+    run_training(s.housing(spark, sf), config)
+    metrics = [text_of("metrics", m).alias(m) for m in ["rmse", "baseline_rmse", "best_iteration"]]
+    return ledger_files.read_manifests(spark, output).select("run_id", "code_revision", *metrics)
+
+
 def baseline_eval(spark, sf):
     data = prep.split(prep.gold(s.housing(spark, sf)))
     forest = modeling.train_baseline(data, partitions=8, trees=10)
@@ -825,6 +843,6 @@ QUERIES = [
     nonempty_containers, parent_children, cost_nested, cost_usage, cost_week, cost_credits,
     cost_billing, cost_flat, cost_unavailable, param_types, param_merge, tracking_mirror,
     artifact_listing, transcript_counts, linear_eval_metrics, prediction_parity,
-    payload_instances, train_eval, baseline_eval, feature_importance, score_payloads,
+    payload_instances, train_eval, training_job, baseline_eval, feature_importance, score_payloads,
     stream_collect, stream_counters,
 ]
