@@ -4,14 +4,17 @@ from __future__ import annotations
 
 from functools import partial
 
-from pyspark.errors import AnalysisException
+from pyspark.errors import PySparkException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from mlledger.schemas import platform_dim
+from mlledger.session import durable
 from mlledger.sources.exports import read_cost_export
 from mlledger.sources.ledger_files import union_all
 
+# Fixed value: price of one credit unless a contract says otherwise.
+CREDIT_PRICE_USD = "2.0"
 _AMOUNT = "decimal(18,6)"
 
 
@@ -61,8 +64,10 @@ def usage_costs(export: DataFrame, today: str, days: int) -> DataFrame:
     return _rows(daily, "databricks", service, F.col("quantity"), "dbu")
 
 
-def credit_costs(export: DataFrame, today: str, days: int, price_usd: str) -> DataFrame:
-    """Metered credits times a given price."""
+def credit_costs(
+    export: DataFrame, today: str, days: int, price_usd: str = CREDIT_PRICE_USD
+) -> DataFrame:
+    """Metered credits times their price."""
     used = export.filter(_window_start(F.col("start_time"), today, days))
     daily = used.groupBy(
         F.to_date("start_time").alias("usage_date"), "warehouse_name"
@@ -112,11 +117,17 @@ def unavailable_sources(costs: DataFrame, problems: dict[str, str]) -> DataFrame
 
 
 def collect_costs(
-    spark: SparkSession, paths: dict[str, str], today: str, days: int, price_usd: str
+    spark: SparkSession,
+    paths: dict[str, str],
+    today: str,
+    days: int = 7,
+    price_usd: str = CREDIT_PRICE_USD,
 ) -> tuple[DataFrame | None, dict[str, str]]:
-    """Read the exports that exist; one unreadable export does not stop the others.
+    """Cost rows of the exports that work; a missing or malformed one does not stop the others.
 
-    Returns the cost rows (None if there is no readable export) and platform → problem.
+    Each source is computed inside its own try, as Spark meets a bad value only when it runs; the
+    daily rows are few, so they are kept as checkpoints. Returns the rows (None if no source
+    worked) and platform → problem.
     """
     makers = {
         "vertex": billing_costs,
@@ -130,7 +141,7 @@ def collect_costs(
     for platform, path in paths.items():
         try:
             export = read_cost_export(spark, platform, path)
-            rows[platform] = makers[platform](export, today=today, days=days)
-        except AnalysisException as e:
+            rows[platform] = durable(makers[platform](export, today=today, days=days))
+        except PySparkException as e:
             problems[platform] = f"{type(e).__name__}: {e}".splitlines()[0]
     return (all_costs(rows) if rows else None), problems

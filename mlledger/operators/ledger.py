@@ -201,7 +201,7 @@ def merge_outcomes(runs: DataFrame, patches: DataFrame) -> DataFrame:
 
 def handoff_merge(runs: DataFrame, patches: DataFrame) -> DataFrame:
     """merge_params right after training, which only reaches directly delivered rows."""
-    direct = runs.filter(F.col("write_path") == "direct").select("run_id").distinct()
+    direct = runs.filter(F.col("write_path") == "direct").select("run_id")
     return merge_params(runs, patches.join(direct, "run_id", "left_semi"))
 
 

@@ -28,9 +28,10 @@ _SECONDS = "decimal(18,6)"
 
 
 def population(ledger: DataFrame, cutoff: str = CAMPAIGN_END) -> DataFrame:
-    """Rows created before the cutoff. A plain range filter, so it reaches the scan."""
+    """Rows created before the cutoff, a UTC time. A plain range filter, so it reaches the scan."""
     kind = dict(ledger.dtypes)["created_at"]
-    return ledger.filter(F.col("created_at") < F.lit(cutoff).cast(kind))
+    end = f"{cutoff}+00:00" if kind == "timestamp" else cutoff
+    return ledger.filter(F.col("created_at") < F.lit(end).cast(kind))
 
 
 def register_populations(
@@ -170,6 +171,26 @@ def infra_friction(infra: DataFrame) -> DataFrame:
     )
 
 
+def register_reports(
+    runs: DataFrame, infra: DataFrame, cutoff: str = CAMPAIGN_END
+) -> list[str]:
+    """Every report of a campaign as a temp view of its name, for SQL users."""
+    campaign, operations = population(runs, cutoff), population(infra, cutoff)
+    reports = {
+        "metric_parity": metric_parity(campaign),
+        "parity_revisions": parity_revisions(campaign),
+        "friction": friction(campaign),
+        "failure_mix": failure_mix(campaign),
+        "stage_durations": stage_durations(campaign),
+        "teardown_quality": teardown_quality(operations),
+        "write_paths": write_paths(campaign),
+        "infra_friction": infra_friction(operations),
+    }
+    for name, report in reports.items():
+        report.createOrReplaceTempView(name)
+    return list(reports)
+
+
 # Sort order in which each report is shown: column and whether it ascends.
 REPORT_ORDER = {
     "friction": [("platform", True), ("stage", True)],

@@ -14,7 +14,7 @@ from mlledger.schemas import FEATURES, ROW_ID, SOURCE_COLUMNS, TARGET
 def read_dataset(
     spark: SparkSession, path: str, schema: StructType | None = None, single_file: bool = False
 ) -> DataFrame:
-    """A Parquet file or folder. single_file keeps the strict one-file rule of a hand-over folder."""
+    """A Parquet file or folder; single_file keeps the one-file rule of a hand-over folder."""
     reader = spark.read.option("pathGlobFilter", "*.parquet")
     if schema is not None:
         reader = reader.schema(schema)

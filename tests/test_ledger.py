@@ -228,7 +228,8 @@ def test_last_cost_delivery_wins(spark, tmp_path):
     sinks.append_costs(spark.createDataFrame(one, schema), path, 1)
     sinks.append_costs(spark.createDataFrame([(*one[0][:3], 2.0)], schema), path, 2)
     stored = spark.read.parquet(path)
-    current = {str(r.usage_date): float(r.amount_usd) for r in sinks.current_costs(stored).collect()}
+    rows = sinks.current_costs(stored).collect()
+    current = {str(r.usage_date): float(r.amount_usd) for r in rows}
     assert current == {"2026-01-01": 2.0, "2026-01-02": 5.0}
     sinks.compact(sinks.current_costs(stored), str(tmp_path / "compact"), "platform")
     assert spark.read.parquet(str(tmp_path / "compact")).count() == 2
@@ -331,6 +332,30 @@ def test_population_and_views(spark, make_runs):
     assert spark.sql("SELECT count(*) AS n FROM baseline_infra_events").first().n == 0
 
 
+def test_population_cutoff_is_utc_in_any_session_zone(spark, make_runs):
+    runs = make_runs({"run_id": "1", "created_at": "2026-08-01 14:59:59"},
+                     {"run_id": "2", "created_at": "2026-08-01 15:00:01"}).persist()
+    assert runs.count() == 2
+    spark.conf.set("spark.sql.session.timeZone", "Asia/Tokyo")
+    try:
+        assert [r.run_id for r in comparison.population(runs).collect()] == ["1"]
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", "UTC")
+        runs.unpersist()
+
+
+def test_reports_as_views_and_in_shown_order(spark, make_runs):
+    from tests.conftest import SF
+    from workload import standins
+
+    runs, infra = standins.runs(spark, SF), standins.infra(spark, SF)
+    names = comparison.register_reports(runs, infra, standins.CUTOFF)
+    assert all(spark.table(n).count() > 0 for n in names)
+    for name, keys in comparison.REPORT_ORDER.items():
+        shown = comparison.ordered(spark.table(name), name).select(keys[0][0]).collect()
+        assert [r[0] for r in shown] == sorted(r[0] for r in shown)
+
+
 # Golden results of the five platforms.
 GOLDEN = {"rmse": 0.4368055090296257, "mae": 0.2840129606543999, "r2": 0.8543973248910732}
 

@@ -13,6 +13,7 @@ from mlledger.schemas import FEATURES, ROW_ID, TARGET
 from mlledger.sources import artifacts
 from mlledger.sources.ledger_files import read_manifests
 from tests.conftest import SF
+from workload import queries
 
 QUICK = {"num_boost_round": "8", "early_stopping_rounds": 3, "num_leaves": "15",
          "min_data_in_leaf": 5, "learning_rate": "0.3"}
@@ -192,5 +193,6 @@ def test_folder_listing_and_checksums(spark, tmp_path):
     "name",
     ["train_eval", "training_job", "baseline_eval", "feature_importance", "score_payloads"],
 )
-def test_training_queries_run(spark, name):
+def test_training_queries_run(spark, name, monkeypatch):
+    monkeypatch.setattr(queries, "ROUNDS", 2)
     assert entry.queries()[name](spark, SF).count() > 0

@@ -225,6 +225,17 @@ def test_cost_exports(spark, tmp_path):
     assert list(missing) == ["azureml"] and missing["azureml"] == problems["azureml"]
 
 
+def test_malformed_export_does_not_stop_the_others(spark, tmp_path):
+    paths = write_exports(tmp_path)
+    bad = tmp_path / "sagemaker.json"
+    bad.write_text(bad.read_text().replace("1.23456789", "not a number"))
+    rows, problems = costs.collect_costs(spark, paths, "2026-01-08", 7, price_usd="3.0")
+    assert set(problems) == {"azureml", "sagemaker"}
+    assert {r.platform for r in rows.collect()} == {"databricks", "snowflake", "vertex"}
+    nothing = {"azureml": str(tmp_path / "absent.json")}
+    assert costs.collect_costs(spark, nothing, "2026-01-08", 7, price_usd="3.0")[0] is None
+
+
 def test_window_is_half_open(spark):
     days = [("2025-12-31",), ("2026-01-01",), ("2026-01-07",), ("2026-01-08",)]
     df = spark.createDataFrame(days, "d string").select(F.col("d").cast("date").alias("d"))

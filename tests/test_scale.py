@@ -71,7 +71,8 @@ def test_objects_of_one_bucket_are_reduced_before_the_join(spark):
         F.lit("vertex").alias("platform"),
         F.when(F.col("id") % 3 == 0, "hot").otherwise(F.col("id").cast("string")).alias("name"),
     )
-    buckets = spark.createDataFrame([("vertex", "hot"), ("vertex", "x")], "platform string, name string")
+    rows = [("vertex", "hot"), ("vertex", "x")]
+    buckets = spark.createDataFrame(rows, "platform string, name string")
     held = residual.nonempty_containers(buckets, objects)
     assert "HashAggregate" in plan_of(held)
     assert [r.name for r in held.collect()] == ["hot"]
@@ -79,18 +80,18 @@ def test_objects_of_one_bucket_are_reduced_before_the_join(spark):
 
 def test_exact_cut_equals_a_sort(spark):
     df = spark.range(5_000).withColumnRenamed("id", "row_id")
-    ordered = sorted((r.h, r.row_id) for r in df.withColumn("h", F.md5(F.col("row_id").cast("string"))).collect())
+    digest = F.md5(F.col("row_id").cast("string"))
+    ordered = sorted((r.h, r.row_id) for r in df.withColumn("h", digest).collect())
     for size in (1, 777, 5_000):
-        cut = exact.smallest_cut(df, F.md5(F.col("row_id").cast("string")), size, boundary_rows=3)
+        cut = exact.smallest_cut(df, digest, size, boundary_rows=3)
         assert (cut.digest, cut.key) == ordered[size - 1]
 
 
 def test_population_filter_reaches_the_scan(spark, skewed, tmp_path):
     skewed.write.parquet(str(tmp_path / "runs"))
     stored = spark.read.parquet(str(tmp_path / "runs"))
-    plan = plan_of(comparison.write_paths(
-        comparison.population(stored.withColumns({"tier": F.lit("A"), "write_path": F.lit("direct")}))
-    ))
+    runs = stored.withColumns({"tier": F.lit("A"), "write_path": F.lit("direct")})
+    plan = plan_of(comparison.write_paths(comparison.population(runs)))
     assert "LessThan(created_at" in plan
     assert "code_revision" not in plan.split("ReadSchema:")[1]
 

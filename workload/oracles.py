@@ -242,7 +242,10 @@ SPLIT = (
     f"WHEN {bucket('valid')} < 2000 THEN 'valid' ELSE 'train' END"
 )
 # Mean of two-decimal durations, rounded half up to one decimal in whole numbers.
-_CENTS = "CAST(sum(CAST(round(duration_seconds * 100) AS BIGINT)) FILTER (status = 'success') AS BIGINT)"
+_CENTS = (
+    "CAST(sum(CAST(round(duration_seconds * 100) AS BIGINT)) FILTER (status = 'success') "
+    "AS BIGINT)"
+)
 _WORKED = "count(*) FILTER (status = 'success')"
 AVG_SECONDS = f"(({_CENTS} * 20 + 100 * {_WORKED}) // (200 * {_WORKED})) / 10.0::DOUBLE"
 MAX_SECONDS = "((CAST(round(max(duration_seconds) * 100) AS BIGINT) + 5) // 10) / 10.0::DOUBLE"
@@ -642,7 +645,8 @@ ORACLES: dict[str, str] = {
     CASE p_size WHEN 10 THEN 'scheme' WHEN 20 THEN 'bucket' ELSE '' END AS problem
     FROM (SELECT *, CASE p_size WHEN 10 THEN 'other://models/' || p_partkey
       WHEN 20 THEN 'lab:///' || p_partkey
-      ELSE 'lab://models/' || p_partkey || '/' || p_type END AS uri FROM part WHERE p_size <> 30)""",
+      ELSE 'lab://models/' || p_partkey || '/' || p_type END AS uri
+      FROM part WHERE p_size <> 30)""",
     "transcript_counts": with_(K, INFRA)
     + """SELECT event_id, CASE resource_count % 4
       WHEN 0 THEN CASE WHEN action = 'destroy' THEN 2 ELSE resource_count END

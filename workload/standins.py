@@ -264,7 +264,7 @@ def housing_with_gaps(spark: SparkSession, sf: str) -> DataFrame:
     nan = F.lit(float("nan"))
     return (
         housing(spark, sf)
-        .withColumn("ave_rooms", F.when(F.col("ave_rooms") == 2, None).otherwise(F.col("ave_rooms")))
+        .withColumn("ave_rooms", F.when(F.col("ave_rooms") != 2, F.col("ave_rooms")))
         .withColumn("latitude", F.when(F.col("latitude") == 60, nan).otherwise(F.col("latitude")))
         .withColumn(TARGET, F.when(F.col("ave_occup") == 5, None).otherwise(F.col(TARGET)))
         .drop("longitude")
