@@ -77,25 +77,27 @@ def load_counts(incoming: DataFrame, existing: DataFrame, key: str) -> DataFrame
 
 
 def union_paths(direct: DataFrame, collected: DataFrame, key: str = "run_id") -> DataFrame:
-    """Both delivery paths as one ledger; a run that arrived directly wins over its copy."""
-    ranked = direct.withColumn("write_path", F.lit("direct")).unionByName(
-        collected.withColumn("write_path", F.lit("collected"))
+    """Both delivery paths as one ledger; a run that arrived directly wins over its copies.
+
+    The direct ledger holds a run once, so its rows stay where they are: only its keys are
+    shuffled, against the collected rows.
+    """
+    late = absent_rows(collected, direct, key, [F.col("created_at"), F.col("attempt")])
+    return direct.withColumn("write_path", F.lit("direct")).unionByName(
+        late.withColumn("write_path", F.lit("collected"))
     )
-    direct_first = F.when(F.col("write_path") == "direct", 0).otherwise(1)
-    return first_per_key(ranked, [key], [direct_first, F.col("created_at")])
 
 
 def reconcile_ownership(job_log: DataFrame, adapter_log: DataFrame) -> DataFrame:
     """The job writes train successes and its own failures; the adapter writes the rest.
 
-    A train success in the adapter log only says that the job was handed over.
+    A train success in the adapter log only says that the job was handed over. The job log holds
+    a run once, so only its keys are shuffled.
     """
     handed_over = (F.col("stage") == "train") & (F.col("status") == "success")
-    both = job_log.withColumn("_from", F.lit(0)).unionByName(
-        adapter_log.filter(~handed_over).withColumn("_from", F.lit(1))
-    )
-    order = [F.col("_from"), F.col("created_at")]
-    return first_per_key(both, ["run_id"], order).drop("_from")
+    order = [F.col("created_at"), F.col("attempt")]
+    rest = absent_rows(adapter_log.filter(~handed_over), job_log, "run_id", order)
+    return job_log.unionByName(rest)
 
 
 def next_attempts(runs: DataFrame) -> DataFrame:
