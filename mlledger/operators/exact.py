@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import math
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window
@@ -32,19 +31,25 @@ class Cut:
 
 
 def smallest_cut(
-    df: DataFrame, digest: Column, size: int, key: str = ROW_ID, boundary_rows: int = 100_000
+    df: DataFrame,
+    digest: Column,
+    size: int | None = None,
+    share: float | None = None,
+    key: str = ROW_ID,
+    boundary_rows: int = 100_000,
 ) -> Cut:
-    """The `size`-th smallest (digest, key) pair.
+    """The last of the `size` smallest (digest, key) pairs, or of a share of them, rounded up.
 
     Counts per hash prefix (at most 4,096 groups, summed map-side) show which prefix holds the
     wanted rank; the next step looks only inside that prefix, three hex digits deeper. The loop
     ends once the prefix holds few enough rows to sort them, so the final top-k is bounded by
-    `boundary_rows` and never by the table.
+    `boundary_rows` and never by the table. The first counts also give the table's size, which a
+    share needs.
     """
-    if size <= 0:
-        return Cut(None, None)
     hashed = df.select(digest.alias("h"), F.col(key).alias("k"))
-    prefix, remaining, inside = "", size, None
+    prefix, wanted, inside = "", F.lit(size), None
+    if share is not None:
+        wanted = F.ceil(F.lit(share) * F.sum("n").over(Window.partitionBy()))
     while len(prefix) < _HASH_DIGITS and (inside is None or inside > boundary_rows):
         width = min(len(prefix) + _DIGITS_PER_STEP, _HASH_DIGITS)
         counts = (
@@ -52,17 +57,20 @@ def smallest_cut(
             .groupBy(F.substring("h", 1, width).alias("p"))
             .agg(F.count("*").alias("n"))
         )
-        running = F.sum("n").over(Window.orderBy("p"))
+        # The windows run over the at most 4,096 counts.
         row = (
-            counts.withColumn("upto", running)
-            .filter(F.col("upto") >= remaining)
+            counts.withColumns({"upto": F.sum("n").over(Window.orderBy("p")), "wanted": wanted})
+            .filter((F.col("upto") >= F.col("wanted")) & (F.col("wanted") > 0))
             .orderBy("p")
             .first()
         )
         if row is None:
-            raise ValueError(f"cut of {size} rows is larger than the table")
+            if size:
+                raise ValueError(f"cut of {size} rows is larger than the table")
+            return Cut(None, None)
         prefix, inside = row.p, row.n
-        remaining -= row.upto - row.n
+        remaining = row.wanted - (row.upto - row.n)
+        wanted = F.lit(remaining)
     if inside > boundary_rows:
         raise ValueError(f"{inside} rows share one hash: {key} is not unique")
     last = (
@@ -83,19 +91,18 @@ def exact_split(
     key: str = ROW_ID,
     boundary_rows: int = 100_000,
 ) -> DataFrame:
-    """`split` with exact sizes: ceil(20 %) of all rows, then ceil(20 %) of the rest.
+    """`split` with exact sizes: 20 % of all rows, then 20 % of the rest, both rounded up.
 
     Two cut values come back to the driver; the split itself is a row-local comparison.
     """
-    total = df.count()
-    test_rows = math.ceil(test_share * total)
-    valid_rows = math.ceil(valid_share * (total - test_rows))
     test_hash, valid_hash = salted_md5(key, seed, "test"), salted_md5(key, seed, "valid")
 
-    test_cut = smallest_cut(df, test_hash, test_rows, key, boundary_rows)
-    in_test = test_cut.holds(test_hash, F.col(key))
-    valid_cut = smallest_cut(df.filter(~in_test), valid_hash, valid_rows, key, boundary_rows)
-    in_valid = valid_cut.holds(valid_hash, F.col(key))
+    def cut(rows: DataFrame, digest: Column, share: float) -> Column:
+        found = smallest_cut(rows, digest, share=share, key=key, boundary_rows=boundary_rows)
+        return found.holds(digest, F.col(key))
+
+    in_test = cut(df, test_hash, test_share)
+    in_valid = cut(df.filter(~in_test), valid_hash, valid_share)
     return df.withColumn(
         "split", F.when(in_test, "test").when(in_valid, "valid").otherwise("train")
     )

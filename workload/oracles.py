@@ -525,7 +525,7 @@ ORACLES: dict[str, str] = {
     FROM points LEFT JOIN trees USING (code_revision), now""",
     "coverage": with_(RUNS, ALL_PLATFORMS)
     + """, recorded AS (SELECT DISTINCT CASE WHEN platform = 'azureml' THEN 'other'
-      ELSE platform END AS platform FROM runs WHERE duration_seconds > 200)
+      ELSE platform END AS platform FROM runs)
     SELECT coalesce(d.platform, r.platform) AS platform,
       CASE WHEN r.platform IS NULL THEN 'missing' WHEN d.platform IS NULL THEN 'extra'
         ELSE 'both' END AS coverage

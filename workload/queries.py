@@ -442,8 +442,7 @@ def _revision_text(index: int) -> str:
 
 
 def coverage(spark, sf):
-    slow = s.runs(spark, sf).filter(F.col("duration_seconds") > 200)
-    renamed = slow.withColumn(
+    renamed = s.runs(spark, sf).withColumn(
         "platform",
         F.when(F.col("platform") == "azureml", "other").otherwise(F.col("platform")),
     )
