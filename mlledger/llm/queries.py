@@ -11,7 +11,9 @@ from mlledger.llm import (
     hilbert_search,
     kdtree_search,
     license_digest,
+    line_crf,
     mixing,
+    odd_sketch_dedup,
     shards,
 )
 from mlledger.llm.common import table
@@ -50,6 +52,18 @@ def op5_lpt_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op6_odd_sketch_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return odd_sketch_dedup.near_duplicates(
+        table(spark, sf_dir, "documents"), words=3, percent=85
+    )
+
+
+def op8_line_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_crf.score_documents(
+        table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), threshold=0.7
+    )
+
+
 def op9_bpe_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe_tree.encode_documents(table(spark, sf_dir, "documents"))
 
@@ -64,6 +78,8 @@ QUERIES = [
     op3_hilbert_neighbours,
     op4_chat_snapshots,
     op5_lpt_shards,
+    op6_odd_sketch_dedup,
+    op8_line_crf,
     op9_bpe_tree,
     op10_license_digests,
 ]
