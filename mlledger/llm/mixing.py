@@ -231,3 +231,29 @@ def mix(
         )
         .withColumn("taken", F.col("copies") * F.col("size"))
     )
+
+
+def mixed_documents(documents: DataFrame, **settings: object) -> DataFrame:
+    """The documents as often as the mix takes them, with all their columns.
+
+    A document without words stays as it is. Rows with equal doc_id, source and size are matched in
+    the order of their text.
+    """
+    taken = mix(documents, **settings).select("doc_id", "source", "size", "copies")
+    columns = documents.columns
+    size, place, times = (fresh_name(documents, c) for c in ("size", "place", "times"))
+    keys = ["doc_id", "source", size]
+    taken = taken.withColumnRenamed("size", size).withColumn(
+        place, F.row_number().over(Window.partitionBy(*keys).orderBy(F.desc("copies")))
+    )
+    ours = documents.withColumn(size, word_count(F.col("text"))).withColumn(
+        place, F.row_number().over(Window.partitionBy(*keys).orderBy("text"))
+    )
+    same = [ours[k].eqNullSafe(taken[k]) for k in [*keys, place]]
+    return (
+        ours.join(taken.select(*keys, place, F.col("copies").alias(times)), same)
+        .select(*[ours[c] for c in columns], times)
+        .filter(F.col(times) > 0)
+        .withColumn(times, F.explode(F.sequence(F.lit(1), F.col(times))))
+        .select(*columns)
+    )

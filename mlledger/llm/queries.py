@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from mlledger.llm import (
+    block_labeller,
     bpe_tree,
     chat_snapshots,
     hilbert_search,
@@ -58,6 +59,10 @@ def op6_odd_sketch_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op7_block_labeller(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return block_labeller.extract_main_text(table(spark, sf_dir, "pages"))
+
+
 def op8_line_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_crf.score_documents(
         table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), threshold=0.7
@@ -79,6 +84,7 @@ QUERIES = [
     op4_chat_snapshots,
     op5_lpt_shards,
     op6_odd_sketch_dedup,
+    op7_block_labeller,
     op8_line_crf,
     op9_bpe_tree,
     op10_license_digests,
