@@ -111,7 +111,7 @@ SPELLINGS = (
 COPYRIGHT_LINE = r"(^|\n)[ \t*#/;-]*(copyright|\(c\)|©|all rights reserved)[^\n]*"
 #: Runs of these become one space: ASCII but for letters, digits and the line feed, and the
 #: typographic signs that licence texts are set with.
-PUNCTUATION = r"[\x00-\x09\x0B-\x2F\x3A-\x60\x7B-\x7F\xA0\xA9‐-―‘-‟•]+"
+PUNCTUATION = r"[\x00-\x09\x0B-\x2F\x3A-\x60\x7B-\x7F\x{A0}\x{A9}‐-―‘-‟•]+"
 
 
 def canonical_lines(text: Column) -> Column:

@@ -1,5 +1,143 @@
-"""The queries in SQL, where SQL can express them."""
+"""The queries in SQL, where SQL can express them.
+
+The licence texts of the scan are data, so the SQL takes them from the same list.
+"""
 
 from __future__ import annotations
 
-ORACLES: dict[str, str] = {}
+from mlledger.llm.license_digest import LICENSES
+
+OP2 = """
+WITH v AS (
+    SELECT vec_id, list_transform(embedding, lambda x: floor(1024 * x::DOUBLE)) AS v
+    FROM embeddings
+    WHERE vec_id IS NOT NULL AND embedding IS NOT NULL
+      AND list_bool_and(list_transform(embedding, lambda x: x IS NOT NULL AND isfinite(x)))
+), scored AS (
+    SELECT q.vec_id AS query_id, c.vec_id, list_dot_product(q.v, c.v)::BIGINT AS score
+    FROM v AS q JOIN v AS c ON q.vec_id <> c.vec_id
+    WHERE q.vec_id % 100 = 0
+)
+SELECT query_id, rank::INT AS rank, vec_id, score
+FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank
+      FROM scored)
+WHERE rank <= 10
+"""
+
+OP4 = """
+WITH turns AS (SELECT DISTINCT conv_id, turn, role, text FROM conversations),
+chats AS (
+    SELECT conv_id, list(struct_pack(turn := turn, role := role, text := text)
+                         ORDER BY turn, role, text) AS whole,
+           string_agg('<|' || coalesce(role, '') || '|>' || chr(10) || coalesce(text, '')
+                      || '<|end|>' || chr(10), '' ORDER BY turn, role, text) AS rendered
+    FROM turns GROUP BY conv_id
+),
+distinct_chats AS (
+    SELECT min(conv_id) AS conv_id, whole, any_value(rendered) AS rendered, count(*) AS n_copies
+    FROM chats GROUP BY whole
+)
+SELECT conv_id, len(whole) AS n_turns, n_copies, 0 AS part, rendered
+FROM distinct_chats AS a
+WHERE NOT EXISTS (
+    SELECT 1 FROM distinct_chats AS b
+    WHERE len(b.whole) > len(a.whole) AND b.whole[1].text = a.whole[1].text
+      AND b.whole[:len(a.whole)] = a.whole
+)
+"""
+
+OP6 = r"""
+WITH RECURSIVE words AS MATERIALIZED (
+    SELECT doc_id, regexp_extract_all(
+        translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+        '[^\x20\x09-\x0D]+') AS w
+    FROM documents
+), sets AS MATERIALIZED (
+    SELECT doc_id, unnest(list_distinct(
+        CASE WHEN len(w) = 0 THEN []
+             WHEN len(w) < 3 THEN [array_to_string(w, ' ')]
+             ELSE list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2])
+        END)) AS shingle
+    FROM words
+), sizes AS MATERIALIZED (
+    SELECT doc_id, count(*) AS n FROM sets GROUP BY doc_id
+), links AS MATERIALIZED (
+    SELECT x.doc_id AS a, y.doc_id AS b
+    FROM sets AS x JOIN sets AS y ON x.shingle = y.shingle AND x.doc_id <> y.doc_id
+    JOIN sizes AS m ON m.doc_id = x.doc_id JOIN sizes AS n ON n.doc_id = y.doc_id
+    GROUP BY x.doc_id, y.doc_id
+    HAVING 100 * count(*) >= 85 * (any_value(m.n) + any_value(n.n) - count(*))
+), reached AS (
+    SELECT doc_id, doc_id AS other FROM documents
+    UNION
+    SELECT r.doc_id, l.b FROM reached AS r JOIN links AS l ON l.a = r.other
+)
+SELECT r.doc_id, coalesce(any_value(s.n), 0) AS n_shingles, min(r.other) AS component_id,
+       r.doc_id = min(r.other) AS kept
+FROM reached AS r LEFT JOIN sizes AS s ON s.doc_id = r.doc_id
+GROUP BY r.doc_id
+"""
+
+
+def canonical(text: str) -> str:
+    """SQL for the canonical form of a text, with its line feeds."""
+    lower = (
+        f"translate(coalesce({text}, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', "
+        "'abcdefghijklmnopqrstuvwxyz')"
+    )
+    own = (
+        f"regexp_replace({lower}, "
+        r"'(^|\n)[ \t*#/;-]*(copyright|\(c\)|©|all rights reserved)[^\n]*', chr(10), 'g')"
+    )
+    signs = r"[\x00-\x09\x0B-\x2F\x3A-\x60\x7B-\x7F\x{A0}\x{A9}‐-―‘-‟•]+"
+    return f"regexp_replace({own}, '{signs}', ' ', 'g')"
+
+
+def digest(text: str) -> str:
+    out = rf"trim(regexp_replace({text}, '[ \n]+', ' ', 'g'), ' ')"
+    for old, new in (
+        ("licence", "license"),
+        ("sub license", "sublicense"),
+        ("non infringement", "noninfringement"),
+        ("non commercial", "noncommercial"),
+        ("merchantibility", "merchantability"),
+        ("acknowledgement", "acknowledgment"),
+        ("organisation", "organization"),
+        ("favour", "favor"),
+        ("http www", "https www"),
+    ):
+        out = f"replace({out}, '{old}', '{new}')"
+    return f"sha256({out})"
+
+
+def quoted(text: str) -> str:
+    return "'" + text.replace("'", "''") + "'"
+
+
+KNOWN = ", ".join(f"({quoted(key)}, {quoted(text)})" for key, text in LICENSES)
+OP10 = f"""
+WITH known AS MATERIALIZED (
+    SELECT digest, min(license_id) AS license_id, bool_or(one) AS one FROM (
+        SELECT license_id, {digest(canonical("known"))} AS digest, NOT contains(known, chr(10)) AS one
+        FROM (VALUES {KNOWN}) AS t(license_id, known)
+    ) GROUP BY digest
+), forms AS MATERIALIZED (
+    SELECT doc_id, {canonical("text")} AS form FROM documents
+), notices AS (
+    SELECT doc_id, count(*) AS n, string_agg(DISTINCT license_id, ',' ORDER BY license_id) AS ids
+    FROM (SELECT doc_id, {digest("line")} AS digest
+          FROM (SELECT doc_id, unnest(string_split(form, chr(10))) AS line FROM forms))
+    JOIN known USING (digest) WHERE one GROUP BY doc_id
+)
+SELECT doc_id, {digest("form")} AS digest, license_id, coalesce(n, 0) AS n_notices,
+       coalesce(ids, '') AS notice_ids
+FROM forms LEFT JOIN notices USING (doc_id)
+LEFT JOIN known ON known.digest = {digest("form")}
+"""
+
+ORACLES: dict[str, str] = {
+    "op2_kdtree_topk": OP2,
+    "op4_chat_snapshots": OP4,
+    "op6_odd_sketch_dedup": OP6,
+    "op10_license_digests": OP10,
+}
