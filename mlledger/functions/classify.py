@@ -79,12 +79,14 @@ def error_excerpt(text: Column | str, status: Column | str) -> Column:
 
 
 def exit_status(exit_code: Column | str) -> Column:
-    return F.when(_col(exit_code) == 0, F.lit("success")).otherwise(F.lit("failure"))
+    """A job that reports no exit code ended normally."""
+    code = F.coalesce(_col(exit_code), F.lit(0))
+    return F.when(code == 0, F.lit("success")).otherwise(F.lit("failure"))
 
 
 def exit_failure_class(exit_code: Column | str) -> Column:
     """Exit codes: 0 worked, 1 training failed, 2 bad input, the rest died with the container."""
-    code = _col(exit_code)
+    code = F.coalesce(_col(exit_code), F.lit(0))
     return (
         F.when(code == 0, F.lit("none"))
         .when(code == 1, F.lit("sdk"))

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from functools import partial
 
+from py4j.protocol import Py4JJavaError
 from pyspark.errors import PySparkException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -144,4 +145,6 @@ def collect_costs(
             rows[platform] = durable(makers[platform](export, today=today, days=days))
         except PySparkException as e:
             problems[platform] = f"{type(e).__name__}: {e}".splitlines()[0]
+        except Py4JJavaError as e:  # what a checkpoint raises for a bad row
+            problems[platform] = str(e.java_exception.getMessage()).splitlines()[0]
     return (all_costs(rows) if rows else None), problems

@@ -40,23 +40,19 @@ def smallest_cut(
 ) -> Cut:
     """The last of the `size` smallest (digest, key) pairs, or of a share of them, rounded up.
 
-    Counts per hash prefix (at most 4,096 groups, summed map-side) show which prefix holds the
-    wanted rank; the next step looks only inside that prefix, three hex digits deeper. The loop
-    ends once the prefix holds few enough rows to sort them, so the final top-k is bounded by
-    `boundary_rows` and never by the table. The first counts also give the table's size, which a
-    share needs.
+    A first scan counts rows per hash prefix (at most 4,096 groups, summed map-side) and so shows
+    which prefix holds the wanted rank; a second one keeps the rows of that prefix, about one in
+    4,096. What is left to do, going three hex digits deeper until few rows remain to sort, reads
+    only those. `boundary_rows` says how few, and has no influence on the result. If the pair at the
+    cut occurs more than once, the cut would have to go through equal rows, which is an error.
     """
-    hashed = df.select(digest.alias("h"), F.col(key).alias("k"))
+    rows = df.select(digest.alias("h"), F.col(key).alias("k"))
     prefix, wanted, inside = "", F.lit(size), None
     if share is not None:
         wanted = F.ceil(F.lit(share) * F.sum("n").over(Window.partitionBy()))
     while len(prefix) < _HASH_DIGITS and (inside is None or inside > boundary_rows):
         width = min(len(prefix) + _DIGITS_PER_STEP, _HASH_DIGITS)
-        counts = (
-            hashed.filter(F.col("h").startswith(prefix))
-            .groupBy(F.substring("h", 1, width).alias("p"))
-            .agg(F.count("*").alias("n"))
-        )
+        counts = rows.groupBy(F.substring("h", 1, width).alias("p")).agg(F.count("*").alias("n"))
         # The windows run over the at most 4,096 counts.
         row = (
             counts.withColumns({"upto": F.sum("n").over(Window.orderBy("p")), "wanted": wanted})
@@ -68,18 +64,21 @@ def smallest_cut(
             if size:
                 raise ValueError(f"cut of {size} rows is larger than the table")
             return Cut(None, None)
-        prefix, inside = row.p, row.n
         remaining = row.wanted - (row.upto - row.n)
-        wanted = F.lit(remaining)
-    if inside > boundary_rows:
-        raise ValueError(f"{inside} rows share one hash: {key} is not unique")
+        prefix, inside, wanted = row.p, row.n, F.lit(remaining)
+        within = rows.filter(F.col("h").startswith(prefix))
+        rows = durable(within) if width == _DIGITS_PER_STEP else within
+    pairs = rows.groupBy("h", "k").agg(F.count("*").alias("copies"))
+    # Few pairs are left, or one hash that many of them share.
+    running = F.sum("copies").over(Window.orderBy("h", "k"))
     last = (
-        hashed.filter(F.col("h").startswith(prefix))
-        .orderBy("h", "k")
-        .offset(remaining - 1)
-        .limit(1)
+        pairs.withColumn("upto", running)
+        .filter(F.col("upto") >= remaining)
+        .orderBy("upto")
         .first()
     )
+    if last.copies > 1:
+        raise ValueError(f"{key} {last.k} occurs {last.copies} times at the cut")
     return Cut(last.h, last.k)
 
 
@@ -111,33 +110,37 @@ def exact_split(
 def number_within(df: DataFrame, group: list[str], order: list[str], out: str) -> DataFrame:
     """row_number per group where one group may be a third of the table.
 
-    A window by group would sort each group in one task. Here the rows are range-partitioned by
-    group and order, so a large group spreads over many slices; each slice is numbered by itself
-    and shifted by the rows its group has in earlier slices. The slices are checkpointed because
-    their bounds are sampled and both branches must see the same ones.
+    A window by group would sort each group in one task. Here one range shuffle by group and order
+    spreads a large group over many sorted slices, and a row's place in its slice is its number but
+    for a shift. The shifts have one row for each group that a slice meets, which is at most as many
+    as slices and groups together; they are broadcast, so the rows move no second time. The slices
+    are checkpointed because their bounds are sampled and both branches must see the same ones.
     """
     slices = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    # The low 33 bits of the id count the rows of a partition, in their sorted order.
+    place = F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))
     ranged = durable(
-        df.repartitionByRange(slices, *group, *order).withColumn("_slice", F.spark_partition_id())
+        df.repartitionByRange(slices, *group, *order)
+        .sortWithinPartitions(*group, *order)
+        .withColumns({"_slice": F.spark_partition_id(), "_place": place})
     )
     earlier = (
         Window.partitionBy(*group).orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
     )
-    sizes = ranged.groupBy(*group, "_slice").agg(F.count("*").alias("_rows"))
-    # A slice meets few groups, so there are about as many sizes as slices and groups.
+    sizes = ranged.groupBy(*group, "_slice").agg(
+        F.count("*").alias("_rows"), F.min("_place").alias("_first")
+    )
     shifts = sizes.select(
         *[F.col(g).alias(f"_of_{g}") for g in group],
         F.col("_slice").alias("_of_slice"),
-        F.coalesce(F.sum("_rows").over(earlier), F.lit(0)).alias("_shift"),
+        (F.coalesce(F.sum("_rows").over(earlier), F.lit(0)) - F.col("_first")).alias("_shift"),
     )
-    within = Window.partitionBy(*group, "_slice").orderBy(*order)
     same = F.col("_slice") == F.col("_of_slice")
     for g in group:
         same = same & F.col(g).eqNullSafe(F.col(f"_of_{g}"))
     return (
-        ranged.withColumn("_n", F.row_number().over(within))
-        .join(shifts, same)
-        .withColumn(out, F.col("_n") + F.col("_shift"))
+        ranged.join(F.broadcast(shifts), same)
+        .withColumn(out, F.col("_place") + F.col("_shift") + 1)
         .select(*df.columns, out)
     )
 

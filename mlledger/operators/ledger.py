@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from mlledger.functions.classify import error_excerpt, exit_failure_class, exit_status
 from mlledger.functions.jsontext import has_key, or_empty_object, text_of
 from mlledger.operators.exact import first_per_key
-from mlledger.schemas import PLATFORM_ROWS, PLATFORMS, RUN_SCHEMA
+from mlledger.schemas import PLATFORM_ROWS, PLATFORMS, RUN_SCHEMA, STAGES, fixed_table
 
 # Params keys that hand a value to the next stage; earlier model keys win.
 ARTIFACT_KEY = "model_artifact_uri"
@@ -32,10 +32,9 @@ def with_platform(df: DataFrame) -> DataFrame:
 def per_platform(dim: DataFrame, report: DataFrame) -> DataFrame:
     """Attach a report with one row per platform to the platforms; clean platforms keep a row.
 
-    Only the five platforms are taken from the report, which bounds the broadcast.
+    A platform of the report that the dimension lacks keeps its row, too.
     """
-    rows = report.filter(F.col("platform").isin(PLATFORMS))
-    return dim.join(F.broadcast(rows), "platform", "left")
+    return dim.join(report, "platform", "full_outer")
 
 
 def stamp_created(df: DataFrame) -> DataFrame:
@@ -54,11 +53,15 @@ def absent_rows(
 ) -> DataFrame:
     """Incoming rows whose key the table does not hold yet, one per key.
 
-    Only the key column of the table is read.
+    Only the key column of the table is read. It is first reduced to the keys that are offered
+    again: where these are few, Spark broadcasts them by their measured size, and a small batch
+    doesn't shuffle the table.
     """
     others = [F.col(c) for c in sorted(incoming.columns) if c != key]
     unique = first_per_key(incoming, [key], order or others)
-    return unique.join(existing.select(key), key, "left_anti")
+    offered = incoming.select(key).distinct()
+    held = existing.select(key).join(offered, key, "left_semi")
+    return unique.join(held, key, "left_anti")
 
 
 def load_counts(incoming: DataFrame, existing: DataFrame, key: str) -> DataFrame:
@@ -94,15 +97,26 @@ def reconcile_ownership(job_log: DataFrame, adapter_log: DataFrame) -> DataFrame
     A train success in the adapter log only says that the job was handed over. The job log holds
     a run once, so only its keys are shuffled.
     """
-    handed_over = (F.col("stage") == "train") & (F.col("status") == "success")
+    handed_over = F.coalesce(
+        (F.col("stage") == "train") & (F.col("status") == "success"), F.lit(False)
+    )
     order = [F.col("created_at"), F.col("attempt")]
     rest = absent_rows(adapter_log.filter(~handed_over), job_log, "run_id", order)
     return job_log.unionByName(rest)
 
 
 def next_attempts(runs: DataFrame) -> DataFrame:
-    """The attempt number the next run of each (platform, stage) gets."""
-    return runs.groupBy("platform", "stage").agg((F.count("*") + 1).alias("next_attempt"))
+    """The attempt number the next run of each (platform, stage) gets; 1 where none ran yet.
+
+    All pairs of the fixed domains have a row, and so has any other pair that occurs.
+    """
+    held = runs.groupBy("platform", "stage").agg(F.count("*").alias("runs"))
+    pairs = fixed_table(
+        runs.sparkSession, ["platform", "stage"], [(p, s) for p in PLATFORMS for s in STAGES]
+    )
+    return pairs.join(held, ["platform", "stage"], "full_outer").select(
+        "platform", "stage", (F.coalesce("runs", F.lit(0)) + 1).alias("next_attempt")
+    )
 
 
 def runs_from_jobs(jobs: DataFrame, manifests: DataFrame) -> DataFrame:
@@ -144,22 +158,28 @@ def runs_from_jobs(jobs: DataFrame, manifests: DataFrame) -> DataFrame:
     )
 
 
-def merge_params(runs: DataFrame, patches: DataFrame) -> DataFrame:
+def merge_params(
+    runs: DataFrame, patches: DataFrame, reached: Column | None = None
+) -> DataFrame:
     """Shallow JSON merge of patches into params; the patch wins, and no row is added.
 
     patches: run_id, patch (JSON object text), patch_no. Several patches of one run are first
     reduced to the last value per key, so a run with very many patches is combined map-side.
+    Params that are no JSON object stay as they are (`merge_outcomes` names such runs). `reached`
+    says which runs patches apply to; by default all.
     """
+    given = F.from_json("params", "map<string,variant>")
     merged = F.map_concat(
         F.map_filter(
-            F.from_json("params", "map<string,variant>"),
+            given,
             lambda k, v: ~F.coalesce(F.map_contains_key("patch_map", k), F.lit(False)),
         ),
         F.col("patch_map"),
     )
-    patched = F.when(F.col("patch_map").isNull(), F.col("params")).otherwise(
-        F.to_json(merged)
-    )
+    applies = F.col("patch_map").isNotNull() & given.isNotNull()
+    if reached is not None:
+        applies = applies & F.coalesce(reached, F.lit(False))
+    patched = F.when(applies, F.to_json(merged)).otherwise(F.col("params"))
     return (
         runs.withColumn("params", or_empty_object("params"))
         .join(last_patches(patches), "run_id", "left")
@@ -175,7 +195,9 @@ def last_patches(patches: DataFrame) -> DataFrame:
         "patch_no",
         F.explode(F.from_json("patch", "map<string,variant>")).alias("key", "value"),
     ).withColumn("value", F.to_json("value"))
-    last = entries.groupBy("run_id", "key").agg(F.max_by("value", "patch_no").alias("value"))
+    # Of two patches with one number the larger text wins, so the result is always the same.
+    newest = F.max(F.struct("patch_no", "value"))["value"]
+    last = entries.groupBy("run_id", "key").agg(newest.alias("value"))
     pair = F.struct("key", F.parse_json("value").alias("value"))
     return last.groupBy("run_id").agg(
         F.map_from_entries(F.collect_list(pair)).alias("patch_map")
@@ -183,10 +205,10 @@ def last_patches(patches: DataFrame) -> DataFrame:
 
 
 def merge_outcomes(runs: DataFrame, patches: DataFrame) -> DataFrame:
-    """What a hand-over merge did per run: merged, absent, or skipped_collected.
+    """What a hand-over merge did per run: merged, absent, skipped_collected, or unreadable.
 
-    A collected row reaches the ledger later than its patch, so it is never merged. Runs that
-    hand over nothing are left out.
+    A collected row reaches the ledger later than its patch, so it is never merged; params that are
+    no JSON object are unreadable and stay. Runs that hand over nothing are left out.
     """
     asked = (
         patches.filter(F.size(F.json_object_keys("patch")) > 0).select("run_id").distinct()
@@ -194,17 +216,18 @@ def merge_outcomes(runs: DataFrame, patches: DataFrame) -> DataFrame:
     outcome = (
         F.when(F.col("write_path").isNull(), "absent")
         .when(F.col("write_path") == "collected", "skipped_collected")
+        .when(F.from_json("params", "map<string,variant>").isNull(), "unreadable")
         .otherwise("merged")
     )
-    return asked.join(runs.select("run_id", "write_path"), "run_id", "left").select(
+    held = runs.select("run_id", "write_path", or_empty_object("params").alias("params"))
+    return asked.join(held, "run_id", "left").select(
         "run_id", outcome.alias("outcome")
     )
 
 
 def handoff_merge(runs: DataFrame, patches: DataFrame) -> DataFrame:
     """merge_params right after training, which only reaches directly delivered rows."""
-    direct = runs.filter(F.col("write_path") == "direct").select("run_id")
-    return merge_params(runs, patches.join(direct, "run_id", "left_semi"))
+    return merge_params(runs, patches, F.col("write_path") == "direct")
 
 
 def first_success(runs: DataFrame) -> DataFrame:

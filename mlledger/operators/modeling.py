@@ -6,9 +6,10 @@ import math
 from dataclasses import dataclass
 from functools import reduce
 
+from pyspark import SparkContext
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.feature import VectorAssembler
-from pyspark.ml.regression import GBTRegressor, RandomForestRegressor
+from pyspark.ml.regression import GBTRegressionModel, GBTRegressor, RandomForestRegressor
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -16,7 +17,6 @@ from mlledger.operators.params import DEFAULT_PATIENCE, DEFAULT_ROUNDS, DEFAULTS
 from mlledger.schemas import FEATURES, ROW_ID, SEED, TARGET, fixed_table
 from mlledger.session import ensure_checkpoints
 
-FIRST_ROUNDS = 64
 BASELINE_TREES = 100
 BASELINE_LIMIT = 10.0
 
@@ -36,18 +36,26 @@ def stable_layout(df: DataFrame, partitions: int, key: str = ROW_ID) -> DataFram
     return df.repartition(partitions, key).sortWithinPartitions(key)
 
 
+def partitions_for(df: DataFrame, rows_each: int = 500_000) -> int:
+    """Partitions of a fit such that each holds about `rows_each` rows."""
+    return max(1, math.ceil(df.count() / rows_each))
+
+
 def _assembler() -> VectorAssembler:
     return VectorAssembler(inputCols=FEATURES, outputCol="features")
 
 
 def _gbt(params: dict, seed: int, rounds: int) -> GBTRegressor:
+    depth = int(params["max_depth"])
     return GBTRegressor(
         featuresCol="features",
         labelCol=TARGET,
         predictionCol="prediction",
         maxIter=rounds,
         stepSize=float(params["learning_rate"]),
-        maxDepth=max(1, math.ceil(math.log2(params["num_leaves"] + 1))),
+        maxDepth=depth if depth > 0 else max(1, math.ceil(math.log2(params["num_leaves"] + 1))),
+        maxBins=int(params["max_bin"]),
+        minInfoGain=float(params["min_gain_to_split"]),
         featureSubsetStrategy=str(params["feature_fraction"]),
         subsamplingRate=float(params["bagging_fraction"]),
         minInstancesPerNode=int(params["min_data_in_leaf"]),
@@ -56,6 +64,25 @@ def _gbt(params: dict, seed: int, rounds: int) -> GBTRegressor:
     )
 
 
+def first_rounds(model: GBTRegressionModel, rounds: int) -> GBTRegressionModel:
+    """The model as it was after its first rounds. Each round only adds a tree, so a shorter fit is
+    a prefix of a longer one and nothing has to be fitted again."""
+    jvm = model._java_obj
+    sc = SparkContext._active_spark_context
+    trees = sc._gateway.new_array(
+        sc._jvm.org.apache.spark.ml.regression.DecisionTreeRegressionModel, rounds
+    )
+    weights = sc._gateway.new_array(sc._jvm.double, rounds)
+    for i in range(rounds):
+        trees[i], weights[i] = jvm.trees()[i], float(jvm.treeWeights()[i])
+    cut = sc._jvm.org.apache.spark.ml.regression.GBTRegressionModel(
+        model.uid, trees, weights, model.numFeatures
+    )
+    for name in ("featuresCol", "labelCol", "predictionCol"):
+        cut.set(cut.getParam(name), model.getOrDefault(name))
+    return GBTRegressionModel(cut)
+
+
 def best_round(losses: list[float], patience: int) -> int:
     """1-based round with the lowest loss, looking `patience` rounds past the best so far."""
     best = 0
@@ -77,10 +104,12 @@ def train(
 ) -> Trained:
     """Boosted trees, cut at the best round on the validation rows.
 
-    data has the gold columns and `split`. A shorter fit is an exact prefix of a longer one. So
-    the number of rounds doubles until the best round lies `patience` behind the last one, which
-    avoids most rounds past the best, and the final model is one more fit with the best number.
+    data has the gold columns and `split`. The number of rounds doubles until the best round lies
+    `patience` behind the last one, which avoids most rounds past the best; the model is then cut
+    to its best number of rounds. An override that the learner doesn't know is an error.
     """
+    if unknown := set(overrides or {}) - set(DEFAULTS):
+        raise ValueError(f"the learner has no parameters {sorted(unknown)}")
     params = {**DEFAULTS, **(overrides or {})}
     ensure_checkpoints(data.sparkSession)
     assembler = _assembler()
@@ -89,7 +118,7 @@ def train(
     held_out = assembler.transform(data.filter(F.col("split") == "valid"))
     valid_rows = held_out.select("features", TARGET).persist()
     try:
-        fitted = min(rounds, FIRST_ROUNDS)
+        fitted = min(rounds, max(16, 2 * patience))
         while True:
             model = _gbt(params, seed, fitted).fit(fit_rows)
             losses = list(model.evaluateEachIteration(valid_rows, "squared"))
@@ -98,7 +127,7 @@ def train(
                 break
             fitted = min(rounds, 2 * fitted)
         if best < fitted:
-            model = _gbt(params, seed, best).fit(fit_rows)
+            model = first_rounds(model, best)
     finally:
         fit_rows.unpersist()
         valid_rows.unpersist()
@@ -139,12 +168,13 @@ def baseline_is_sane(metrics: dict) -> bool:
 def feature_importance(nodes: DataFrame, features: list[str] = FEATURES) -> DataFrame:
     """feature, gain, split from the node table of a saved tree ensemble.
 
-    Inner nodes carry their gain and the feature they split on. Features no tree uses get zeros.
+    Inner nodes carry the feature they split on and their gain for each row; times the rows of the
+    node it is the loss that the split takes away. Features no tree uses get zeros.
     """
     node = F.col("nodeData")
     inner = nodes.filter(node["leftChild"] >= 0)
     used = inner.groupBy(node["split"]["featureIndex"].alias("feature_no")).agg(
-        F.sum(node["gain"]).alias("gain"), F.count("*").alias("split")
+        F.sum(node["gain"] * node["rawCount"]).alias("gain"), F.count("*").alias("split")
     )
     names = fixed_table(nodes.sparkSession, ["feature_no", "feature"], list(enumerate(features)))
     return (

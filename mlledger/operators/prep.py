@@ -146,9 +146,10 @@ def split(
 def fingerprint(df: DataFrame, columns: list[str]) -> DataFrame:
     """Content fingerprint that ignores row order, file layout and partitioning.
 
-    The xor cancels pairs of equal rows, the sum does not; both are partial aggregates.
+    The xor cancels pairs of equal rows, the sum does not; both are partial aggregates. A hash
+    passes over nulls, so each column goes in with a null flag that keeps them in their place.
     """
-    row_hash = F.xxhash64(*columns)
+    row_hash = F.xxhash64(*[part for c in columns for part in (F.col(c).isNull(), F.col(c))])
     return df.select(row_hash.alias("h")).agg(
         F.count("*").alias("rows"),
         F.bit_xor("h").alias("hash_xor"),
@@ -157,7 +158,14 @@ def fingerprint(df: DataFrame, columns: list[str]) -> DataFrame:
 
 
 def portable_fingerprint(df: DataFrame, texts: list[Column]) -> DataFrame:
-    """The same idea over md5 of given texts, for a check by another engine."""
-    digest = F.md5(F.concat_ws("|", *texts))
+    """The same idea over md5 of given texts, for a check by another engine.
+
+    Each text stands behind its length, and a null is a dash, so neither nulls nor separators in a
+    text can move unseen.
+    """
+    marked = [
+        F.coalesce(F.concat(F.length(t).cast("string"), F.lit(":"), t), F.lit("-")) for t in texts
+    ]
+    digest = F.md5(F.concat(*marked))
     head = F.conv(F.substring(digest, 1, 12), 16, 10).cast("decimal(38,0)")
     return df.agg(F.count("*").alias("rows"), F.sum(head).cast("string").alias("hash_sum"))

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from mlledger.functions.classify import in_lab, missing_object, parent_absent
 from mlledger.operators.ledger import per_platform
-from mlledger.schemas import INFRA_SCHEMA, fixed_table, platform_dim
+from mlledger.schemas import INFRA_SCHEMA, PLATFORMS, fixed_table, platform_dim
 
 # What is checked per platform. Columns: platform, kind, severity, whether only
 # names with the lab's prefix count, the state that counts (null: any), and the URI scheme of a
@@ -125,11 +125,18 @@ def _verdicts(checked: DataFrame) -> DataFrame:
     )
 
 
-def findings(checked: DataFrame) -> DataFrame:
+def _checked_dim(df: DataFrame, checked: list[str]) -> DataFrame:
+    dim = platform_dim(df.sparkSession).select("platform")
+    return dim.filter(F.col("platform").isin(checked))
+
+
+def findings(checked: DataFrame, platforms: list[str] = PLATFORMS) -> DataFrame:
     """platform, kind, severity, item_count, note; kinds without residue give no row.
 
+    platforms: those that were listed. Nothing is said about the others.
+
     A failed listing voids the items of its kind and becomes an ERROR finding, unless its parent
-    is gone. The fixed fail-safe row is always there.
+    is gone. The fixed fail-safe row is there if its platform was checked.
     """
     broken = F.coalesce(F.col("problem") != "", F.lit(False))
     left = F.col("problem").isNull() & (F.col("items") > 0)
@@ -145,7 +152,8 @@ def findings(checked: DataFrame) -> DataFrame:
         )
     )
     fixed = fixed_table(checked.sparkSession, _FINDING, [FAIL_SAFE])
-    return found.unionByName(fixed.withColumn("item_count", F.col("item_count").cast("long")))
+    every = found.unionByName(fixed.withColumn("item_count", F.col("item_count").cast("long")))
+    return every.filter(F.col("platform").isin(platforms))
 
 
 def items(checked: DataFrame) -> DataFrame:
@@ -167,6 +175,7 @@ def items(checked: DataFrame) -> DataFrame:
 def item_pages(item_rows: DataFrame, page_rows: int = PAGE_ROWS) -> DataFrame:
     """Items as sorted arrays of about page_rows entries: platform, kind, page, items.
 
+    An item that occurs more than once says how often.
     The page of an item is a hash modulo the number of pages of its kind, so no array grows
     with the inventory.
     """
@@ -175,18 +184,22 @@ def item_pages(item_rows: DataFrame, page_rows: int = PAGE_ROWS) -> DataFrame:
     )
     head = F.conv(F.substring(F.md5("item"), 1, 8), 16, 10).cast("long")
     # At most one row per rule, and there are twenty rules.
+    shown = F.when(
+        F.col("copies") > 1, F.concat("item", F.lit(" ("), "copies", F.lit(" times)"))
+    ).otherwise(F.col("item"))
     paged = item_rows.join(F.broadcast(sizes), ["platform", "kind"]).withColumn(
         "page", head % F.col("pages")
     )
     return paged.groupBy("platform", "kind", "page").agg(
-        F.array_sort(F.collect_list("item")).alias("items")
+        F.array_sort(F.collect_list(shown)).alias("items")
     )
 
 
-def summary(all_findings: DataFrame) -> DataFrame:
-    """One row per platform, also for a clean one: counts, status and the blocking flag.
+def summary(all_findings: DataFrame, checked: list[str] = PLATFORMS) -> DataFrame:
+    """One row per checked platform, also for a clean one: counts, status and the blocking flag.
 
-    `status` fails on FAIL only; `blocking` also on ERROR.
+    `status` fails on FAIL only; `blocking` also on ERROR. A platform that was not checked has no
+    row, as nothing is known about it.
     """
     tallies = all_findings.groupBy("platform").agg(
         F.count("*").alias("findings"),
@@ -194,9 +207,8 @@ def summary(all_findings: DataFrame) -> DataFrame:
         F.count_if(F.col("severity") == "ERROR").alias("errors"),
         F.count_if(F.col("severity") == "WARN").alias("warnings"),
     )
-    dim = platform_dim(all_findings.sparkSession).select("platform")
     counts = ["findings", "fails", "errors", "warnings"]
-    joined = per_platform(dim, tallies).fillna(0, counts)
+    joined = per_platform(_checked_dim(all_findings, checked), tallies).fillna(0, counts)
     return joined.select(
         "platform",
         *counts,
@@ -205,63 +217,52 @@ def summary(all_findings: DataFrame) -> DataFrame:
     )
 
 
-def with_short_items(
-    all_findings: DataFrame, item_rows: DataFrame, page_rows: int = PAGE_ROWS
-) -> DataFrame:
-    """Findings with their items as an array where those fit one page; longer ones stay in rows."""
-    short = all_findings.filter(F.col("item_count") <= page_rows).select("platform", "kind")
-    # At most one row per rule plus the fixed one.
-    picked = item_rows.join(F.broadcast(short), ["platform", "kind"], "left_semi")
-    texts = F.array_repeat("item", F.col("copies").cast("int"))
-    arrays = picked.groupBy("platform", "kind").agg(
-        F.array_sort(F.flatten(F.collect_list(texts))).alias("items")
-    )
-    fixed = F.when(F.col("kind") == FAIL_SAFE[1], F.array(F.lit(FAIL_SAFE_ITEM)))
-    # Again at most one row per rule.
-    return (
-        all_findings.join(F.broadcast(arrays), ["platform", "kind"], "left")
-        .withColumn("items", F.coalesce("items", fixed, F.array().cast("array<string>")))
-    )
-
+def report_lines(all_findings: DataFrame, pages: DataFrame) -> DataFrame:
+    """Text lines of a report: platform, kind, page, line.
 
-def report_lines(full_findings: DataFrame) -> DataFrame:
-    """One text line per finding with items."""
-    listed = F.when(F.size("items") > 0, F.array_join("items", ", ")).when(
-        F.col("item_count") > 0, F.concat(F.col("item_count"), F.lit(" items"))
-    )
+    pages: item_pages of the same check. A finding has one line for each page of its items, or one
+    with a dash if it has none.
+    """
+    shown = pages.withColumnRenamed("items", "listed")
     note = F.when(F.col("note").isNotNull(), F.concat(F.lit("  # "), "note")).otherwise("")
-    return full_findings.select(
+    fixed = F.when(F.col("kind") == FAIL_SAFE[1], F.lit(FAIL_SAFE_ITEM))
+    listed = F.coalesce(F.array_join("listed", ", "), fixed, F.lit("-"))
+    return all_findings.join(shown, ["platform", "kind"], "left").select(
         "platform",
         "kind",
-        F.concat(
-            F.format_string("[%s] %s/%s: ", "severity", "platform", "kind"),
-            F.coalesce(listed, F.lit("-")),
-            note,
-        ).alias("line"),
+        F.coalesce("page", F.lit(0)).alias("page"),
+        F.concat(F.format_string("[%s] %s/%s: ", "severity", "platform", "kind"), listed, note).alias(
+            "line"
+        ),
     )
 
 
-def infra_events(full_findings: DataFrame, check_id: str, checked_at: Column) -> DataFrame:
-    """infra_events rows of one check, one per platform even where nothing was found.
+def check_event_id(check_id: str) -> Column:
+    """The id of a platform's event in a check, so recording the same check twice adds nothing."""
+    digest = F.md5(F.concat(F.lit(f"{check_id}:"), "platform"))
+    cuts = [(1, 8), (9, 4), (13, 4), (17, 4), (21, 12)]
+    return F.concat_ws("-", *[F.substring(digest, a, n) for a, n in cuts])
+
 
-    The id comes from check and platform, so recording the same check twice adds nothing. The
-    array has one entry per rule at most.
+def infra_events(
+    all_findings: DataFrame, check_id: str, checked_at: Column, checked: list[str] = PLATFORMS
+) -> DataFrame:
+    """infra_events rows of one check, one per checked platform even where nothing was found.
+
+    A finding carries its number of items; the items themselves are rows of `event_items` with the
+    same event_id. The array has one entry per rule at most.
     """
-    entry = F.struct("platform", "kind", "severity", "item_count", "items", "note")
-    grouped = full_findings.groupBy("platform").agg(
+    entry = F.struct("platform", "kind", "severity", "item_count", "note")
+    grouped = all_findings.groupBy("platform").agg(
         F.array_sort(F.collect_list(entry)).alias("findings"),
         F.bool_or(F.col("severity") == "FAIL").alias("failed"),
     )
-    digest = F.md5(F.concat(F.lit(f"{check_id}:"), "platform"))
-    cuts = [(1, 8), (9, 4), (13, 4), (17, 4), (21, 12)]
-    event_id = F.concat_ws("-", *[F.substring(digest, a, n) for a, n in cuts])
-    kinds = full_findings.select(entry.alias("e")).schema["e"].dataType
+    kinds = all_findings.select(entry.alias("e")).schema["e"].dataType
     empty = F.array().cast(f"array<{kinds.simpleString()}>")
-    rows = platform_dim(full_findings.sparkSession).select("platform")
     body = F.struct(F.coalesce("findings", empty).alias("findings"))
     status = F.when(F.coalesce("failed", F.lit(False)), "failure").otherwise("success")
-    event = per_platform(rows, grouped).select(
-        event_id.alias("event_id"),
+    event = per_platform(_checked_dim(all_findings, checked), grouped).select(
+        check_event_id(check_id).alias("event_id"),
         "platform",
         F.lit("destroy").alias("action"),
         F.lit(None).alias("duration_seconds"),
@@ -271,3 +272,10 @@ def infra_events(full_findings: DataFrame, check_id: str, checked_at: Column) ->
         checked_at.alias("created_at"),
     )
     return event.select(*[F.col(f.name).cast(f.dataType) for f in INFRA_SCHEMA.fields])
+
+
+def event_items(pages: DataFrame, check_id: str) -> DataFrame:
+    """All items of a check, whatever their number: event_id, platform, kind, page, items."""
+    return pages.select(
+        check_event_id(check_id).alias("event_id"), "platform", "kind", "page", "items"
+    )

@@ -87,8 +87,9 @@ def friction(runs: DataFrame) -> DataFrame:
     """Tries until the first success and failures per (platform, stage); null: never worked.
 
     The try number of the first success is the number of rows up to it, so two partial
-    aggregates give it and no task sorts a whole (platform, stage), however large. Platforms and
-    stages are those of the fixed domains, which bounds the broadcast to 25 rows.
+    aggregates give it and no task sorts a whole (platform, stage), however large. Whatever
+    platforms and stages there are count; the first successes are one row each, and Spark
+    broadcasts them if their measured size allows.
     """
     kept = without_teardown(runs).select("platform", "stage", "status", "created_at", "run_id")
     moment = F.struct("created_at", "run_id")
@@ -97,8 +98,7 @@ def friction(runs: DataFrame) -> DataFrame:
         .groupBy("platform", "stage")
         .agg(F.min(moment).alias("first_success"))
     )
-    known = first.filter(F.col("platform").isin(PLATFORMS) & F.col("stage").isin(STAGES))
-    joined = kept.join(F.broadcast(known), ["platform", "stage"], "left")
+    joined = kept.join(first, ["platform", "stage"], "left")
     reached = F.count_if(moment <= F.col("first_success"))
     return joined.groupBy("platform", "stage").agg(
         F.when(reached > 0, reached).alias("attempts_until_success"),

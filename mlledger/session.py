@@ -8,8 +8,14 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 
-def local_session(cpus: str = "8", app: str = "mlledger") -> SparkSession:
-    """A local session for tests and the bench; a cluster job brings its own."""
+def local_session(
+    cpus: str = "8", app: str = "mlledger", folder: str | None = None
+) -> SparkSession:
+    """A local session for tests and the bench; a cluster job brings its own.
+
+    folder: where checkpoints and intermediate tables go; by default a temporary one.
+    """
+    root = folder or tempfile.mkdtemp(prefix="mlledger-")
     return (
         SparkSession.builder.master(f"local[{cpus}]")
         .appName(app)
@@ -18,6 +24,7 @@ def local_session(cpus: str = "8", app: str = "mlledger") -> SparkSession:
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.ui.enabled", "false")
         .config("spark.driver.memory", "8g")
+        .config("spark.checkpoint.dir", root)
         .getOrCreate()
     )
 
@@ -25,13 +32,14 @@ def local_session(cpus: str = "8", app: str = "mlledger") -> SparkSession:
 def shared_root(spark: SparkSession) -> str:
     """The folder all executors can reach, as the cluster names it in spark.checkpoint.dir.
 
-    Only a local session without that setting gets a temporary folder.
+    Only a session whose tasks run in the driver's own process gets a temporary folder if it has
+    none; a cluster may name no folder of a single machine.
     """
     sc = spark.sparkContext
     root = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
     if root:
         return root.rstrip("/")
-    if not sc.master.startswith("local"):
+    if sc.master != "local" and not sc.master.startswith("local["):
         raise RuntimeError("spark.checkpoint.dir must name a shared folder on a cluster")
     sc.setCheckpointDir(tempfile.mkdtemp(prefix="mlledger-"))
     return sc.getCheckpointDir()

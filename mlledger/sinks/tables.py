@@ -26,6 +26,10 @@ TABLES: dict[str, tuple[StructType, tuple[str, ...]]] = {
 }
 
 
+#: Rows in an exported file, which keeps it far below the 2 GB that a checksum can take.
+EXPORT_FILE_ROWS = 10_000_000
+
+
 def create_table(
     spark: SparkSession, path: str, schema: StructType, partition_by: tuple[str, ...] = ()
 ) -> None:
@@ -75,7 +79,7 @@ def append_absent(
     rows = absent_rows(incoming, existing, key, order).select(
         *[F.col(f.name).cast(f.dataType).alias(f.name) for f in schema.fields]
     )
-    counted = rows.observe(seen, F.count(F.lit(1)).alias("inserted"))
+    counted = rows.hint("rebalance").observe(seen, F.count(F.lit(1)).alias("inserted"))
     counted.write.mode("append").partitionBy(*partition_by).parquet(path)
     return seen.get["inserted"]
 
@@ -111,7 +115,7 @@ def export_dataset(df: DataFrame, path: str) -> DataFrame:
     """
     if df.isEmpty():
         raise DataContractError("nothing to export")
-    df.write.mode("errorifexists").parquet(path)
+    df.write.mode("errorifexists").option("maxRecordsPerFile", EXPORT_FILE_ROWS).parquet(path)
     spark = df.sparkSession
     written = spark.read.parquet(path)
     name = F.element_at(F.split("path", "/"), -1)

@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from mlledger.schemas import INVENTORY_SCHEMA
 
@@ -28,25 +27,26 @@ COST_EXPORTS = {
     "azureml": FLAT_COST_SCHEMA,
 }
 
-# Fixed value: the last line of an infrastructure run.
-_DONE = (
-    r"(?:Apply|Destroy) complete! Resources: "
-    r"(?:(\d+) added, (\d+) changed, )?(\d+) destroyed"
-)
+# Fixed value: how the last line of an infrastructure run begins.
+_DONE = r"(?:Apply|Destroy) complete! Resources: [^\n]*?"
 
 
 def read_cost_export(spark: SparkSession, platform: str, path: str) -> DataFrame:
-    """The billing export of one platform, JSON or Parquet, with its fixed schema."""
+    """The billing export of one platform, JSON or Parquet, with its fixed schema.
+
+    A malformed row ends the read with an error: costs that can't be read are not zero.
+    """
     schema = COST_EXPORTS[platform]
     if path.rstrip("/").endswith(".parquet"):
         return spark.read.schema(schema).parquet(path)
     multi_line = "true" if platform == "sagemaker" else "false"
-    return spark.read.schema(schema).option("multiLine", multi_line).json(path)
+    reader = spark.read.schema(schema).option("multiLine", multi_line)
+    return reader.option("mode", "FAILFAST").json(path)
 
 
 def read_inventory(spark: SparkSession, path: str) -> DataFrame:
-    """Resource listings of all platforms in one schema."""
-    return spark.read.schema(INVENTORY_SCHEMA).json(path)
+    """Resource listings of all platforms in one schema; a malformed row is an error."""
+    return spark.read.schema(INVENTORY_SCHEMA).option("mode", "FAILFAST").json(path)
 
 
 def resource_count(output: Column, action: Column) -> Column:
@@ -55,8 +55,9 @@ def resource_count(output: Column, action: Column) -> Column:
     A saved destroy plan is run by `apply` and reports `0 added`, so for a destroy only the
     last number counts.
     """
-    added = F.regexp_extract(output, _DONE, 1)
-    destroyed = F.regexp_extract(output, _DONE, 3)
+    added, destroyed = (
+        F.regexp_extract(output, _DONE + rf"\b(\d+) {word}", 1) for word in ("added", "destroyed")
+    )
     number = F.when((action == "destroy") | (added == ""), destroyed).otherwise(added)
     return F.when(number != "", number).try_cast("int")
 
@@ -76,7 +77,3 @@ def read_transcripts(spark: SparkSession, folder: str) -> DataFrame:
     )
     return logs.withColumn("resource_count", resource_count(F.col("output"), F.col("action")))
 
-
-OBJECT_LISTING_SCHEMA = T.StructType(
-    [T.StructField("uri", T.StringType()), T.StructField("length", T.LongType())]
-)

@@ -22,22 +22,25 @@ _MANIFEST_PATH = r"/run\.json(/part-[^/]*)?$"
 _CORRUPT = T.StructField("_corrupt_record", T.StringType())
 
 
-def _line_reader(reader: DataFrameReader | DataStreamReader):
+def _line_reader(reader: DataFrameReader | DataStreamReader, names: str = LINE_FILES):
     schema = T.StructType([*RUN_LINE_SCHEMA.fields, _CORRUPT])
     return (
         reader.schema(schema)
         .option("recursiveFileLookup", "true")
-        .option("pathGlobFilter", LINE_FILES)
+        .option("pathGlobFilter", names)
         .option("columnNameOfCorruptRecord", "_corrupt_record")
     )
 
 
-def read_lines(spark: SparkSession, folder: str) -> DataFrame:
-    """Every fallback line below a folder; a folder without any fallback file is an error."""
-    df = _line_reader(spark.read).json(folder)
-    if not df.inputFiles():
-        raise FileNotFoundError(f"no {LINE_FILES} below {folder}")
-    return with_line_defaults(df)
+def read_lines(spark: SparkSession, folder: str, names: str = LINE_FILES) -> DataFrame:
+    """Every fallback line below a folder; a folder without any fallback file is an error.
+
+    names: glob of the file names.
+    """
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true")
+    if files.option("pathGlobFilter", names).load(folder).select("path").isEmpty():
+        raise FileNotFoundError(f"no {names} below {folder}")
+    return with_line_defaults(_line_reader(spark.read, names).json(folder))
 
 
 def stream_lines(spark: SparkSession, folder: str, files_per_batch: int | None = None) -> DataFrame:

@@ -20,11 +20,12 @@ def read_dataset(
         reader = reader.schema(schema)
     df = reader.parquet(path)
     if single_file:
-        files = df.inputFiles()
+        listed = spark.read.format("binaryFile").option("pathGlobFilter", "*.parquet").load(path)
+        files = listed.select("path").limit(2).count()
         if not files:
             raise FileNotFoundError(f"no Parquet file under {path}")
-        if len(files) > 1:
-            raise ValueError(f"expected one Parquet file under {path}, found {len(files)}")
+        if files > 1:
+            raise ValueError(f"expected one Parquet file under {path}, found more")
     return df
 
 
@@ -50,10 +51,18 @@ def read_jdbc(
 
 
 def page(df: DataFrame, limit: int, offset: int = 0, key: str = ROW_ID) -> DataFrame:
-    """One page in key order. Spark keeps only limit + offset rows per task."""
+    """One page in key order. Spark keeps limit + offset rows per task, so for deep pages use
+    `page_after`."""
     return df.orderBy(key).offset(offset).limit(limit)
 
 
+def page_after(df: DataFrame, limit: int, last: int | None, key: str = ROW_ID) -> DataFrame:
+    """The page that follows the key `last` (null: the first page). The filter reaches the scan,
+    and a task keeps no more than `limit` rows, however deep the page is."""
+    rest = df if last is None else df.filter(F.col(key) > last)
+    return rest.orderBy(key).limit(limit)
+
+
 def lookup(df: DataFrame, ids: DataFrame | Iterable[int], key: str = ROW_ID) -> DataFrame:
     """Rows with the given ids.
 

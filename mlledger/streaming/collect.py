@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from typing import NamedTuple
+
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
@@ -19,11 +21,13 @@ def collect_stream(
     folder: str,
     ledger: str,
     checkpoint: str,
-    rejects: str | None = None,
+    rejects: str,
     files_per_batch: int | None = None,
 ) -> StreamingQuery:
     """Ingest new fallback files into the ledger and stop when none is left.
 
+    Lines that can't be decoded are kept below `rejects` with the reason.
+
     A batch appends only run ids the ledger lacks, so a batch repeated after a failure, a file
     delivered twice, or a second start adds nothing.
     """
@@ -36,8 +40,7 @@ def collect_stream(
             append_absent(
                 runs, ledger, "run_id", RUN_SCHEMA, _arrival_order(runs), PARTITIONS
             )
-            if rejects is not None:
-                rejected_lines(kept).write.mode("overwrite").json(f"{rejects}/batch={batch_no}")
+            rejected_lines(kept).write.mode("overwrite").json(f"{rejects}/batch={batch_no}")
         finally:
             kept.unpersist()
 
@@ -54,22 +57,37 @@ def _arrival_order(runs: DataFrame) -> list[Column]:
     return [F.col(c) for c in ["attempt", "status", "metrics", "params"] if c in runs.columns]
 
 
-def collect_batch(spark: SparkSession, lines: DataFrame, ledger: str) -> int:
-    """The same ingest for lines that were read as a batch; returns the inserted rows."""
+class Collected(NamedTuple):
+    inserted: int
+    skipped: int
+    rejected: int
+
+
+def collect_batch(
+    spark: SparkSession, lines: DataFrame, ledger: str, rejects: str
+) -> Collected:
+    """The same ingest for lines that were read as a batch. Refused lines are appended to the
+    folder `rejects`, so none is lost."""
     create_table(spark, ledger, RUN_SCHEMA, PARTITIONS)
     runs = stamp_created(good_lines(lines)).withColumn("write_path", F.lit("collected"))
-    return append_absent(
+    inserted = append_absent(
         runs, ledger, "run_id", RUN_SCHEMA, _arrival_order(runs), PARTITIONS
     )
+    seen = Observation()
+    bad = rejected_lines(lines).observe(seen, F.count(F.lit(1)).alias("rejected"))
+    bad.write.mode("append").json(rejects)
+    rejected = seen.get["rejected"]
+    return Collected(inserted, lines.count() - inserted - rejected, rejected)
 
 
 def counters(lines: DataFrame) -> DataFrame:
     """Runs, failures and next attempt per (platform, stage), on a batch or a stream.
 
-    Only lines that decode count, so the groups stay within the fixed domains and the state
-    needs no watermark.
+    Only lines that decode count, so the groups stay within the fixed domains. A run counts once,
+    however often it is delivered; for that a stream remembers the run ids it has seen, like the
+    ledger does.
     """
-    good = decode_lines(lines).filter(F.col("problem").isNull())
+    good = decode_lines(lines).filter(F.col("problem").isNull()).dropDuplicates(["run_id"])
     return good.groupBy("platform", "stage").agg(
         F.count("*").alias("runs"),
         F.count_if(F.col("status") == "failure").alias("failures"),

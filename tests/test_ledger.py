@@ -95,6 +95,78 @@ def test_bad_lines_are_kept_with_their_reason(spark, tmp_path):
     assert problems == ["json", "platform", "stage"]
 
 
+def test_batch_collect_says_what_became_of_every_line(spark, tmp_path):
+    write_fallback(
+        tmp_path / "x", line(run_id="1"), line(run_id="1"), line(run_id="p", platform="mars"), "{oops"
+    )
+    lines = ledger_files.read_lines(spark, str(tmp_path / "x"))
+    target, rejects = str(tmp_path / "ledger"), str(tmp_path / "rejects")
+    assert collect.collect_batch(spark, lines, target, rejects) == (1, 1, 2)
+    assert collect.collect_batch(spark, lines, target, rejects) == (0, 2, 2)
+    assert {r.problem for r in spark.read.json(rejects).collect()} == {"json", "platform"}
+
+
+def test_counters_count_a_run_once(spark, tmp_path):
+    write_fallback(tmp_path / "a", line(run_id="1"), line(run_id="2"))
+    write_fallback(tmp_path / "b", line(run_id="2"), line(run_id="1"))
+    row = collect.counters(ledger_files.read_lines(spark, str(tmp_path))).first()
+    assert (row.runs, row.next_attempt) == (2, 3)
+
+
+def test_params_that_are_no_object_stay(spark, make_runs):
+    runs = make_runs(
+        {"run_id": "1", "params": "[1]"}, {"run_id": "2", "params": "{bad"}, {"run_id": "3"}
+    )
+    patches = spark.createDataFrame(
+        [(r, '{"a": 1}', 1) for r in "123"] + [("3", '{"a": 2}', 1)],
+        "run_id string, patch string, patch_no int",
+    )
+    merged = {r.run_id: r.params for r in ledger.merge_params(runs, patches).collect()}
+    assert merged == {"1": "[1]", "2": "{bad", "3": '{"a":2}'}
+    outcomes = {r.run_id: r.outcome for r in ledger.merge_outcomes(runs, patches).collect()}
+    assert outcomes == {"1": "unreadable", "2": "unreadable", "3": "merged"}
+
+
+def test_rows_without_stage_or_status_keep_their_owner(spark, make_runs):
+    rows = make_runs({"run_id": "1", "stage": None}, {"run_id": "2", "status": None})
+    kept = ledger.reconcile_ownership(rows.limit(0), rows)
+    assert kept.count() == 2
+
+
+def test_first_attempt_of_every_pair(make_runs):
+    rows = ledger.next_attempts(make_runs({"run_id": "1"}, {"run_id": "2", "stage": "odd"})).collect()
+    got = {(r.platform, r.stage): r.next_attempt for r in rows}
+    assert len(got) == 26
+    assert got["vertex", "train"] == 2 and got["vertex", "odd"] == 2
+    assert got["azureml", "deploy"] == 1
+
+
+def test_small_batch_shuffles_no_whole_ledger(spark, tmp_path):
+    held = spark.range(200_000).select(F.col("id").cast("string").alias("run_id"), "id")
+    held.write.parquet(str(tmp_path / "held"))
+    held = spark.read.parquet(str(tmp_path / "held"))
+    new = spark.createDataFrame([("5", 1), ("x", 2)], "run_id string, id long")
+    absent = ledger.absent_rows(new, held, "run_id")
+    assert [r.run_id for r in absent.collect()] == ["x"]
+    plan = absent._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0]
+    semi = [p for p in plan.splitlines() if "LeftSemi" in p]
+    assert semi and all("BroadcastHashJoin" in p for p in semi)
+
+
+def test_friction_of_unlisted_platforms(make_runs):
+    runs = make_runs(
+        {"run_id": "1", "platform": "other", "status": "failure", "created_at": "2026-01-01 00:00:00"},
+        {"run_id": "2", "platform": "other", "created_at": "2026-01-01 00:00:01"},
+        {"run_id": "3", "stage": "tune"},
+    )
+    ways = [comparison.friction(runs), comparison.friction_by_window(runs)]
+    one, two = [
+        {(r.platform, r.stage): (r.attempts_until_success, r.recorded_failures) for r in w.collect()}
+        for w in ways
+    ]
+    assert one == two == {("other", "train"): (2, 1), ("vertex", "tune"): (1, 0)}
+
+
 def test_folder_without_fallback_files_is_an_error(spark, tmp_path):
     (tmp_path / "x").mkdir()
     with pytest.raises(FileNotFoundError):
@@ -120,7 +192,9 @@ def test_stream_collect_again_adds_nothing(spark, tmp_path):
     rejected = spark.read.json(str(tmp_path / "rejects"))
     assert rejected.filter("problem = 'json'").count() == 1
     # A new checkpoint replays all files; the ledger already has their runs.
-    replay = collect.collect_stream(spark, str(source), target, str(tmp_path / "offsets2"))
+    replay = collect.collect_stream(
+        spark, str(source), target, str(tmp_path / "offsets2"), str(tmp_path / "rejects2")
+    )
     replay.awaitTermination()
     assert spark.read.parquet(target).count() == 4
     assert {r.write_path for r in spark.read.parquet(target).collect()} == {"collected"}

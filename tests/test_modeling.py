@@ -1,6 +1,7 @@
 from __future__ import annotations
 
 import json
+from pathlib import Path
 
 import pytest
 from pyspark.sql import functions as F
@@ -47,7 +48,8 @@ def test_artifacts_hold_the_same_values(spark, trained):
     text = spark.read.text(f"{config.output_dir}/run.json").first().value
     document = json.loads(text)
     assert document["run_id"] == result.run_id and document["metrics"] == result.metrics
-    assert document["params"] == {**params.coerce(QUICK)}
+    assert document["params"] == params.Settings.of(QUICK, 42).given
+    assert (Path(config.output_dir) / "run.json").is_file()
     assert document["feature_schema"]["columns"] == FEATURES
     table = spark.read.csv(f"{config.output_dir}/feature_importance.csv", header=True)
     rows = table.collect()
@@ -141,8 +143,38 @@ def test_params_become_typed(spark):
         "g": "text", "h": "nested", "i": "float", "j": "float",
     }
     assert rows["f"][1] == "q" and rows["g"][1] == ""
-    coerced = params.coerce({"a": "0.05", "b": "500", "c": "true", "d": "abc", "n": 3})
-    assert coerced == {"a": 0.05, "b": 500, "c": True, "d": "abc", "n": 3}
+    texts = ["0.05", "500", "true", "abc", 3]
+    assert [params.literal(t) for t in texts] == [0.05, 500, True, "abc", 3]
+
+
+def test_settings_refuse_what_the_learner_lacks():
+    asked = params.Settings.of({"seed": "7", "num_leaves": "31", "max_depth": 2}, 42)
+    assert (asked.seed, asked.rounds, asked.patience) == (7, 2000, 50)
+    assert (asked.learner["num_leaves"], asked.learner["max_depth"]) == (31, 2)
+    with pytest.raises(ValueError, match="lambda_l2"):
+        params.Settings.of({"lambda_l2": 5}, 42)
+
+
+def test_a_cut_model_equals_a_shorter_fit(sample):
+    data = prep.split(prep.gold(sample))
+    rows = modeling._assembler().transform(data).select(ROW_ID, "features", TARGET)
+    settings = {**params.DEFAULTS, "num_leaves": 7, "max_bin": 32}
+    long = modeling._gbt(settings, 1, 6).fit(rows)
+    short = modeling._gbt(settings, 1, 3).fit(rows)
+    cut = modeling.first_rounds(long, 3)
+    assert cut.getNumTrees == 3
+    a, b = ({r[ROW_ID]: r.prediction for r in m.transform(rows).collect()} for m in (cut, short))
+    assert a == pytest.approx(b)
+
+
+def test_gain_counts_the_rows_of_a_node(spark):
+    split = "struct<featureIndex:int>"
+    schema = f"nodeData struct<leftChild:int,gain:double,rawCount:bigint,split:{split}>"
+    nodes = [((1, 2500.0, 200, (0,)),), ((3, 625.0, 100, (1,)),), ((-1, 0.0, 50, (-1,)),)]
+    rows = modeling.feature_importance(spark.createDataFrame(nodes, schema), ["a", "b", "c"])
+    assert {r.feature: (r.gain, r.split) for r in rows.collect()} == {
+        "a": (500_000.0, 1), "b": (62_500.0, 1), "c": (0.0, 0),
+    }
 
 
 def test_mirror_flattens_types_and_skips_other_platforms(spark, make_runs):

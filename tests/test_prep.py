@@ -95,9 +95,22 @@ def test_exact_split_of_odd_sizes(spark):
 
 
 def test_exact_cut_refuses_copies_of_one_key(spark):
-    same = spark.range(50).select(F.lit(7).alias(ROW_ID))
-    with pytest.raises(ValueError, match="not unique"):
-        exact.exact_split(same, boundary_rows=10)
+    same = spark.range(100).select((F.col("id") % 2).alias(ROW_ID))
+    for boundary in (1, 10, 1000):
+        with pytest.raises(ValueError, match="occurs 50 times"):
+            exact.exact_split(same, boundary_rows=boundary)
+
+
+def test_fingerprint_sees_nulls_and_separators_move(spark):
+    def prints(rows):
+        df = spark.createDataFrame(rows, "a string, b string, c string")
+        texts = [F.col(c) for c in df.columns]
+        return prep.fingerprint(df, df.columns).first(), prep.portable_fingerprint(df, texts).first()
+
+    rows = [("1", None, "x"), (None, "1", "x"), ("1|x", "", None), ("1", "x", None), ("1", "", "x")]
+    for i in (0, 1):
+        assert len({prints([r])[i] for r in rows}) == len(rows)
+    assert prints(rows) == prints(rows[::-1])
 
 
 def test_numbering_equals_a_window_with_a_hot_group(spark):

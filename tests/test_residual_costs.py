@@ -2,11 +2,12 @@ from __future__ import annotations
 
 import json
 
+import pytest
 from pyspark.sql import functions as F
 
 from mlledger.functions.jsontext import array_size
 from mlledger.operators import costs, residual
-from mlledger.schemas import INVENTORY_SCHEMA
+from mlledger.schemas import INVENTORY_SCHEMA, PLATFORMS
 from mlledger.sources.exports import COST_EXPORTS, read_inventory, read_transcripts
 from tests.conftest import as_dicts
 
@@ -105,29 +106,35 @@ def test_unnamed_kinds_count_without_the_prefix(spark):
     assert result["databricks", "uc_volume"].severity == "WARN"
 
 
-def events(spark, rows, page_rows=1000):
-    checked = residual.judged(inventory(spark, *rows), objects(spark), LAB)
-    full = residual.with_short_items(
-        residual.findings(checked), residual.items(checked), page_rows
-    )
+def events(spark, rows, checked=PLATFORMS):
+    judged = residual.judged(inventory(spark, *rows), objects(spark), LAB)
     at = F.lit("2026-01-01 00:00:00").cast("timestamp")
-    return full, residual.infra_events(full, "c1", at)
+    return residual.infra_events(residual.findings(judged, checked), "c1", at, checked)
 
 
 def test_clean_platform_still_gets_a_row(spark):
-    _, recorded = events(spark, [row("vertex", "vertex_endpoint", "lab1")])
+    recorded = events(spark, [row("vertex", "vertex_endpoint", "lab1")])
     rows = {r.platform: r for r in recorded.collect()}
     assert len(rows) == 5
     assert rows["vertex"].status == "failure" and rows["azureml"].status == "success"
     assert json.loads(rows["azureml"].residual_resources) == {"findings": []}
     entry = json.loads(rows["vertex"].residual_resources)["findings"][0]
-    assert (entry["items"], entry["severity"]) == (["lab1"], "FAIL")
+    assert (entry["item_count"], entry["severity"]) == (1, "FAIL")
     sizes = recorded.select("platform", array_size("residual_resources", "findings").alias("n"))
     assert {r.platform: r.n for r in sizes.collect()}["snowflake"] == 1
-    again = events(spark, [row("vertex", "vertex_endpoint", "lab1")])[1]
+    again = events(spark, [row("vertex", "vertex_endpoint", "lab1")])
     assert {r.event_id for r in again.collect()} == {r.event_id for r in rows.values()}
 
 
+def test_unchecked_platforms_are_not_called_clean(spark):
+    rows = [row("vertex", "vertex_endpoint", "lab1")]
+    assert {r.platform for r in events(spark, rows, ["vertex"]).collect()} == {"vertex"}
+    judged = residual.judged(inventory(spark, *rows), objects(spark), LAB)
+    checked = ["vertex", "azureml"]
+    report = residual.summary(residual.findings(judged, checked), checked).collect()
+    assert {r.platform: r.findings for r in report} == {"vertex": 1, "azureml": 0}
+
+
 def test_error_blocks_but_does_not_fail_the_event(spark):
     checked = residual.judged(
         inventory(spark, row("vertex", "vertex_endpoint", error_text="boom")), objects(spark), LAB
@@ -137,22 +144,25 @@ def test_error_blocks_but_does_not_fail_the_event(spark):
     assert (rows["snowflake"].findings, rows["snowflake"].blocking) == (1, False)
 
 
-def test_long_findings_keep_all_items_in_pages(spark):
-    rows = [row("azureml", "online_endpoint", f"e{i}") for i in range(95)]
+@pytest.mark.parametrize("many", [95, 400])
+def test_all_items_are_kept_whatever_their_number(spark, many):
+    rows = [row("azureml", "online_endpoint", f"e{i}") for i in range(many)]
     rows += [row("azureml", "registered_model", "m")] * 2
     checked = residual.judged(inventory(spark, *rows), objects(spark), LAB)
     items = residual.items(checked)
     paged = as_dicts(residual.item_pages(items, 10))
     long = [i for p in paged if p["kind"] == "online_endpoint" for i in p["items"]]
-    assert sorted(long) == sorted(f"e{i}" for i in range(95))
+    assert sorted(long) == sorted(f"e{i}" for i in range(many))
     assert max(len(p["items"]) for p in paged) < 30
-    full, _ = events(spark, rows, page_rows=10)
-    by_kind = {r.kind: r for r in full.collect()}
-    assert (by_kind["online_endpoint"].item_count, by_kind["online_endpoint"]["items"]) == (95, [])
-    assert by_kind["registered_model"]["items"] == ["m", "m"]
-    lines = {r.kind: r.line for r in residual.report_lines(full).collect()}
-    assert lines["online_endpoint"] == "[FAIL] azureml/online_endpoint: 95 items"
+    pages = residual.item_pages(items, 10)
+    report = residual.report_lines(residual.findings(checked), pages).collect()
+    lines = {r.kind: r.line for r in report}
+    assert lines["registered_model"] == "[WARN] azureml/registered_model: m (2 times)"
     assert lines["fail_safe"].startswith("[WARN] snowflake/fail_safe: 7 days  # ")
+    listed = [r.line.split(": ")[1].split(", ") for r in report if r.kind == "online_endpoint"]
+    assert sorted(sum(listed, [])) == sorted(long)
+    event = {r.event_id for r in residual.event_items(pages, "c1").collect()}
+    assert event <= {r.event_id for r in events(spark, rows).collect()}
 
 
 def test_orphans(spark):
@@ -236,6 +246,16 @@ def test_malformed_export_does_not_stop_the_others(spark, tmp_path):
     assert costs.collect_costs(spark, nothing, "2026-01-08", 7, price_usd="3.0")[0] is None
 
 
+def test_broken_lines_of_an_export_are_a_problem(spark, tmp_path):
+    paths = write_exports(tmp_path)
+    for platform, bad in (("databricks", "{oops"), ("snowflake", '{"credits_used": "abc"}')):
+        with open(paths[platform], "a") as lines:
+            lines.write("\n" + bad)
+    rows, problems = costs.collect_costs(spark, paths, "2026-01-08", 7, price_usd="3.0")
+    assert set(problems) == {"azureml", "databricks", "snowflake"}
+    assert {r.platform for r in rows.collect()} == {"sagemaker", "vertex"}
+
+
 def test_window_is_half_open(spark):
     days = [("2025-12-31",), ("2026-01-01",), ("2026-01-07",), ("2026-01-08",)]
     df = spark.createDataFrame(days, "d string").select(F.col("d").cast("date").alias("d"))

@@ -2,17 +2,65 @@
 
 from __future__ import annotations
 
-from mlledger.functions.classify import (
-    FAILURE_WORDS,
-    MISSING_OBJECT_WORDS,
-    MISSING_SDK_WORDS,
-    PARENT_ABSENT_WORDS,
-    UNKNOWN_FAILURE,
-)
-from mlledger.operators.residual import FAIL_SAFE, RULES
-from mlledger.schemas import FAILURE_CLASSES, FEATURES, PLATFORMS, RUN_DOMAINS
 from workload.standins import BASELINE_RMSE, CUTOFF, ERRORS, KINDS, LAB, TYPES
 
+# The values that the rebuilt jobs must know, stated here on their own.
+FAILURE_WORDS = {
+    "iam": ["permission", "denied", "forbidden", "unauthorized", "accessdenied", "403"],
+    "quota": ["quota", "limit exceeded", "resourceexhausted", "throttl", "429"],
+    "network": ["network", "timeout", "unreachable", "connection", "dns", "egress"],
+    "package": ["modulenotfound", "importerror", "no matching distribution", "wheel"],
+    "container": ["image", "manifest unknown", "pull", "exec format", "oom"],
+    "data": ["column", "schema", "dtype", "empty", "null", "contract"],
+}
+UNKNOWN_FAILURE = "sdk"
+MISSING_OBJECT_WORDS = ["does not exist", "not found", "no such", "resource_does_not_exist"]
+PARENT_ABSENT_WORDS = ["resourcegroupnotfound", "parentresourcenotfound"]
+MISSING_SDK_WORDS = [
+    "not found", "notfound", "does not exist", "resource_does_not_exist", "validationexception",
+    "resourcenotfound", "404",
+]
+PLATFORMS = ["vertex", "sagemaker", "azureml", "databricks", "snowflake"]
+FEATURES = ["med_inc",
+ "house_age",
+ "ave_rooms",
+ "ave_bedrms",
+ "population",
+ "ave_occup",
+ "latitude",
+ "longitude"]
+FAILURE_CLASSES = ["iam", "quota", "container", "package", "network", "sdk", "data", "none"]
+RUN_DOMAINS = {"platform": ["vertex", "sagemaker", "azureml", "databricks", "snowflake"],
+ "tier": ["A", "B"],
+ "unification_unit": ["container", "package"],
+ "stage": ["train", "register", "deploy", "predict", "teardown"],
+ "status": ["success", "failure"],
+ "write_path": ["direct", "collected"]}
+# platform, kind, severity, names with the prefix only, state that counts, container scheme
+RULES = [
+    ("vertex", "vertex_endpoint", "FAIL", True, None, None),
+    ("vertex", "gcs_object", "WARN", True, None, "gs"),
+    ("vertex", "artifact_registry", "WARN", True, None, None),
+    ("vertex", "registered_model", "WARN", True, None, None),
+    ("vertex", "experiment_run", "WARN", True, None, None),
+    ("sagemaker", "sagemaker_endpoint", "FAIL", True, None, None),
+    ("sagemaker", "sagemaker_endpoint_config", "WARN", True, None, None),
+    ("sagemaker", "sagemaker_model", "WARN", True, None, None),
+    ("sagemaker", "model_package_group", "WARN", True, None, None),
+    ("sagemaker", "ecr_repository", "WARN", True, None, None),
+    ("sagemaker", "s3_object", "WARN", True, None, "s3"),
+    ("azureml", "online_endpoint", "FAIL", False, None, None),
+    ("azureml", "key_vault_soft_deleted", "FAIL", False, None, None),
+    ("azureml", "registered_model", "WARN", False, None, None),
+    ("databricks", "serving_endpoint", "FAIL", True, None, None),
+    ("databricks", "uc_registered_model", "WARN", True, None, None),
+    ("databricks", "uc_volume", "WARN", False, None, None),
+    ("snowflake", "warehouse_running", "FAIL", True, "STARTED", None),
+    ("snowflake", "schema_object", "WARN", True, None, None),
+    ("snowflake", "stage_file", "WARN", True, None, None),
+]
+FAIL_SAFE = ("snowflake", "fail_safe", "WARN", 1, "fail-safe cannot be switched off")
+
 
 def text(value: str | None) -> str:
     return "NULL" if value is None else "'" + value.replace("'", "''") + "'"
@@ -327,6 +375,8 @@ _ONE_DOC = ", ".join(
     for c in FEATURES
 )
 
+_MARKED = " || ".join(f"coalesce(length({c}) || ':' || {c}, '-')" for c in "abcde")
+
 ORACLES: dict[str, str] = {
     "friction": with_(RUNS, FRICTION) + "SELECT * FROM friction",
     "friction_by_window": with_(RUNS, FRICTION) + "SELECT * FROM friction",
@@ -341,7 +391,8 @@ ORACLES: dict[str, str] = {
     WHERE NOT ({TEARDOWN}) GROUP BY ALL""",
     "teardown_quality": with_(K, INFRA)
     + f"""SELECT platform, {STAMP} AS created_at, status, duration_seconds,
-    {FINDING_COUNT} AS finding_count FROM infra_base WHERE action = 'destroy'""",
+    {FINDING_COUNT} AS finding_count, coalesce(residual_resources, '') AS residual_resources
+    FROM infra_base WHERE action = 'destroy'""",
     "metric_parity": with_(RUNS)
     + f"""SELECT count(DISTINCT platform) AS platforms, count(DISTINCT m) AS distinct_rmse,
     min(m) AS rmse_min, max(m) AS rmse_max,
@@ -418,10 +469,15 @@ ORACLES: dict[str, str] = {
     SELECT row_id, CASE WHEN in_test THEN 'test' WHEN in_valid THEN 'valid' ELSE 'train' END
       AS split FROM t LEFT JOIN v USING (row_id)""",
     "fingerprint": with_(HOUSING)
-    + """SELECT count(*) AS rows, CAST(sum(CAST('0x' || substr(md5(concat_ws('|', row_id,
-    CAST(population AS BIGINT), CAST(house_age AS BIGINT),
-    CAST(round(med_house_val * 1000000) AS BIGINT))), 1, 12) AS BIGINT)) AS VARCHAR) AS hash_sum
-    FROM housing""",
+    + f""", texts AS (SELECT CAST(row_id AS VARCHAR) AS a,
+      CAST(CAST(population AS BIGINT) AS VARCHAR) AS b,
+      CASE WHEN ave_rooms <> 2 THEN CAST(CAST(ave_rooms AS BIGINT) AS VARCHAR) END AS c,
+      CAST(CAST(house_age AS BIGINT) AS VARCHAR) AS d,
+      CASE WHEN ave_occup <> 5
+        THEN CAST(CAST(round(med_house_val * 1000000) AS BIGINT) AS VARCHAR) END AS e
+      FROM housing)
+    SELECT count(*) AS rows, CAST(sum(CAST('0x' || substr(md5({_MARKED}), 1, 12) AS BIGINT))
+      AS VARCHAR) AS hash_sum FROM texts""",
     "export_fingerprint": "SELECT count(*) AS rows, 1 AS equal_content FROM orders",
     "classify_failures": f"SELECT doc_id, {classified('text')} AS failure_class FROM documents",
     "missing_predicates": f"""SELECT doc_id,
@@ -429,10 +485,11 @@ ORACLES: dict[str, str] = {
     CAST({any_word('text', PARENT_ABSENT_WORDS)} AS INTEGER) AS parent_gone,
     CAST({any_word('text', MISSING_SDK_WORDS)} AS INTEGER) AS sdk_missing FROM documents""",
     "exit_codes": with_(RUNS)
-    + """SELECT run_id, CASE WHEN k % 4 = 0 THEN 'success' ELSE 'failure' END AS status,
-    CASE k % 4 WHEN 0 THEN 'none' WHEN 1 THEN 'sdk' WHEN 2 THEN 'data' ELSE 'container' END
+    + """SELECT run_id, CASE WHEN k % 5 IN (0, 4) THEN 'success' ELSE 'failure' END AS status,
+    CASE k % 5 WHEN 1 THEN 'sdk' WHEN 2 THEN 'data' WHEN 3 THEN 'container' ELSE 'none' END
       AS failure_class,
-    CASE WHEN k % 4 = 0 THEN '' ELSE stage END AS error_excerpt FROM runs""",
+    CASE WHEN k % 5 IN (0, 4) THEN '' ELSE left(repeat(stage || '/' || run_id || ' ', 200), 2000)
+      END AS error_excerpt FROM runs""",
     "platform_units": with_(RUNS) + "SELECT run_id, tier, unification_unit FROM runs",
     "job_runs": with_(RUNS)
     + """SELECT CASE WHEN k % 5 > 2 THEN 'job-' || substr(run_id, 5) WHEN k = 4 THEN ''
@@ -478,14 +535,21 @@ ORACLES: dict[str, str] = {
       WHEN write_path = 'collected' THEN 'skipped_collected' ELSE 'merged' END AS outcome
     FROM last_patches LEFT JOIN runs USING (run_id)""",
     "next_attempt": with_(RUNS)
-    + "SELECT platform, stage, count(*) + 1 AS next_attempt FROM runs GROUP BY ALL",
+    + """, pairs AS (SELECT platform, stage FROM (VALUES ('vertex'), ('sagemaker'), ('azureml'),
+      ('databricks'), ('snowflake')) p(platform), (VALUES ('train'), ('register'), ('deploy'),
+      ('predict'), ('teardown')) s(stage))
+    SELECT platform, stage, count(run_id) + 1 AS next_attempt
+    FROM pairs FULL JOIN runs USING (platform, stage) GROUP BY ALL""",
     "collect_jsonl": with_(RUNS) + COLLECTED,
     "stream_collect": with_(RUNS) + COLLECTED,
     "stream_counters": with_(RUNS)
     + """SELECT platform, stage, count(*) AS runs,
     count(*) FILTER (status = 'failure') AS failures, count(*) + 1 AS next_attempt
-    FROM (SELECT platform, stage, status FROM runs
-      UNION ALL SELECT platform, stage, status FROM runs WHERE tier = 'B') GROUP BY ALL""",
+    FROM runs GROUP BY ALL""",
+    "collect_rejects": with_(RUNS)
+    + """SELECT run_id, CASE k WHEN 3 THEN 'platform' ELSE 'json' END AS problem,
+    (SELECT count(*) FROM runs WHERE k NOT IN (3, 7)) AS inserted,
+    (SELECT count(*) FROM runs WHERE k IN (3, 7)) AS rejected FROM runs WHERE k IN (3, 7)""",
     "rejected_lines": with_(RUNS)
     + """SELECT run_id, CASE k WHEN 3 THEN 'platform' WHEN 4 THEN 'stage'
     WHEN 5 THEN 'failure_class' ELSE 'json' END AS problem FROM runs WHERE k IN (3, 4, 5, 7)""",
@@ -558,23 +622,36 @@ ORACLES: dict[str, str] = {
     + """, sizes AS (SELECT platform, kind, CAST(ceil(count(*) / 20) AS BIGINT) AS pages
       FROM items GROUP BY ALL)
     SELECT platform, kind, CAST('0x' || substr(md5(item), 1, 8) AS BIGINT) % pages AS page,
-      string_agg(item, ',' ORDER BY item) AS items
-    FROM items JOIN sizes USING (platform, kind) GROUP BY ALL""",
+      string_agg(shown, ',' ORDER BY shown) AS items
+    FROM (SELECT *, item || CASE WHEN copies > 1 THEN ' (' || copies || ' times)' ELSE '' END
+      AS shown FROM items) JOIN sizes USING (platform, kind) GROUP BY ALL""",
     "residual_report": with_(INVENTORY)
-    + """, listed AS (SELECT platform, kind, string_agg(item, ', ' ORDER BY item) AS items
-      FROM (SELECT platform, kind, item, unnest(range(copies)) FROM items) GROUP BY ALL)
-    SELECT platform, kind, '[' || severity || '] ' || platform || '/' || kind || ': '
-      || CASE WHEN kind = 'fail_safe' THEN '7 days' WHEN item_count = 0 THEN '-'
-        WHEN item_count <= 40 THEN items ELSE item_count || ' items' END
+    + """, sizes AS (SELECT platform, kind, CAST(ceil(count(*) / 40) AS BIGINT) AS pages
+      FROM items GROUP BY ALL),
+    listed AS (SELECT platform, kind,
+      CAST('0x' || substr(md5(item), 1, 8) AS BIGINT) % pages AS page,
+      string_agg(shown, ', ' ORDER BY shown) AS items
+      FROM (SELECT *, item || CASE WHEN copies > 1 THEN ' (' || copies || ' times)' ELSE '' END
+        AS shown FROM items) JOIN sizes USING (platform, kind) GROUP BY ALL)
+    SELECT platform, kind, coalesce(page, 0) AS page,
+      '[' || severity || '] ' || platform || '/' || kind || ': '
+      || CASE WHEN kind = 'fail_safe' THEN '7 days' ELSE coalesce(items, '-') END
       || CASE WHEN note IS NULL THEN '' ELSE '  # ' || note END AS line
     FROM findings LEFT JOIN listed USING (platform, kind)""",
-    "residual_summary": with_(INVENTORY, ALL_PLATFORMS)
+    "infra_event_items": with_(INVENTORY)
+    + """, hashed AS (SELECT *, md5('check-1:' || platform) AS h FROM items)
+    SELECT substr(h, 1, 8) || '-' || substr(h, 9, 4) || '-' || substr(h, 13, 4) || '-'
+      || substr(h, 17, 4) || '-' || substr(h, 21) AS event_id, platform, kind,
+      item || CASE WHEN copies > 1 THEN ' (' || copies || ' times)' ELSE '' END AS item
+    FROM hashed""",
+    "residual_summary": with_(INVENTORY)
     + """SELECT platform, count(severity) AS findings,
     count(*) FILTER (severity = 'FAIL') AS fails, count(*) FILTER (severity = 'ERROR') AS errors,
     count(*) FILTER (severity = 'WARN') AS warnings,
     CASE WHEN count(*) FILTER (severity = 'FAIL') > 0 THEN 'failure' ELSE 'success' END AS status,
     CAST(count(*) FILTER (severity IN ('FAIL', 'ERROR')) > 0 AS INTEGER) AS blocking
-    FROM dim LEFT JOIN findings USING (platform) GROUP BY platform""",
+    FROM (VALUES ('vertex'), ('azureml'), ('snowflake')) dim(platform)
+    LEFT JOIN findings USING (platform) GROUP BY platform""",
     "infra_event_rows": with_(INVENTORY, ALL_PLATFORMS)
     + """, ids AS (SELECT platform, md5('check-1:' || platform) AS h FROM dim)
     SELECT substr(h, 1, 8) || '-' || substr(h, 9, 4) || '-' || substr(h, 13, 4) || '-'
