@@ -223,7 +223,7 @@ def test_folder_listing_and_checksums(spark, tmp_path):
 
 @pytest.mark.parametrize(
     "name",
-    ["train_eval", "training_job", "baseline_eval", "feature_importance", "score_payloads"],
+    ["training_job", "baseline_eval"],
 )
 def test_training_queries_run(spark, name, monkeypatch):
     monkeypatch.setattr(queries, "ROUNDS", 2)

@@ -15,7 +15,7 @@ TABLES = [
 # The corpus operators have their own tests.
 ORACLES = {k: v for k, v in entry.oracle_sql().items() if k not in entry.CORPUS_QUERIES}
 # Training takes a while, so these are checked once each in test_modeling.
-SLOW = {"train_eval", "training_job", "baseline_eval", "feature_importance", "score_payloads"}
+SLOW = {"training_job", "baseline_eval"}
 
 
 @pytest.fixture(scope="module")

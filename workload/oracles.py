@@ -375,6 +375,30 @@ _ONE_DOC = ", ".join(
     for c in FEATURES
 )
 
+COARSE = f"""
+{HOUSING.strip()},
+coarse AS (
+  SELECT row_id, floor(med_inc) AS med_inc, house_age, ave_rooms, ave_bedrms,
+    population % 20 AS population, ave_occup, floor(latitude / 30) AS latitude, longitude,
+    med_house_val, {SPLIT} AS split FROM housing),
+cells AS (
+  SELECT feature, value, split, row_id, med_house_val AS y FROM coarse
+  UNPIVOT (value FOR feature IN ({', '.join(FEATURES)}))),
+sums AS (
+  SELECT feature, value, sum(count(*)) OVER w AS n, sum(sum(y)) OVER w AS s,
+    lead(value) OVER w AS next FROM cells WHERE split = 'train' GROUP BY feature, value
+  WINDOW w AS (PARTITION BY feature ORDER BY value)),
+total AS (SELECT count(*) AS n, sum(med_house_val) AS s FROM coarse WHERE split = 'train'),
+stump AS (
+  SELECT feature, value + (next - value) / 2 AS threshold, a.s / a.n AS low,
+    (t.s - a.s) / (t.n - a.n) AS high,
+    a.s * a.s / a.n + (t.s - a.s) * (t.s - a.s) / (t.n - a.n) - t.s * t.s / t.n AS gain
+  FROM sums a, total t WHERE a.n >= 20 AND t.n - a.n >= 20
+  ORDER BY gain DESC LIMIT 1),
+scored AS (
+  SELECT row_id, split, y, CASE WHEN value <= threshold THEN low ELSE high END AS p
+  FROM cells JOIN stump USING (feature))
+"""
 _MARKED = " || ".join(f"coalesce(length({c}) || ':' || {c}, '-')" for c in "abcde")
 
 ORACLES: dict[str, str] = {
@@ -746,4 +770,23 @@ ORACLES: dict[str, str] = {
       AS error, {_ONE_DOC} FROM r, (VALUES (0), (1)) p(position) WHERE ave_bedrms <> 1
     UNION ALL SELECT request_id, -1, 'no instances', {', '.join('-1.0' for _ in FEATURES)}
     FROM r WHERE ave_bedrms = 1""",
+    "train_eval": with_(COARSE)
+    + """SELECT round(sqrt(avg((y - p) * (y - p))), 6) AS rmse, round(avg(abs(y - p)), 6) AS mae,
+    round(1 - sum((y - p) * (y - p)) / (var_pop(y) * count(*)), 6) AS r2, 1 AS best_iteration
+    FROM scored WHERE split = 'test'""",
+    "early_stop": with_(COARSE)
+    + """SELECT count(*) AS test_rows, 0 AS changed_by_saving, 1 AS stopped, 1 AS cut
+    FROM coarse WHERE split = 'test'""",
+    "feature_importance": with_(COARSE)
+    + f"""SELECT feature, CASE WHEN feature = s.best THEN round(gain, 4) ELSE 0 END AS gain,
+    CASE WHEN feature = s.best THEN 1 ELSE 0 END AS split
+    FROM (VALUES {', '.join(f"('{c}')" for c in FEATURES)}) f(feature),
+      (SELECT feature AS best, gain FROM stump) s""",
+    "score_payloads": with_(COARSE)
+    + """SELECT CAST(population AS BIGINT) || '-' || CAST(ave_rooms AS BIGINT) || '-' || row_id
+      AS request_id, CASE WHEN ave_bedrms IN (1, 31) THEN 0 ELSE 2 END AS answers,
+    CASE WHEN ave_bedrms IN (1, 31) THEN -1 ELSE round(p, 6) END AS first,
+    CASE WHEN ave_bedrms = 1 THEN 'no instances' WHEN ave_bedrms = 31
+      THEN 'missing features: latitude' ELSE '' END AS error
+    FROM coarse JOIN scored USING (row_id)""",
 }

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.ml import PipelineModel
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -791,16 +792,45 @@ def payload_instances(spark, sf):
     )
 
 
-def _trained(spark, sf):
-    data = prep.split(prep.gold(prep.silver(prep.bronze(s.housing(spark, sf)))))
-    return data, modeling.train(data, partitions=8, rounds=ROUNDS, patience=3)
+def _stump(spark, sf):
+    """One tree of one split over all rows and features, which SQL can find, too."""
+    data = prep.split(prep.gold(prep.silver(prep.bronze(s.coarse_housing(spark, sf)))))
+    plain = {"max_depth": 1, "feature_fraction": 1.0, "bagging_fraction": 1.0}
+    return data, modeling.train(data, partitions=8, rounds=1, patience=1, overrides=plain)
 
 
 def train_eval(spark, sf):
-    data, fitted = _trained(spark, sf)
+    data, fitted = _stump(spark, sf)
     scored = modeling.score(fitted.model, data.filter(F.col("split") == "test"))
     report = modeling.regression_metrics(scored)
-    return report.withColumn("best_iteration", F.lit(fitted.best_iteration))
+    return report.select(
+        *[F.round(c, 6).alias(c) for c in ["rmse", "mae", "r2"]],
+        F.lit(fitted.best_iteration).alias("best_iteration"),
+    )
+
+
+def early_stop(spark, sf):
+    """Boost until the held-out rows get no better, and say whether the job stopped as it should:
+    before the limit, with as many trees as the best round, a saved model that predicts the same,
+    and a held-out loss that no longer fit beats within the patience."""
+    data = prep.split(prep.gold(s.coarse_housing(spark, sf)))
+    limit, patience = 200, 3
+    eager = {"learning_rate": 0.9, "num_leaves": 31, "min_data_in_leaf": 5, "max_bin": 32}
+    fitted = modeling.train(data, partitions=8, rounds=limit, patience=patience, overrides=eager)
+    path = fresh_folder(spark, "model")
+    fitted.model.write().save(path)
+    test = data.filter(F.col("split") == "test")
+    ways = [
+        modeling.score(m, test).select(ROW_ID, "prediction")
+        for m in (fitted.model, PipelineModel.load(path))
+    ]
+    report = modeling.prediction_parity(ways[0].unionByName(ways[1]), ROW_ID)
+    return report.agg(
+        F.count("*").alias("test_rows"),
+        F.count_if(~F.col("within_tolerance")).alias("changed_by_saving"),
+        F.lit(int(fitted.best_iteration < limit)).alias("stopped"),
+        F.lit(int(fitted.model.stages[1].getNumTrees == fitted.best_iteration)).alias("cut"),
+    )
 
 
 def training_job(spark, sf):
@@ -828,19 +858,24 @@ def baseline_eval(spark, sf):
 
 
 def feature_importance(spark, sf):
-    _, fitted = _trained(spark, sf)
+    _, fitted = _stump(spark, sf)
     path = fresh_folder(spark, "model")
     fitted.model.write().save(path)
-    return modeling.feature_importance(modeling.saved_nodes(spark, path))
+    report = modeling.feature_importance(modeling.saved_nodes(spark, path))
+    return report.withColumn("gain", F.round("gain", 4))
 
 
 def score_payloads(spark, sf):
-    _, fitted = _trained(spark, sf)
+    _, fitted = _stump(spark, sf)
     answers = modeling.payload_answers(
-        modeling.score_payloads(fitted.model, s.requests(spark, sf))
+        modeling.score_payloads(fitted.model, s.requests(spark, sf, s.coarse_housing))
+    )
+    return answers.select(
+        "request_id",
+        F.coalesce(F.size("predictions"), F.lit(0)).alias("answers"),
+        F.coalesce(F.round(F.element_at("predictions", 1), 6), F.lit(-1.0)).alias("first"),
+        F.coalesce("error", F.lit("")).alias("error"),
     )
-    texts = F.transform("predictions", lambda p: F.round(p, 6).cast("string"))
-    return answers.withColumn("predictions", F.array_join(texts, ","))
 
 
 # streams
@@ -878,6 +913,6 @@ QUERIES = [
     nonempty_containers, parent_children, cost_nested, cost_usage, cost_week, cost_credits,
     cost_billing, cost_flat, cost_unavailable, param_types, param_merge, tracking_mirror,
     artifact_listing, transcript_counts, linear_eval_metrics, prediction_parity,
-    payload_instances, train_eval, training_job, baseline_eval, feature_importance, score_payloads,
+    payload_instances, train_eval, early_stop, training_job, baseline_eval, feature_importance, score_payloads,
     stream_collect, stream_counters,
 ]

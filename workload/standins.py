@@ -271,6 +271,17 @@ def housing_with_gaps(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+def coarse_housing(spark: SparkSession, sf: str) -> DataFrame:
+    """The same table with few values in each feature, so that the best split has a closed form."""
+    return housing(spark, sf).withColumns(
+        {
+            "med_inc": F.floor("med_inc").cast("double"),
+            "population": F.col("population") % 20,
+            "latitude": F.floor(F.col("latitude") / 30).cast("double"),
+        }
+    )
+
+
 def trees(spark: SparkSession, sf: str) -> DataFrame:
     """Revision → training tree from the revisions in `events`; two of seven are unknown."""
     found = _events(spark, sf).select((F.col("k") % 7).alias("r")).distinct()
@@ -362,13 +373,17 @@ def nested_export(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
-def requests(spark: SparkSession, sf: str) -> DataFrame:
-    """Scoring payloads: one request per order with its row twice.
+def requests(
+    spark: SparkSession,
+    sf: str,
+    source: Callable[[SparkSession, str], DataFrame] = housing,
+) -> DataFrame:
+    """Scoring payloads: one request per row of the training table, with it twice.
 
     Orders of a 31st lack a feature, those of a 1st send no instance, and the keys come in
     another order than in training.
     """
-    h = housing(spark, sf)
+    h = source(spark, sf)
     names = [*reversed(FEATURES)]
     broken = F.col("ave_bedrms") == 31
     members = [
