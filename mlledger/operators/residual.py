@@ -76,6 +76,9 @@ def orphans(observed: DataFrame, declared: DataFrame) -> DataFrame:
 def judged(inventory: DataFrame, objects: DataFrame, prefix: str) -> DataFrame:
     """Inventory rows under their rule, with `item` (null: does not count) and `problem`.
 
+    A registered model is an item for each version. It and an endpoint count by the name that is
+    displayed, where the listing has one.
+
     A failed listing is a row with error_text. If the parent is gone there is nothing below it,
     so `problem` is then empty; any other error is kept as text. Rows with neither are left out,
     which leaves a small table; a job that needs findings and items keeps it with `durable`.
@@ -87,7 +90,13 @@ def judged(inventory: DataFrame, objects: DataFrame, prefix: str) -> DataFrame:
     rows = plain.unionByName(containers)
 
     expanded = F.col("kind") == "experiment_run"
-    owner = F.when(expanded, F.col("parent")).otherwise(F.col("name"))
+    versioned = F.col("kind") == "registered_model"
+    shown = F.coalesce(F.when(F.col("display_name") != "", F.col("display_name")), "name")
+    owner = (
+        F.when(expanded, F.col("parent"))
+        .when(versioned | (F.col("kind") == "vertex_endpoint"), shown)
+        .otherwise(F.col("name"))
+    )
     counts = (
         F.col("error_text").isNull()
         & F.coalesce(F.col("_held"), F.lit(False))
@@ -96,6 +105,7 @@ def judged(inventory: DataFrame, objects: DataFrame, prefix: str) -> DataFrame:
     )
     text = (
         F.when(expanded, F.concat_ws("/", "parent", "name"))
+        .when(versioned, F.concat(shown, F.lit(":"), F.coalesce("version", F.lit("?"))))
         .when(F.col("scheme").isNotNull(), F.concat("scheme", F.lit("://"), "name"))
         .otherwise(F.col("name"))
     )

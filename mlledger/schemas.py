@@ -122,6 +122,8 @@ INVENTORY_SCHEMA = T.StructType(
         T.StructField("state", T.StringType()),
         T.StructField("parent", T.StringType()),
         T.StructField("error_text", T.StringType()),
+        T.StructField("version", T.StringType()),
+        T.StructField("display_name", T.StringType()),
     ]
 )
 

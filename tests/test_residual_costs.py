@@ -99,6 +99,20 @@ def test_experiment_runs_follow_the_name_of_their_experiment(spark):
     assert [r.item for r in residual.items(checked).collect()] == ["lab1-exp/run-1"]
 
 
+def test_versions_and_displayed_names(spark):
+    rows = [
+        row("vertex", "registered_model", "7", display_name="lab1-m", version="1"),
+        row("vertex", "registered_model", "7", display_name="lab1-m", version="2"),
+        row("vertex", "registered_model", "lab1-x", display_name="other", version="1"),
+        row("vertex", "vertex_endpoint", "projects/1/9", display_name="lab1-e"),
+        row("vertex", "vertex_endpoint", "projects/lab1/8", display_name=""),
+    ]
+    checked = residual.judged(inventory(spark, *rows), objects(spark), LAB)
+    assert {r.item for r in residual.items(checked).collect()} == {
+        "lab1-m:1", "lab1-m:2", "projects/1/9", "projects/lab1/8",
+    }
+
+
 def test_unnamed_kinds_count_without_the_prefix(spark):
     rows = [row("azureml", "key_vault_soft_deleted", "kv"), row("databricks", "uc_volume", "v")]
     result = found(spark, rows)
@@ -157,7 +171,7 @@ def test_all_items_are_kept_whatever_their_number(spark, many):
     pages = residual.item_pages(items, 10)
     report = residual.report_lines(residual.findings(checked), pages).collect()
     lines = {r.kind: r.line for r in report}
-    assert lines["registered_model"] == "[WARN] azureml/registered_model: m (2 times)"
+    assert lines["registered_model"] == "[WARN] azureml/registered_model: m:? (2 times)"
     assert lines["fail_safe"].startswith("[WARN] snowflake/fail_safe: 7 days  # ")
     listed = [r.line.split(": ")[1].split(", ") for r in report if r.kind == "online_endpoint"]
     assert sorted(sum(listed, [])) == sorted(long)

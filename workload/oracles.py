@@ -190,6 +190,9 @@ inventory AS (
         THEN 'Catalog does not exist'
       WHEN p_type = 'MEDIUM' AND p_size <= 10 AND platform = 'sagemaker'
         THEN 'Endpoint not found' END AS error_text,
+    CASE WHEN p_size % 3 > 0 THEN CAST(p_size AS VARCHAR) END AS version,
+    CASE p_size % 4 WHEN 0 THEN upper(p_type) WHEN 1 THEN upper(p_name) WHEN 2 THEN '' END
+      AS display_name,
     p_size
   FROM parts),
 objects AS (
@@ -201,10 +204,14 @@ judged AS (
     CASE WHEN error_text IS NULL
       AND (scheme IS NULL OR (platform, name) IN (SELECT (platform, name) FROM objects))
       AND (NOT named
-        OR contains(lower(CASE WHEN kind = 'experiment_run' THEN parent ELSE name END), '{LAB}')
+        OR contains(lower(CASE WHEN kind = 'experiment_run' THEN parent
+          WHEN kind IN ('registered_model', 'vertex_endpoint')
+            THEN coalesce(nullif(display_name, ''), name) ELSE name END), '{LAB}')
         OR coalesce(contains(lower(database_name), '{LAB}'), false))
       AND (wanted_state IS NULL OR state = wanted_state)
     THEN CASE WHEN kind = 'experiment_run' THEN parent || '/' || name
+      WHEN kind = 'registered_model'
+        THEN coalesce(nullif(display_name, ''), name) || ':' || coalesce(version, '?')
       WHEN scheme IS NOT NULL THEN scheme || '://' || name ELSE name END END AS item,
     CASE WHEN error_text IS NULL THEN NULL
       WHEN {any_word('error_text', PARENT_ABSENT_WORDS)}
@@ -453,6 +460,9 @@ ORACLES: dict[str, str] = {
     "page": with_(HOUSING)
     + """SELECT row_id, population, med_house_val FROM housing
     ORDER BY row_id LIMIT 50 OFFSET 100""",
+    "dataset_scan": with_(HOUSING)
+    + """SELECT ave_occup, count(*) AS n, CAST(sum(population) AS BIGINT) AS population
+    FROM housing GROUP BY ALL""",
     "lookup": with_(HOUSING)
     + """SELECT row_id, population FROM housing
     WHERE row_id IN (SELECT l_orderkey FROM lineitem WHERE l_quantity = 50)""",
@@ -642,6 +652,7 @@ ORACLES: dict[str, str] = {
     "residual_findings": with_(INVENTORY)
     + "SELECT platform, kind, severity, item_count, coalesce(note, '') AS note FROM findings",
     "residual_items": with_(INVENTORY) + "SELECT * FROM items",
+    "inventory_files": with_(INVENTORY) + "SELECT * FROM items",
     "item_pages": with_(INVENTORY)
     + """, sizes AS (SELECT platform, kind, CAST(ceil(count(*) / 20) AS BIGINT) AS pages
       FROM items GROUP BY ALL)
@@ -712,6 +723,14 @@ ORACLES: dict[str, str] = {
     "cost_flat": with_(AMOUNTS)
     + f"""SELECT 'azureml' AS platform, {_COST}, service, CAST(amount AS DOUBLE) AS amount_usd,
     'usd' AS unit FROM whole""",
+    "cost_files": with_(AMOUNTS)
+    + f"""SELECT 'databricks' AS platform, {_COST}, 'dbu:' || service AS service,
+    CAST(quantity AS DOUBLE) AS amount_usd, 'dbu' AS unit FROM whole
+    UNION ALL SELECT 'snowflake', {_COST}, 'warehouse:' || service,
+    CAST(quantity * 3.0015 AS DOUBLE), 'usd' FROM whole""",
+    "cost_problems": """SELECT platform, CASE platform WHEN 'vertex' THEN 1 ELSE 0 END AS unreadable
+    FROM (VALUES ('vertex'), ('sagemaker'), ('azureml')) p(platform)
+    WHERE EXISTS (SELECT 1 FROM lineitem)""",
     "cost_unavailable": with_(ALL_PLATFORMS)
     + """SELECT platform, CASE WHEN platform = 'azureml' THEN 'export could not be read'
     ELSE 'no cost export' END AS reason FROM dim

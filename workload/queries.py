@@ -23,7 +23,7 @@ from mlledger.schemas import FEATURES, ROW_ID, RUN_LINE_SCHEMA, RUN_SCHEMA, TARG
 from mlledger.session import durable, fresh_folder
 from mlledger.sinks import tables as sinks
 from mlledger.sources import artifacts, ledger_files, tables
-from mlledger.sources.exports import resource_count
+from mlledger.sources.exports import read_inventory, resource_count
 from mlledger.streaming import collect
 from workload import standins as s
 
@@ -116,6 +116,17 @@ def page(spark, sf):
     return tables.page(s.housing(spark, sf), 50, 100).select(ROW_ID, "population", TARGET)
 
 
+def dataset_scan(spark, sf):
+    """The training table written as Parquet and read with its schema."""
+    h = s.housing(spark, sf)
+    path = fresh_folder(spark, "dataset.parquet")
+    h.write.parquet(path)
+    read = tables.read_dataset(spark, path, h.schema)
+    return read.groupBy("ave_occup").agg(
+        F.count("*").alias("n"), F.sum("population").cast("long").alias("population")
+    )
+
+
 def lookup(spark, sf):
     ids = s.table(spark, sf, "lineitem").filter(F.col("l_quantity") == 50).select("l_orderkey")
     return tables.lookup(s.housing(spark, sf), ids).select(ROW_ID, "population")
@@ -543,6 +554,14 @@ def residual_items(spark, sf):
     return residual.items(_checked(spark, sf))
 
 
+def inventory_files(spark, sf):
+    """The listings as files of the inventory schema, read again."""
+    path = fresh_folder(spark, "inventory-files")
+    s.inventory(spark, sf).drop("p_size").write.json(path)
+    checked = residual.judged(read_inventory(spark, path), s.stored_objects(spark, sf), s.LAB)
+    return residual.items(checked)
+
+
 def item_pages(spark, sf):
     pages = residual.item_pages(residual.items(_checked(spark, sf)), 20)
     return pages.withColumn("items", F.array_join("items", ","))
@@ -664,6 +683,31 @@ def cost_flat(spark, sf):
     return _cost_view(costs.flat_costs(flat, **WHOLE))
 
 
+def _export_files(spark, sf):
+    """Exports as files: two that are good, and one with a line that is no JSON."""
+    paths = {p: fresh_folder(spark, f"export-{p}") for p in ("databricks", "snowflake", "vertex")}
+    _usage_export(spark, sf).write.json(paths["databricks"])
+    _meter_export(spark, sf).write.json(paths["snowflake"])
+    text = F.to_json(F.struct("usage_start_time", "service", "cost"))
+    broken = F.when(F.dayofyear("usage_start_time") == 1, "{broken").otherwise(text)
+    _billing_export(spark, sf).select(broken).write.text(paths["vertex"])
+    return paths
+
+
+def cost_files(spark, sf):
+    rows, _ = costs.collect_costs(spark, _export_files(spark, sf), price_usd="3.0015", **WHOLE)
+    return _cost_view(rows)
+
+
+def cost_problems(spark, sf):
+    """Platforms without costs: those that have no export, and the one that can't be read."""
+    rows, problems = costs.collect_costs(spark, _export_files(spark, sf), **WHOLE)
+    missing = costs.unavailable_sources(rows, problems)
+    return missing.select(
+        "platform", (F.col("reason") != "no cost export").cast("int").alias("unreadable")
+    )
+
+
 def cost_unavailable(spark, sf):
     empty_week = {"today": "1990-01-01", "days": 7}
     rows = costs.all_costs(
@@ -900,7 +944,7 @@ def stream_counters(spark, sf):
 QUERIES = [
     friction, friction_by_window, try_numbers, failure_mix, stage_durations, write_paths,
     teardown_quality, metric_parity, parity_revisions, infra_friction, selection_matrix,
-    phase_scorecard, summary_stats, page, lookup, sample_instance, normalized_columns,
+    phase_scorecard, summary_stats, page, dataset_scan, lookup, sample_instance, normalized_columns,
     source_columns, dup_keys, contract_violations, gold_schema, split_rows, split_counts,
     exact_split, fingerprint, export_fingerprint, classify_failures, missing_predicates,
     exit_codes, platform_units, job_runs, ledger_union, ownership, insert_absent, load_counts,
@@ -908,10 +952,10 @@ QUERIES = [
     collect_rejects, rejected_lines, first_success, golden_snapshot, latest_artifact, latest_model_ref,
     latest_version, revision_compat, coverage, unknown_revisions, training_trees,
     parity_deviation, parity_spread, domain_violations, bad_revisions, residual_findings,
-    residual_items, item_pages, residual_report, residual_summary, infra_event_rows,
+    residual_items, inventory_files, item_pages, residual_report, residual_summary, infra_event_rows,
     infra_event_items, orphans,
     nonempty_containers, parent_children, cost_nested, cost_usage, cost_week, cost_credits,
-    cost_billing, cost_flat, cost_unavailable, param_types, param_merge, tracking_mirror,
+    cost_billing, cost_flat, cost_files, cost_problems, cost_unavailable, param_types, param_merge, tracking_mirror,
     artifact_listing, transcript_counts, linear_eval_metrics, prediction_parity,
     payload_instances, train_eval, early_stop, training_job, baseline_eval, feature_importance, score_payloads,
     stream_collect, stream_counters,

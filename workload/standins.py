@@ -319,6 +319,11 @@ def derive_inventory(spark: SparkSession, sf: str) -> DataFrame:
             F.when(F.col("p_size") % 2 == 0, "STARTED").otherwise("SUSPENDED").alias("state"),
             F.upper("p_name").alias("parent"),
             error.alias("error_text"),
+            F.when(F.col("p_size") % 3 > 0, F.col("p_size").cast("string")).alias("version"),
+            F.when(F.col("p_size") % 4 == 0, F.upper("p_type"))
+            .when(F.col("p_size") % 4 == 1, F.upper("p_name"))
+            .when(F.col("p_size") % 4 == 2, "")
+            .alias("display_name"),
             "p_size",
         )
     )
