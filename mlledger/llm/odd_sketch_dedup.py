@@ -308,7 +308,12 @@ def near_duplicates(documents: DataFrame, words: int = 5, percent: int = 80) ->
         ),
         "near-signatures",
     )
-    equal = signed.filter("n_shingles > 0").groupBy("s1", "s2").agg(F.min("doc_id").alias("rep"))
+    # Written, so that a join with it isn't tied to the layout of the groups, and Spark can split
+    # the partition of a set that very many documents have.
+    equal = stored(
+        signed.filter("n_shingles > 0").groupBy("s1", "s2").agg(F.min("doc_id").alias("rep")),
+        "near-equal",
+    )
     named = signed.join(equal, ["s1", "s2"], "left")
     reps = stored(
         named.filter("doc_id = rep").select("rep", "bands", "sketch").dropDuplicates(),
