@@ -145,23 +145,39 @@ def _confirm(batches: Iterator[pd.DataFrame], plan: Plan) -> Iterator[pd.DataFra
         yield batch.loc[keep, ["a", "b"]]
 
 
-def runs(batches: Iterator[pd.DataFrame], keys: list[str]) -> Iterator[pd.DataFrame]:
-    """The groups of rows with equal keys of a partition sorted by them, whole."""
-    held: list[pd.DataFrame] = []
+KEYS = ["key", "p", "q"]
+
+
+def group_starts(chunk: pd.DataFrame) -> np.ndarray:
+    new = np.ones(len(chunk), dtype=bool)
+    if len(chunk):
+        new[1:] = False
+    for name in KEYS:
+        values = chunk[name].to_numpy()
+        new[1:] |= values[1:] != values[:-1]
+    return np.flatnonzero(new)
+
+
+def whole_groups(batches: Iterator[pd.DataFrame]) -> Iterator[tuple[pd.DataFrame, np.ndarray]]:
+    """Rows of a partition sorted by KEYS in chunks that hold whole groups, and where these start.
+    What is held back of a batch is its last group, which is no larger than two blocks."""
+    held = None
     for batch in batches:
-        if batch.empty:
+        chunk = batch if held is None else pd.concat([held, batch], ignore_index=True)
+        if chunk.empty:
             continue
-        values = batch[keys].to_numpy()
-        cuts = np.flatnonzero((values[1:] != values[:-1]).any(axis=1)) + 1
-        edges = [0, *cuts, len(batch)]
-        for start, end in zip(edges, edges[1:], strict=False):
-            group = batch.iloc[start:end]
-            if held and (held[-1][keys].iloc[-1].to_numpy() != values[start]).any():
-                yield pd.concat(held) if len(held) > 1 else held[0]
-                held = []
-            held.append(group)
-    if held:
-        yield pd.concat(held) if len(held) > 1 else held[0]
+        starts = group_starts(chunk)
+        held = chunk.iloc[starts[-1] :]
+        if len(starts) > 1:
+            yield chunk.iloc[: starts[-1]], starts[:-1]
+    if held is not None:
+        yield held.reset_index(drop=True), np.zeros(1, dtype=np.int64)
+
+
+def runs(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for chunk, starts in whole_groups(batches):
+        for start, end in zip(starts, [*starts[1:], len(chunk)], strict=True):
+            yield chunk.iloc[start:end]
 
 
 def forest(closeness: np.ndarray) -> list[tuple[int, int]]:
@@ -181,55 +197,101 @@ def forest(closeness: np.ndarray) -> list[tuple[int, int]]:
     return edges
 
 
-def candidates(group: pd.DataFrame, plan: Plan) -> np.ndarray:
-    """Closeness (bits that don't differ) of the pairs of a block that may be linked, else -1."""
-    n = len(group)
-    sketches = np.frombuffer(b"".join(group["sketch"]), dtype=np.uint64).reshape(n, -1)
+def matrix(sketches: pd.Series) -> np.ndarray:
+    return np.frombuffer(b"".join(sketches), dtype=np.uint64).reshape(len(sketches), -1)
+
+
+def closeness(
+    sketches: np.ndarray, reps: np.ndarray, block: np.ndarray, across: bool, plan: Plan
+) -> np.ndarray:
+    """For the pairs of a group that may be linked, the bits in which they don't differ, else -1.
+    Where two blocks meet, pairs inside a block are left to the group that the block has alone."""
+    n = len(reps)
     differing = np.zeros((n, n), dtype=np.int64)
     for column in sketches.T:
         differing += np.bitwise_count(column[:, None] ^ column[None, :])
-    reps = group["rep"].to_numpy()
     wanted = (differing <= plan.most_differing) & (reps[:, None] != reps[None, :])
-    if group["p"].iloc[0] != group["q"].iloc[0]:  # two blocks: pairs inside them have their own group
-        block = group["block"].to_numpy()
+    if across:
         wanted &= block[:, None] != block[None, :]
     return np.where(wanted, SKETCH_BITS - differing, -1)
 
 
-KEYS = ["key", "p", "q"]
+def candidates(group: pd.DataFrame, plan: Plan) -> np.ndarray:
+    return closeness(
+        matrix(group["sketch"]),
+        group["rep"].to_numpy(),
+        group["block"].to_numpy(),
+        group["p"].iloc[0] != group["q"].iloc[0],
+        plan,
+    )
+
+
+def likely_twos(chunk: pd.DataFrame, two: np.ndarray, plan: Plan) -> np.ndarray:
+    """Of the groups of two that begin at the given places, those whose pair may be linked."""
+    reps, block, p, q = (chunk[c].to_numpy() for c in ("rep", "block", "p", "q"))
+    two = two[reps[two] != reps[two + 1]]
+    two = two[(p[two] == q[two]) | (block[two] != block[two + 1])]
+    if not len(two):
+        return two
+    differing = np.bitwise_count(matrix(chunk["sketch"].iloc[two]) ^ matrix(chunk["sketch"].iloc[two + 1]))
+    return two[differing.sum(axis=1, dtype=np.int64) <= plan.most_differing]
 
 
 def _likely(batches: Iterator[pd.DataFrame], plan: Plan) -> Iterator[pd.DataFrame]:
-    found: list[tuple[int, int]] = []
-    for group in runs(batches, KEYS):
-        reps = group["rep"].to_numpy()
-        found += [(reps[i], reps[j]) for i, j in forest(candidates(group, plan).astype(float))]
-        if len(found) > 10_000:
-            yield pd.DataFrame(found, columns=["a", "b"])
-            found = []
-    yield pd.DataFrame(found, columns=["a", "b"])
+    """Spanning forests of the candidates of each group. Groups of two, which most are, are
+    compared all at once."""
+    for chunk, starts in whole_groups(batches):
+        sketches, reps = matrix(chunk["sketch"]), chunk["rep"].to_numpy()
+        block, p, q = (chunk[c].to_numpy() for c in ("block", "p", "q"))
+        size = np.diff(np.append(starts, len(chunk)))
+        two = likely_twos(chunk, starts[size == 2], plan)
+        found = [pd.DataFrame({"a": reps[two], "b": reps[two + 1]})]
+        for start, n in zip(starts[size > 2], size[size > 2], strict=True):
+            part = slice(start, start + n)
+            near = closeness(sketches[part], reps[part], block[part], p[start] != q[start], plan)
+            edges = np.array(forest(near.astype(float)), dtype=np.int64).reshape(-1, 2) + start
+            found.append(pd.DataFrame({"a": reps[edges[:, 0]], "b": reps[edges[:, 1]]}))
+        yield pd.concat(found)
 
 
 def open_pairs(group: pd.DataFrame, plan: Plan) -> np.ndarray:
-    """Pairs of a block that may be linked and aren't connected, in the first bucket they share."""
+    """Pairs of a group that may be linked and aren't connected, in the first bucket they share."""
     wanted = candidates(group, plan) >= 0
     label = group["component"].to_numpy()
     wanted &= label[:, None] != label[None, :]
+    asked = np.flatnonzero(wanted.any(axis=1))
+    if not len(asked):
+        return wanted
     bands, key = np.array(group["bands"].tolist()), group["key"].iloc[0]
-    for i in np.flatnonzero(wanted.any(axis=1)):
+    for i in asked:
         others = np.flatnonzero(wanted[i])
         first = (bands[others] == bands[i]).argmax(axis=1)
         wanted[i, others] = bands[i][first] == key
     return wanted
 
 
+def open_twos(chunk: pd.DataFrame, two: np.ndarray, plan: Plan) -> np.ndarray:
+    """The same for the groups of two that begin at the given places; returns those that are open."""
+    label, key = chunk["component"].to_numpy(), chunk["key"].to_numpy()
+    two = two[label[two] != label[two + 1]]
+    left, right = (np.array(chunk["bands"].iloc[at].tolist()) for at in (two, two + 1))
+    if not len(two):
+        return two
+    first = (left == right).argmax(axis=1)
+    return two[left[np.arange(len(two)), first] == key[two]]
+
+
 def _open(batches: Iterator[pd.DataFrame], plan: Plan) -> Iterator[pd.DataFrame]:
-    for group in runs(batches, KEYS):
-        active = open_pairs(group, plan).any(axis=1)
-        if active.any():
-            yield group.loc[
-                active, ["key", "p", "q", "block", "rep", "sketch", "bands", "component"]
-            ]
+    columns = ["key", "p", "q", "block", "rep", "sketch", "bands", "component"]
+    for chunk, starts in whole_groups(batches):
+        size = np.diff(np.append(starts, len(chunk)))
+        two = open_twos(chunk, likely_twos(chunk, starts[size == 2], plan), plan)
+        active = np.zeros(len(chunk), dtype=bool)
+        active[two] = active[two + 1] = True
+        for start, n in zip(starts[size > 2], size[size > 2], strict=True):
+            group = chunk.iloc[start : start + n]
+            active[start : start + n] = open_pairs(group, plan).any(axis=1)
+        yield chunk.loc[active, columns]
 
 
 def common_shingles(sets: list[np.ndarray], width: int = 4096) -> np.ndarray:
@@ -254,7 +316,7 @@ def common_shingles(sets: list[np.ndarray], width: int = 4096) -> np.ndarray:
 
 
 def _decide(batches: Iterator[pd.DataFrame], plan: Plan) -> Iterator[pd.DataFrame]:
-    for group in runs(batches, KEYS):
+    for group in runs(batches):
         wanted = open_pairs(group, plan)
         sets = [np.frombuffer(s, dtype=np.uint64) for s in group["shingles"]]
         common, size = common_shingles(sets), np.array([len(s) for s in sets])
