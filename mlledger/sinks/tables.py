@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from mlledger.operators.exact import first_per_key
-from mlledger.operators.ledger import absent_rows, golden_rows
+from mlledger.operators.ledger import absent_rows, golden_rows, merge_params
 from mlledger.operators.prep import DataContractError, fingerprint
 from mlledger.schemas import (
     COST_SCHEMA,
@@ -148,6 +148,32 @@ def append_costs(costs: DataFrame, path: str, batch_no: int) -> None:
     rows.select(*typed).write.mode("append").partitionBy("platform").parquet(path)
 
 
+def append_patches(patches: DataFrame, path: str, patch_no: int) -> None:
+    """Store params patches (run_id, patch) under a number. The ledger's rows stay; reading applies
+    the patches, so repeating a lost job repeats equal patches and changes nothing."""
+    rows = patches.select("run_id", "patch", F.lit(patch_no).alias("patch_no"))
+    rows.write.mode("append").parquet(path)
+
+
+def patched_runs(runs: DataFrame, path: str) -> DataFrame:
+    """The ledger with all stored patches applied; `compact` makes it a table of its own."""
+    schema = "run_id string, patch string, patch_no int"
+    return merge_params(runs, runs.sparkSession.read.schema(schema).parquet(path))
+
+
+def record_check(events: DataFrame, items: DataFrame, check_id: str, root: str) -> int:
+    """Record one residual check: its events in <root>/infra_events, and all of its items, whatever
+    their number, in <root>/infra_event_items. Returns how many events are new; recording the same
+    check again adds none and writes the same items."""
+    spark = events.sparkSession
+    items.write.mode("overwrite").parquet(f"{root}/infra_event_items/check_id={check_id}")
+    schema, partition_by = TABLES["infra_events"]
+    create_table(spark, f"{root}/infra_events", schema, partition_by)
+    return append_absent(
+        events, f"{root}/infra_events", "event_id", schema, partition_by=partition_by
+    )
+
+
 def current_costs(costs: DataFrame) -> DataFrame:
     """Last delivery wins per (platform, usage_date, service)."""
     keys = ["platform", "usage_date", "service"]

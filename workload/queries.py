@@ -353,7 +353,12 @@ def _patches(spark, sf):
 
 
 def merge_params(spark, sf):
-    merged = ledger.merge_params(s.runs(spark, sf), _patches(spark, sf))
+    """Patches are stored in two deliveries, and the ledger is read with them."""
+    path = fresh_folder(spark, "patches")
+    for number in (1, 2):
+        given = _patches(spark, sf).filter(F.col("patch_no") == number)
+        sinks.append_patches(given, path, number)
+    merged = sinks.patched_runs(s.runs(spark, sf), path)
     keys = ["note", "rank", "num_leaves", "action"]
     texts = [F.coalesce(text_of("params", k), F.lit("")).alias(k) for k in keys]
     return merged.select("run_id", *texts)
@@ -595,9 +600,17 @@ def infra_event_rows(spark, sf):
 
 
 def infra_event_items(spark, sf):
-    pages = residual.item_pages(residual.items(_checked(spark, sf)), 40)
-    rows = residual.event_items(pages, "check-1")
-    return rows.select("event_id", "platform", "kind", F.explode("items").alias("item"))
+    """A recorded check, read back: its items by the events they belong to."""
+    checked, root = durable(_checked(spark, sf)), fresh_folder(spark, "checks")
+    at = F.lit("2024-02-01 00:00:00").cast("timestamp")
+    pages = residual.item_pages(residual.items(checked), 40)
+    events = residual.infra_events(residual.findings(checked), "check-1", at)
+    sinks.record_check(events, residual.event_items(pages, "check-1"), "check-1", root)
+    rows = spark.read.parquet(f"{root}/infra_event_items")
+    known = spark.read.parquet(f"{root}/infra_events").select("event_id")
+    return rows.join(known, "event_id", "left_semi").select(
+        "event_id", "platform", "kind", F.explode("items").alias("item")
+    )
 
 
 def orphans(spark, sf):
