@@ -15,7 +15,9 @@ def components(links: DataFrame) -> DataFrame:
     first the larger neighbours, then the smaller ones. Both keep the components and end in stars
     after a number of steps that grows with the logarithm of the table. A step only takes minima
     (combined before the shuffle) and joins them back, so a node with very many links is no group
-    that a task must hold. Links to itself and nulls are left out.
+    that a task must hold. The minima are written first: a join that isn't tied to the layout of
+    the groups lets Spark split the partition of such a node. Links to itself and nulls are left
+    out.
     """
     edges = stored(
         links.filter("a <> b")
@@ -28,9 +30,10 @@ def components(links: DataFrame) -> DataFrame:
     while before[0]:
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m")).withColumn("m", F.least("u", "m"))
+        least = stored(least, "components")
         large = both.join(least, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
         down = large.filter("u <> v").distinct()
-        lowest = down.groupBy("u").agg(F.min("v").alias("m"))
+        lowest = stored(down.groupBy("u").agg(F.min("v").alias("m")), "components")
         small = (
             down.join(lowest, "u")
             .select(F.explode(F.array(
