@@ -196,6 +196,36 @@ def test_hilbert_ties_and_odd_vectors(spark):
     assert hilbert_search.nearest(vectors(spark, []), F.lit(True)).count() == 0
 
 
+def test_hilbert_tight_cluster(spark, monkeypatch):
+    """A third of the rows share their key on every curve, yet no task gets more than a range."""
+    rng = np.random.default_rng(2)
+    points = rng.standard_normal((3000, 32))
+    points[::3] = points[0] + 1e-6 * rng.standard_normal((1000, 32))
+    points[1] = points[0]
+    rows = [(i, [float(x) for x in p]) for i, p in enumerate(points)]
+    calls, large = spark.sparkContext.accumulator(0), spark.sparkContext.accumulator(0)
+    whole = hilbert_search.rank_group
+
+    def counted(candidates, queries, k):
+        calls.add(1)
+        large.add(int(len(candidates) > 60 or len(queries) > 20))
+        return whole(candidates, queries, k)
+
+    monkeypatch.setattr(hilbert_search, "rank_group", counted)
+    asks = F.col("vec_id") % 50 == 0
+    found = hilbert_search.nearest(vectors(spark, rows, "double"), asks, range_rows=60, block_rows=20)
+    found = found.collect()
+    unit = points / np.linalg.norm(points, axis=1)[:, None]
+    hit = 0
+    for r in found:
+        near = unit - unit[r.query_id]
+        best = [i for i in np.argsort((near * near).sum(axis=1), kind="stable") if i != r.query_id][:5]
+        hit += r.vec_id in best
+    assert len(found) == 300
+    assert calls.value > 0 and large.value == 0
+    assert hit / 300 >= 0.9
+
+
 # --- chats --------------------------------------------------------------------------------------
 
 
