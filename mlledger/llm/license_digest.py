@@ -108,7 +108,18 @@ SPELLINGS = (
     ("favour", "favor"),
     ("http www", "https www"),
 )
-COPYRIGHT_LINE = r"(^|\n)[ \t*#/;-]*(copyright|\(c\)|©|all rights reserved)[^\n]*"
+#: Words after "copyright" that make it part of the wording, which may be wrapped before it.
+WORDING = (
+    r"(?:notice|holder|owner|law|license|licence|interest|statement|treat(?:y|ie)|act|permission"
+    r"|disclaimer|protection|doctrine|status|information|ownership|right)s?"
+    r"|and|or|in|on|of|for|to|is|are|as|that|which|under|above|applies|resulting"
+)
+#: Lines that state a copyright: with a sign, a year, a placeholder or a name behind the word.
+COPYRIGHT_LINE = (
+    r"(^|\n)[ \t*#/;-]*(copyright:?[ \t]*(\(c\)|©|[0-9\[<{])"
+    rf"|copyright:?[ \t]+(?!(?:{WORDING})\b)[^\W_]"
+    r"|\(c\)[ \t]*(copyright|[0-9\[<{])|©|all rights reserved)[^\n]*"
+)
 #: Runs of these become one space: ASCII but for letters, digits and the line feed, and the
 #: typographic signs that licence texts are set with.
 PUNCTUATION = r"[\x00-\x09\x0B-\x2F\x3A-\x60\x7B-\x7F\x{A0}\x{A9}‐-―‘-‟•]+"

@@ -6,6 +6,8 @@ import base64
 import hashlib
 import itertools
 import random
+import re
+import textwrap
 import zlib
 from collections import Counter, defaultdict
 
@@ -529,3 +531,31 @@ def test_licences_in_other_dress(spark):
         (5, "MIT", 0, ""),
     ]
     assert license_digest.scan_licenses(documents(spark, rows[:0])).count() == 0
+
+
+def rewrapped(text, width):
+    """The text with other line ends; lines that state a copyright stay as they are."""
+    out, open_lines = [], []
+    for line in [*text.split("\n"), ""]:
+        if line.strip() and not re.match(license_digest.COPYRIGHT_LINE, line.lower()):
+            open_lines.append(line)
+            continue
+        wrap = textwrap.fill(" ".join(open_lines), width, break_long_words=False, break_on_hyphens=False)
+        out, open_lines = [*out, wrap, line], []
+    return "\n".join(out)
+
+
+def test_licences_at_any_width(spark):
+    texts = [(key, text) for key, text in license_digest.LICENSES if "\n" in text]
+    rows = [
+        (i, "Copyright Jane Doe\n\n" + rewrapped(text, width), "s")
+        for i, (_, text) in enumerate(texts)
+        for width in (24, 40, 61, 72, 79, 80, 100, 1000)
+    ]
+    got = license_digest.scan_licenses(documents(spark, rows)).collect()
+    assert len(got) == len(rows)
+    assert [(r.doc_id, r.license_id) for r in got if r.license_id != texts[r.doc_id][0]] == []
+    statements = ["Copyright 2020 A", "(c) 2021 B", "Copyright (c) C", "© D", "# Copyright The E Authors"]
+    rows = [(i, f"{line}\n\n{license_digest.ISC}", "s") for i, line in enumerate(statements)]
+    got = license_digest.scan_licenses(documents(spark, rows)).collect()
+    assert [r.license_id for r in got] == ["ISC"] * len(statements)
