@@ -7,6 +7,8 @@ looked up the same way, which finds licence notices. Only DataFrame functions ar
 
 from __future__ import annotations
 
+from pathlib import Path
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -71,6 +73,38 @@ documentation would be appreciated but is not required.
 2. Altered source versions must be plainly marked as such, and must not be misrepresented as being
 the original software.
 3. This notice may not be removed or altered from any source distribution."""
+#: Long licences lie beside this module, a file for each, headings included.
+FILES = (
+    ("Apache-2.0", "Apache-2.0"), ("CC0-1.0", "CC0-1.0"), ("GFDL-1.2", "GFDL-1.2"), ("GFDL-1.3", "GFDL-1.3"),
+    ("GPL-1.0", "GPL-1"), ("GPL-2.0", "GPL-2"), ("GPL-3.0", "GPL-3"), ("LGPL-2.0", "LGPL-2"),
+    ("LGPL-2.1", "LGPL-2.1"), ("LGPL-3.0", "LGPL-3"), ("MPL-1.1", "MPL-1.1"), ("MPL-2.0", "MPL-2.0"),
+)
+LONG = tuple(
+    (key, (Path(__file__).parent / "licences" / f"{name}.txt").read_text(encoding="utf-8"))
+    for key, name in FILES
+)
+#: Long licences end here; how to apply them comes behind, and many copies go without it.
+END_OF_TERMS = "END OF TERMS AND CONDITIONS"
+SHORT_LONG = tuple(
+    (key, text[: text.index(END_OF_TERMS) + tail])
+    for key, text in LONG
+    if END_OF_TERMS in text
+    for tail in (0, len(END_OF_TERMS))
+)
+GNU_NAMES = {"GPL": "General", "LGPL": "Lesser General", "GFDL": "Free Documentation"}
+GNU_NOTICES = tuple(
+    (key, f"This work is licensed under the GNU {GNU_NAMES[family]}{' Public' * (family != 'GFDL')} License, version {v}.")
+    for key, _ in FILES
+    for family, _, version in [key.partition("-")]
+    if family in GNU_NAMES and key not in ("GPL-3.0", "LGPL-2.0")
+    for v in sorted({version, version.removesuffix(".0")})
+)
+SPDX_NOTICES = tuple(
+    (key, f"SPDX-License-Identifier: {key}{suffix}")
+    for key in (*[key for key, _ in FILES], "ISC", "0BSD", "BSD-2-Clause", "Zlib", "CC-BY-4.0", "CC-BY-SA-4.0", "CC-BY-NC-4.0")
+    for suffix in (("", "-only", "-or-later") if key.partition("-")[0] in GNU_NAMES else ("",))
+    if key + suffix not in ("Apache-2.0", "GPL-3.0")  # listed below
+)
 LICENSES = (
     ("MIT", MIT),
     ("MIT", f"MIT License\n\n{MIT}"),
@@ -95,6 +129,11 @@ LICENSES = (
     ("CC-BY-4.0", "Licensed under CC BY 4.0."),
     ("CC-BY-SA-4.0", "Licensed under CC BY-SA 4.0."),
     ("CC-BY-NC-4.0", "Licensed under CC BY-NC 4.0."),
+    ("MPL-2.0", "Licensed under the Mozilla Public License, Version 2.0."),
+    *LONG,
+    *SHORT_LONG,
+    *GNU_NOTICES,
+    *SPDX_NOTICES,
 )
 #: Spellings that mean the same, replaced in this order; part of words, too.
 SPELLINGS = (

@@ -10,6 +10,7 @@ import re
 import textwrap
 import zlib
 from collections import Counter, defaultdict
+from pathlib import Path
 
 import numpy as np
 import public_tokenizers
@@ -559,3 +560,14 @@ def test_licences_at_any_width(spark):
     rows = [(i, f"{line}\n\n{license_digest.ISC}", "s") for i, line in enumerate(statements)]
     got = license_digest.scan_licenses(documents(spark, rows)).collect()
     assert [r.license_id for r in got] == ["ISC"] * len(statements)
+
+
+def test_long_licences(spark):
+    folder = Path(license_digest.__file__).parent / "licences"
+    files = sorted(folder.glob("*.txt"))
+    rows = [(i, f.read_text(), "s") for i, f in enumerate(files)]
+    rows.append((len(files), "SPDX-License-Identifier: GPL-2.0-or-later", "s"))
+    got = {r.doc_id: r for r in license_digest.scan_licenses(documents(spark, rows)).collect()}
+    for i, f in enumerate(files):
+        assert got[i].license_id.removesuffix(".0") == f.stem.removesuffix(".0")
+    assert (got[len(files)].n_notices, got[len(files)].notice_ids) == (1, "GPL-2.0")
