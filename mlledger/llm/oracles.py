@@ -135,9 +135,142 @@ FROM forms LEFT JOIN notices USING (doc_id)
 LEFT JOIN known ON known.digest = {digest("form")}
 """
 
+LOWERED = (
+    "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+)
+WORDS = rf"regexp_extract_all({LOWERED}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
+#: CRC-32 by its table: 256 entries, each eight steps of the division.
+OP11 = f"""
+WITH crc_table AS MATERIALIZED (
+    SELECT list(v ORDER BY i) AS entries FROM (
+        SELECT i, list_reduce(list_prepend(i, range(8)), lambda c, step:
+            CASE WHEN c & 1 = 1 THEN xor(3988292384, c >> 1) ELSE c >> 1 END) AS v
+        FROM (SELECT unnest(range(256)) AS i))
+), doc_words AS MATERIALIZED (
+    SELECT doc_id, row_number() OVER () AS row_no, {WORDS} AS w FROM documents
+), doc_features AS MATERIALIZED (
+    SELECT row_no, unnest(w) AS feature FROM doc_words
+), target_features AS MATERIALIZED (
+    SELECT unnest({WORDS}) AS feature FROM benchmark
+), buckets AS MATERIALIZED (
+    SELECT feature, xor(list_reduce(list_prepend(4294967295, bytes), lambda c, b:
+        xor(c >> 8, entries[1 + (xor(c, b) & 255)])), 4294967295) % 10000 AS bucket
+    FROM (
+        SELECT feature, list_transform(range(length(hex(encode(feature))) // 2), lambda i:
+            ('0x' || substr(hex(encode(feature)), 2 * i + 1, 2))::BIGINT) AS bytes
+        FROM (SELECT feature FROM doc_features UNION SELECT feature FROM target_features)
+    ), crc_table
+), s AS (
+    SELECT bucket, count(*) AS n FROM doc_features JOIN buckets USING (feature) GROUP BY bucket
+), t AS (
+    SELECT bucket, count(*) AS n FROM target_features JOIN buckets USING (feature) GROUP BY bucket
+), gains AS MATERIALIZED (
+    SELECT bucket, floor(1000 * ln(
+        ((coalesce(t.n, 0) + 1)::DOUBLE * ((SELECT count(*) FROM doc_features) + 10000)::DOUBLE)
+        / ((coalesce(s.n, 0) + 1)::DOUBLE * ((SELECT count(*) FROM target_features) + 10000)::DOUBLE)
+    ))::BIGINT AS gain
+    FROM s FULL JOIN t USING (bucket)
+), weights AS (
+    SELECT row_no, floor(sum(gain)::DOUBLE / count(*))::BIGINT AS weight
+    FROM doc_features JOIN buckets USING (feature) JOIN gains USING (bucket) GROUP BY row_no
+), scored AS (
+    SELECT doc_id, len(w)::BIGINT AS n_features, coalesce(weight, 0) AS weight,
+           coalesce(weight, 0) + floor(-1000 * ln(-ln(
+               (('0x' || substr(sha256(concat('2024:', doc_id)), 1, 8))::BIGINT + 0.5::DOUBLE)
+               / 4294967296::DOUBLE)))::BIGINT AS score
+    FROM doc_words LEFT JOIN weights USING (row_no)
+), numbered AS (
+    SELECT *, row_number() OVER (PARTITION BY n_features >= 20 ORDER BY score DESC, doc_id) AS place,
+           count(*) OVER (PARTITION BY n_features >= 20) AS n
+    FROM scored
+)
+SELECT doc_id, n_features, weight, score,
+       CASE WHEN n_features >= 20 AND place <= 10 * n // 100 THEN place END AS rank
+FROM numbered
+"""
+
+OP12 = f"""
+WITH doc_words AS MATERIALIZED (
+    SELECT doc_id, row_number() OVER () AS row_no, {WORDS} AS w FROM documents
+), items AS (
+    SELECT coalesce(item_id::VARCHAR, '') AS item_id, {WORDS} AS w FROM benchmark
+), windows AS MATERIALIZED (
+    SELECT DISTINCT item_id, len(x) AS n, array_to_string(x, ' ') AS x FROM (
+        SELECT item_id, unnest(list_transform(range(greatest(len(w) - 9, 1)),
+                                              lambda i: w[i + 1:i + 10])) AS x
+        FROM items WHERE len(w) > 0)
+), places AS (
+    SELECT row_no, n, pos, array_to_string(w[pos:pos + n - 1], ' ') AS x
+    FROM (SELECT row_no, w, n, unnest(range(1, len(w) - n + 2)) AS pos
+          FROM doc_words, (SELECT DISTINCT n FROM windows))
+), hits AS MATERIALIZED (
+    SELECT row_no, pos, n, item_id FROM places JOIN windows USING (n, x)
+), covered AS (
+    SELECT row_no, count(DISTINCT place) AS n_hit
+    FROM (SELECT DISTINCT row_no, unnest(range(pos, pos + n)) AS place FROM hits) GROUP BY row_no
+), found AS (
+    SELECT row_no, count(DISTINCT item_id) AS n_items,
+           string_agg(DISTINCT item_id, ',' ORDER BY item_id) AS ids
+    FROM hits GROUP BY row_no
+)
+SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items,
+       sha256(coalesce(ids, '')) AS items_sha256, n_hit IS NOT NULL AS contaminated
+FROM doc_words LEFT JOIN covered USING (row_no) LEFT JOIN found USING (row_no)
+"""
+
+OP13 = r"""
+WITH docs AS (
+    SELECT doc_id, coalesce(lang, '') AS part, coalesce(text, '') AS text FROM documents
+), facts AS (
+    SELECT doc_id, part, text, regexp_extract_all(text, '[^\x20\x09-\x0D]+') AS w,
+           coalesce(min(doc_id) OVER (PARTITION BY text) < doc_id, false) AS copy
+    FROM docs
+), marks AS (
+    SELECT doc_id, part, [
+        len(w) < 100, 100 * len(list_distinct(w)) < 80 * len(w),
+        100 * length(regexp_replace(text, '[^A-Z]', '', 'g')) > 10 * length(text),
+        regexp_matches(text, '[#$%&*|]'), copy] AS fails
+    FROM facts
+), flags AS (
+    SELECT doc_id, bool_or(quality = 1) AS good, bool_or(toxic = 1) AS toxic FROM labels GROUP BY doc_id
+), counts AS MATERIALIZED (
+    SELECT part, fails, coalesce(good, false) AS good, coalesce(toxic, false) AS toxic, count(*) AS n
+    FROM marks LEFT JOIN flags USING (doc_id) GROUP BY ALL
+), letters(letter) AS (VALUES ('A'), ('B'), ('C'), ('D'), ('E')),
+orders AS (
+    SELECT a.letter || b.letter || c.letter || d.letter || e.letter AS filter_order
+    FROM letters a, letters b, letters c, letters d, letters e
+    WHERE len(list_distinct([a.letter, b.letter, c.letter, d.letter, e.letter])) = 5
+), steps AS (
+    SELECT filter_order, step, filter_order[step] AS letter, ascii(filter_order[step]) - 64 AS own,
+           list_transform(string_split(filter_order[:step - 1], ''), lambda x: ascii(x) - 64) AS earlier
+    FROM orders, (SELECT unnest(range(1, 6)) AS step)
+), seen AS (
+    SELECT part, filter_order, step, letter, n, good, toxic, fails[own] AS fails,
+           step > 1 AND list_bool_or(list_transform(earlier, lambda i: fails[i])) AS gone,
+           len(list_filter(fails, lambda f: f)) = 1 AS alone
+    FROM counts, steps
+), audited AS (
+    SELECT part, filter_order, step, letter,
+           sum(CASE WHEN NOT fails AND NOT gone THEN n ELSE 0 END)::BIGINT AS kept,
+           sum(CASE WHEN fails AND NOT gone THEN n ELSE 0 END)::BIGINT AS removed,
+           sum(CASE WHEN fails AND gone THEN n ELSE 0 END)::BIGINT AS redundant,
+           sum(CASE WHEN fails AND alone THEN n ELSE 0 END)::BIGINT AS unique_fails,
+           sum(CASE WHEN fails AND NOT gone AND good THEN n ELSE 0 END)::BIGINT AS good_lost,
+           sum(CASE WHEN fails AND NOT gone AND toxic THEN n ELSE 0 END)::BIGINT AS toxic_lost
+    FROM seen GROUP BY ALL
+)
+SELECT part, filter_order, step::INT AS step, kept, removed, redundant, unique_fails, good_lost,
+       toxic_lost, sum(removed) OVER (PARTITION BY part, letter)::BIGINT AS shapley
+FROM audited
+"""
+
 ORACLES: dict[str, str] = {
     "op2_kdtree_topk": OP2,
     "op4_chat_snapshots": OP4,
     "op6_odd_sketch_dedup": OP6,
     "op10_license_digests": OP10,
+    "op11_target_resampling": OP11,
+    "op12_benchmark_decontamination": OP12,
+    "op13_filter_audit": OP13,
 }

@@ -9,6 +9,8 @@ from mlledger.llm import (
     block_labeller,
     bpe_tree,
     chat_snapshots,
+    decontamination,
+    filter_audit,
     hilbert_search,
     kdtree_search,
     license_digest,
@@ -16,6 +18,7 @@ from mlledger.llm import (
     mixing,
     odd_sketch_dedup,
     shards,
+    target_resampling,
 )
 from mlledger.llm.common import table
 
@@ -77,6 +80,24 @@ def op10_license_digests(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_digest.scan_licenses(table(spark, sf_dir, "documents"))
 
 
+def op11_target_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return target_resampling.resample(
+        table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")
+    ).select("doc_id", "n_features", "weight", "score", "rank")
+
+
+def op12_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontamination.contaminated_documents(
+        table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")
+    )
+
+
+def op13_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_audit.audit_filters(
+        table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    )
+
+
 QUERIES = [
     op1_entropy_mix,
     op2_kdtree_topk,
@@ -88,4 +109,7 @@ QUERIES = [
     op8_line_crf,
     op9_bpe_tree,
     op10_license_digests,
+    op11_target_resampling,
+    op12_benchmark_decontamination,
+    op13_filter_audit,
 ]
