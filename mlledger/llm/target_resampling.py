@@ -23,7 +23,6 @@ from tokenizers.pre_tokenizers import Split
 from mlledger.llm.common import fresh_name, hashes, stored
 
 WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
-LOWERED = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 LONGEST = 1  # words of a feature
 BUCKETS = 10_000
 MIN_WORDS, DRAWN_PERCENT, SEED = 20, 10, 2024
@@ -57,20 +56,16 @@ def features(text: str, split: Split, longest: int, piece: int = PIECE) -> Itera
     """(words, features) of each piece of a text: all runs of 1 to ``longest`` consecutive words,
     joined by one space. A piece goes on from the last words of the one before."""
     carried: list[str] = []
-    for part in pieces(text.translate(LOWERED), piece):
-        offsets = [pair for _, pair in split.pre_tokenize_str(part)]
-        words = carried + [part[a:b] for a, b in offsets]
-        found = []
-        for run in range(1, longest + 1):
+    lowered = text.encode().lower().decode()  # bytes lower A-Z only
+    for part in pieces(lowered, piece):
+        found = split.pre_tokenize_str(part)
+        words = carried + [word for word, _ in found]
+        runs = words[len(carried) :]
+        for run in range(2, longest + 1):
             # Runs that end in the carried words were given with the piece before.
             first = max(0, len(carried) - run + 1)
-            if run == 1:
-                found += words[first:]
-            else:
-                found += [
-                    " ".join(words[i : i + run]) for i in range(first, len(words) - run + 1)
-                ]
-        yield len(offsets), found
+            runs += [" ".join(words[i : i + run]) for i in range(first, len(words) - run + 1)]
+        yield len(found), runs
         carried = words[len(words) - longest + 1 :] if longest > 1 else []
 
 
