@@ -1,148 +1,45 @@
-"""Training, evaluation, explanation and scoring with Spark ML."""
+"""Training, evaluation, explanation and scoring."""
 
 from __future__ import annotations
 
-import math
-from dataclasses import dataclass
 from functools import reduce
 
-from pyspark import SparkContext
-from pyspark.ml import Pipeline, PipelineModel
-from pyspark.ml.feature import VectorAssembler
-from pyspark.ml.regression import GBTRegressionModel, GBTRegressor, RandomForestRegressor
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from mlledger.operators import boosting
+from mlledger.operators.boosting import Boosted, best_round  # noqa: F401
 from mlledger.operators.params import DEFAULT_PATIENCE, DEFAULT_ROUNDS, DEFAULTS
-from mlledger.schemas import FEATURES, ROW_ID, SEED, TARGET, fixed_table
-from mlledger.session import ensure_checkpoints
+from mlledger.operators.trees import TreeModel
+from mlledger.schemas import FEATURES, SEED, TARGET, fixed_table
 
-BASELINE_TREES = 100
+BASELINE_TREES, BASELINE_DEPTH = 100, 5
 BASELINE_LIMIT = 10.0
 
 
-@dataclass
-class Trained:
-    model: PipelineModel
-    best_iteration: int
-
-
-def stable_layout(df: DataFrame, partitions: int, key: str = ROW_ID) -> DataFrame:
-    """Rows placed by a hash of the key and sorted inside each partition.
-
-    Trees sample rows per partition, so this makes a fit the same however the input was split
-    into files. `partitions` is part of a run's parameters.
-    """
-    return df.repartition(partitions, key).sortWithinPartitions(key)
-
-
-def partitions_for(df: DataFrame, rows_each: int = 500_000) -> int:
-    """Partitions of a fit such that each holds about `rows_each` rows."""
-    return max(1, math.ceil(df.count() / rows_each))
-
-
-def _assembler() -> VectorAssembler:
-    return VectorAssembler(inputCols=FEATURES, outputCol="features")
-
-
-def _gbt(params: dict, seed: int, rounds: int) -> GBTRegressor:
-    depth = int(params["max_depth"])
-    return GBTRegressor(
-        featuresCol="features",
-        labelCol=TARGET,
-        predictionCol="prediction",
-        maxIter=rounds,
-        stepSize=float(params["learning_rate"]),
-        maxDepth=depth if depth > 0 else max(1, math.ceil(math.log2(params["num_leaves"] + 1))),
-        maxBins=int(params["max_bin"]),
-        minInfoGain=float(params["min_gain_to_split"]),
-        featureSubsetStrategy=str(params["feature_fraction"]),
-        subsamplingRate=float(params["bagging_fraction"]),
-        minInstancesPerNode=int(params["min_data_in_leaf"]),
-        checkpointInterval=10,
-        seed=seed,
-    )
-
-
-def first_rounds(model: GBTRegressionModel, rounds: int) -> GBTRegressionModel:
-    """The model as it was after its first rounds. Each round only adds a tree, so a shorter fit is
-    a prefix of a longer one and nothing has to be fitted again."""
-    jvm = model._java_obj
-    sc = SparkContext._active_spark_context
-    trees = sc._gateway.new_array(
-        sc._jvm.org.apache.spark.ml.regression.DecisionTreeRegressionModel, rounds
-    )
-    weights = sc._gateway.new_array(sc._jvm.double, rounds)
-    for i in range(rounds):
-        trees[i], weights[i] = jvm.trees()[i], float(jvm.treeWeights()[i])
-    cut = sc._jvm.org.apache.spark.ml.regression.GBTRegressionModel(
-        model.uid, trees, weights, model.numFeatures
-    )
-    for name in ("featuresCol", "labelCol", "predictionCol"):
-        cut.set(cut.getParam(name), model.getOrDefault(name))
-    return GBTRegressionModel(cut)
-
-
-def best_round(losses: list[float], patience: int) -> int:
-    """1-based round with the lowest loss, looking `patience` rounds past the best so far."""
-    best = 0
-    for i, loss in enumerate(losses):
-        if loss < losses[best]:
-            best = i
-        elif i - best >= patience:
-            break
-    return best + 1
-
-
 def train(
     data: DataFrame,
-    partitions: int,
     seed: int = SEED,
     rounds: int = DEFAULT_ROUNDS,
     patience: int = DEFAULT_PATIENCE,
     overrides: dict | None = None,
-) -> Trained:
+    folder: str | None = None,
+) -> Boosted:
     """Boosted trees, cut at the best round on the validation rows.
 
-    data has the gold columns and `split`. The number of rounds doubles until the best round lies
-    `patience` behind the last one, which avoids most rounds past the best; the model is then cut
-    to its best number of rounds. An override that the learner doesn't know is an error.
+    data has the gold columns and `split`. A second call with the same `folder` goes on from the last
+    block of rounds that the first one finished. An override that the learner doesn't know is an error.
     """
     if unknown := set(overrides or {}) - set(DEFAULTS):
         raise ValueError(f"the learner has no parameters {sorted(unknown)}")
-    params = {**DEFAULTS, **(overrides or {})}
-    ensure_checkpoints(data.sparkSession)
-    assembler = _assembler()
-    laid_out = stable_layout(data.filter(F.col("split") == "train"), partitions)
-    fit_rows = assembler.transform(laid_out).select("features", TARGET).persist()
-    held_out = assembler.transform(data.filter(F.col("split") == "valid"))
-    valid_rows = held_out.select("features", TARGET).persist()
-    try:
-        fitted = min(rounds, max(16, 2 * patience))
-        while True:
-            model = _gbt(params, seed, fitted).fit(fit_rows)
-            losses = list(model.evaluateEachIteration(valid_rows, "squared"))
-            best = best_round(losses, patience)
-            if best + patience <= fitted or fitted == rounds:
-                break
-            fitted = min(rounds, 2 * fitted)
-        if best < fitted:
-            model = first_rounds(model, best)
-    finally:
-        fit_rows.unpersist()
-        valid_rows.unpersist()
-    return Trained(PipelineModel([assembler, model]), best)
+    return boosting.boost(data, {**DEFAULTS, **(overrides or {})}, seed, rounds, patience, folder)
 
 
 def train_baseline(
-    data: DataFrame, partitions: int, seed: int = SEED, trees: int = BASELINE_TREES
-) -> PipelineModel:
-    """Random forest on the same split, as a rough sanity check of the pipeline."""
-    forest = RandomForestRegressor(
-        featuresCol="features", labelCol=TARGET, numTrees=trees, seed=seed
-    )
-    rows = stable_layout(data.filter(F.col("split") == "train"), partitions)
-    return Pipeline(stages=[_assembler(), forest]).fit(rows)
+    data: DataFrame, seed: int = SEED, trees: int = BASELINE_TREES, depth: int = BASELINE_DEPTH
+) -> TreeModel:
+    """Bagged forest on the same split, as a rough sanity check of the pipeline."""
+    return boosting.bagged_forest(data, trees, seed, depth)
 
 
 def regression_metrics(
@@ -166,15 +63,11 @@ def baseline_is_sane(metrics: dict) -> bool:
 
 
 def feature_importance(nodes: DataFrame, features: list[str] = FEATURES) -> DataFrame:
-    """feature, gain, split from the node table of a saved tree ensemble.
-
-    Inner nodes carry the feature they split on and their gain for each row; times the rows of the
-    node it is the loss that the split takes away. Features no tree uses get zeros.
-    """
-    node = F.col("nodeData")
-    inner = nodes.filter(node["leftChild"] >= 0)
-    used = inner.groupBy(node["split"]["featureIndex"].alias("feature_no")).agg(
-        F.sum(node["gain"] * node["rawCount"]).alias("gain"), F.count("*").alias("split")
+    """feature, gain, split from the node table of a model: the loss that its splits take away, and
+    their number. Features no tree uses get zeros."""
+    inner = nodes.filter("feature_no >= 0")
+    used = inner.groupBy("feature_no").agg(
+        F.sum("gain").alias("gain"), F.count("*").alias("split")
     )
     names = fixed_table(nodes.sparkSession, ["feature_no", "feature"], list(enumerate(features)))
     return (
@@ -184,21 +77,16 @@ def feature_importance(nodes: DataFrame, features: list[str] = FEATURES) -> Data
     )
 
 
-def saved_nodes(spark: SparkSession, model_path: str) -> DataFrame:
-    """Node table of a saved pipeline; the ensemble is its second stage."""
-    return spark.read.parquet(f"{model_path}/stages/1_*/data")
-
-
 def missing_features(columns: list[str], features: list[str] = FEATURES) -> list[str]:
     return [c for c in features if c not in columns]
 
 
-def score(model: PipelineModel, df: DataFrame) -> DataFrame:
+def score(model: TreeModel, df: DataFrame) -> DataFrame:
     """Add `prediction`. Features are taken by name, so their order in the input is free."""
     missing = missing_features(df.columns)
     if missing:
         raise ValueError(f"missing features: {missing}")
-    return model.transform(df).drop("features")
+    return model.transform(df)
 
 
 def payload_instances(requests: DataFrame, features: list[str] = FEATURES) -> DataFrame:
@@ -229,7 +117,7 @@ def payload_instances(requests: DataFrame, features: list[str] = FEATURES) -> Da
     return flat.select(*ids, "position", error.alias("error"), *features)
 
 
-def score_payloads(model: PipelineModel, requests: DataFrame) -> DataFrame:
+def score_payloads(model: TreeModel, requests: DataFrame) -> DataFrame:
     """request_no, request_id, position, prediction, error: every instance's answer as a row.
 
     Unusable instances pass through the model with zeros, so the payloads are read and parsed

@@ -6,7 +6,7 @@ where a report is shown.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from mlledger.functions.jsontext import (
@@ -206,6 +206,15 @@ def ordered(report: DataFrame, name: str) -> DataFrame:
     return report.orderBy(*[c for c, _ in keys], ascending=[up for _, up in keys])
 
 
+def ranked(report: DataFrame, name: str) -> DataFrame:
+    """The report with `row_no`, its place in report order from 1, for readers that keep no order.
+    Rows that the report leaves in no order follow its other columns. One task numbers them, as a
+    reader is shown them one by one."""
+    keys = [F.col(c).asc() if up else F.col(c).desc() for c, up in REPORT_ORDER[name]]
+    rest = sorted(set(report.columns) - {c for c, _ in REPORT_ORDER[name]})
+    return report.withColumn("row_no", F.row_number().over(Window.orderBy(*keys, *rest)))
+
+
 def _run_cells(runs: DataFrame) -> DataFrame:
     """Run counts and seconds per combination of the fixed domains: one scan, few rows.
 

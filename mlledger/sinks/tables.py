@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.types import StructType
 
 from mlledger.operators.exact import first_per_key
@@ -16,11 +17,23 @@ from mlledger.schemas import (
     ROW_ID,
     RUN_SCHEMA,
 )
+from mlledger.sinks.files import folder_is_whole
 from mlledger.sources.artifacts import file_checksums
 
+#: Partition column of a ledger, a hash of its key, and how many values it has. A batch of few keys
+#: reads only the folders of their hashes.
+KEY_BUCKET = "key_bucket"
+KEY_BUCKETS = 256
+BUCKETED = T.StructField(KEY_BUCKET, T.IntegerType())
+
+
+def key_bucket(key: Column | str) -> Column:
+    return F.pmod(F.xxhash64(key), F.lit(KEY_BUCKETS)).cast("int")
+
+
 TABLES: dict[str, tuple[StructType, tuple[str, ...]]] = {
-    "ml_runs": (RUN_SCHEMA, ("platform",)),
-    "infra_events": (INFRA_SCHEMA, ("platform",)),
+    "ml_runs": (StructType([*RUN_SCHEMA.fields, BUCKETED]), (KEY_BUCKET,)),
+    "infra_events": (StructType([*INFRA_SCHEMA.fields, BUCKETED]), (KEY_BUCKET,)),
     "cost_snapshots": (COST_SCHEMA, ("platform",)),
     "housing": (HOUSING_TABLE_SCHEMA, ()),
 }
@@ -61,6 +74,14 @@ def drop_tables(spark: SparkSession, database: str = "default") -> None:
         spark.sql(f"DROP TABLE IF EXISTS {database}.{name}")
 
 
+def ledger_part(spark: SparkSession, path: str, schema: StructType, incoming: DataFrame, key: str) -> DataFrame:
+    """The folders of a bucketed ledger that may hold a key of `incoming`; the list of their numbers is
+    never longer than KEY_BUCKETS, whatever the size of either table."""
+    touched = incoming.select(key_bucket(key).alias("b")).distinct().collect()
+    existing = spark.read.schema(schema).parquet(path)
+    return existing.filter(F.col(KEY_BUCKET).isin([r.b for r in touched]))
+
+
 def append_absent(
     incoming: DataFrame,
     path: str,
@@ -71,19 +92,38 @@ def append_absent(
 ) -> int:
     """Append the rows whose key the table lacks; returns how many.
 
-    Running it again after a lost job adds only what is still missing.
+    Running it again after a lost job adds only what is still missing. A table partitioned by
+    KEY_BUCKET is read only where its hashes are those of incoming keys; such an `incoming` is
+    evaluated twice, so it should be a stored table if it is costly. Two writers that append the same
+    key at once both succeed; `first_rows` reads the earlier row.
     """
     spark = incoming.sparkSession
-    existing = spark.read.schema(schema).parquet(path)
     seen = Observation()
+    if KEY_BUCKET in partition_by:
+        existing = ledger_part(spark, path, schema, incoming, key)
+        incoming = incoming.withColumn(KEY_BUCKET, key_bucket(key))
+    else:
+        existing = spark.read.schema(schema).parquet(path)
     rows = absent_rows(incoming, existing, key, order).select(
         *[F.col(f.name).cast(f.dataType).alias(f.name) for f in schema.fields]
     )
-    counted = rows.hint("rebalance").observe(seen, F.count(F.lit(1)).alias("inserted"))
+    counted = rows.hint("rebalance", *partition_by).observe(seen, F.count(F.lit(1)).alias("inserted"))
     counted.write.mode("append").partitionBy(*partition_by).parquet(path)
     return seen.get["inserted"]
 
 
+def first_rows(ledger: DataFrame, key: str) -> DataFrame:
+    """A ledger as its readers should see it: of rows that share a key the first by created_at, then
+    by the other columns. Only two writers at the same time leave such rows."""
+    columns = [c for c in ledger.columns if c not in (key, KEY_BUCKET)]
+    order = ["created_at", *sorted(c for c in columns if c != "created_at")]
+    return first_per_key(ledger, [key], [F.col(c) for c in order]).drop(KEY_BUCKET)
+
+
+def read_runs(spark: SparkSession, path: str) -> DataFrame:
+    return first_rows(spark.read.schema(TABLES["ml_runs"][0]).parquet(path), "run_id")
+
+
 def load_housing(incoming: DataFrame, path: str, source: str) -> dict[str, int]:
     """Bulk load that skips known row ids; a table that is still empty afterwards is an error."""
     spark = incoming.sparkSession
@@ -148,17 +188,30 @@ def append_costs(costs: DataFrame, path: str, batch_no: int) -> None:
     rows.select(*typed).write.mode("append").partitionBy("platform").parquet(path)
 
 
-def append_patches(patches: DataFrame, path: str, patch_no: int) -> None:
-    """Store params patches (run_id, patch) under a number. The ledger's rows stay; reading applies
-    the patches, so repeating a lost job repeats equal patches and changes nothing."""
-    rows = patches.select("run_id", "patch", F.lit(patch_no).alias("patch_no"))
-    rows.write.mode("append").parquet(path)
+PATCH_SCHEMA = "run_id string, patch string, patch_no int"
+
+
+def append_patches(patches: DataFrame, ledger: DataFrame, path: str, patch_no: int) -> DataFrame:
+    """Give params patches (run_id, patch) to the runs that the ledger holds now, under a number.
+
+    Only patches that reach a run are stored, so a run that arrives later stays as it comes, as with
+    an update in place. The ledger's rows stay; reading applies the patches. A number is given once:
+    if its folder is whole, nothing happens and what it reached stays; a delivery that failed midway is
+    made anew. Returns the stored patches.
+    """
+    spark = patches.sparkSession
+    folder = f"{path}/patch_no={patch_no}"
+    if not folder_is_whole(spark, folder):
+        reached = patches.select("run_id", "patch").join(
+            ledger.select("run_id").distinct(), "run_id", "left_semi"
+        )
+        reached.write.mode("overwrite").parquet(folder)
+    return spark.read.schema(PATCH_SCHEMA).parquet(path).filter(F.col("patch_no") == patch_no)
 
 
 def patched_runs(runs: DataFrame, path: str) -> DataFrame:
     """The ledger with all stored patches applied; `compact` makes it a table of its own."""
-    schema = "run_id string, patch string, patch_no int"
-    return merge_params(runs, runs.sparkSession.read.schema(schema).parquet(path))
+    return merge_params(runs, runs.sparkSession.read.schema(PATCH_SCHEMA).parquet(path))
 
 
 def record_check(events: DataFrame, items: DataFrame, check_id: str, root: str) -> int:

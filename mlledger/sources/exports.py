@@ -29,6 +29,7 @@ COST_EXPORTS = {
 
 # Fixed value: how the last line of an infrastructure run begins.
 _DONE = r"(?:Apply|Destroy) complete! Resources: [^\n]*?"
+_CLOSING = _DONE + r"\b\d+ destroyed"
 
 
 def read_cost_export(spark: SparkSession, platform: str, path: str) -> DataFrame:
@@ -63,17 +64,39 @@ def resource_count(output: Column, action: Column) -> Column:
 
 
 def read_transcripts(spark: SparkSession, folder: str) -> DataFrame:
-    """Logs kept as <env>/<action>.log: one row per log with its resource count."""
+    """Logs kept as <env>/<action>.log: env, action, and the resource count that the first closing line
+    of the log states (null if there is none), one row per log.
+
+    Logs are scanned by lines, so a long one is split over tasks and none is held whole. A line's place
+    is that of its block in the file, then its place in the block.
+    """
     path = F.col("_metadata.file_path")
-    logs = (
+    lines = (
         spark.read.option("recursiveFileLookup", "true")
         .option("pathGlobFilter", "*.log")
-        .text(folder, wholetext=True)
+        .text(folder)
         .select(
-            F.element_at(F.split(path, "/"), -2).alias("env"),
-            F.regexp_extract(path, r"([^/]+)\.log$", 1).alias("action"),
-            F.col("value").alias("output"),
+            path.alias("file"),
+            F.col("_metadata.file_block_start").alias("block"),
+            F.monotonically_increasing_id().alias("line"),
+            "value",
         )
     )
-    return logs.withColumn("resource_count", resource_count(F.col("output"), F.col("action")))
-
+    closing = F.min(F.struct("block", "line", "value"))["value"]
+    stated = (
+        lines.filter(F.col("value").rlike(_CLOSING)).groupBy("file").agg(closing.alias("output"))
+    )
+    files = (
+        spark.read.format("binaryFile")
+        .option("recursiveFileLookup", "true")
+        .option("pathGlobFilter", "*.log")
+        .load(folder)
+        .select(path.alias("file"))  # no content is read
+    )
+    env = F.element_at(F.split("file", "/"), -2)
+    action = F.regexp_extract("file", r"([^/]+)\.log$", 1)
+    return files.join(stated, "file", "left").select(
+        env.alias("env"),
+        action.alias("action"),
+        resource_count(F.col("output"), action).alias("resource_count"),
+    )

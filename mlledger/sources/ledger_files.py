@@ -91,10 +91,14 @@ def good_lines(lines: DataFrame) -> DataFrame:
 
 def rejected_lines(lines: DataFrame) -> DataFrame:
     """The lines a collect must not lose: what they said and why they were refused."""
-    decoded = decode_lines(lines).filter(F.col("problem").isNotNull())
+    return refused_lines(decode_lines(lines))
+
+
+def refused_lines(decoded: DataFrame) -> DataFrame:
+    """The same for lines that are decoded already."""
     known = [f.name for f in RUN_LINE_SCHEMA.fields]
     raw = F.coalesce("_corrupt_record", F.to_json(F.struct(*known)))
-    return decoded.select("run_id", "problem", raw.alias("line"))
+    return decoded.filter(F.col("problem").isNotNull()).select("run_id", "problem", raw.alias("line"))
 
 
 def read_manifests(spark: SparkSession, folder: str) -> DataFrame:

@@ -211,6 +211,86 @@ def test_stream_counters_match_a_batch(spark, tmp_path):
     assert sorted(map(tuple, streamed.collect())) == sorted(map(tuple, batch.collect()))
 
 
+def test_a_batch_reads_only_the_folders_of_its_keys(spark, make_runs, tmp_path):
+    path, (schema, layout) = str(tmp_path / "runs"), sinks.TABLES["ml_runs"]
+    sinks.create_table(spark, path, schema, layout)
+    many = make_runs({"run_id": "a"}).drop("run_id").join(
+        spark.range(2000).select(F.col("id").cast("string").alias("run_id"))
+    )
+    assert sinks.append_absent(many, path, "run_id", schema, None, layout) == 2000
+    few = many.filter("run_id < '1002'").withColumn("attempt", F.lit(7))
+    part = sinks.ledger_part(spark, path, schema, few, "run_id")
+    files = part.select("_metadata.file_path").distinct().count()
+    assert 0 < files <= few.count() < sinks.KEY_BUCKETS / 10
+    assert "PartitionFilters: [key_bucket" in part._jdf.queryExecution().executedPlan().toString()
+    new = few.unionByName(few.withColumn("run_id", F.concat(F.lit("new-"), "run_id")))
+    assert sinks.append_absent(new, path, "run_id", schema, None, layout) == few.count()
+    assert sinks.read_runs(spark, path).filter("attempt = 7").count() == few.count()
+
+
+def test_two_writers_at_once_leave_one_run(spark, make_runs, tmp_path):
+    path, (schema, layout) = str(tmp_path / "runs"), sinks.TABLES["ml_runs"]
+    sinks.create_table(spark, path, schema, layout)
+    ours = make_runs({"run_id": "a", "attempt": 1}, {"run_id": "b"})
+    theirs = make_runs({"run_id": "a", "attempt": 2, "created_at": "2026-08-01 09:00:00"})
+    # Both looked into the ledger before the other wrote.
+    rows = [ledger.absent_rows(w, sinks.ledger_part(spark, path, schema, w, "run_id"), "run_id") for w in (ours, theirs)]
+    kept = [spark.createDataFrame(r.collect(), r.schema) for r in rows]
+    assert [r.count() for r in kept] == [2, 1]
+    for r in kept:
+        bucketed = r.withColumn(sinks.KEY_BUCKET, sinks.key_bucket("run_id"))
+        bucketed.write.mode("append").partitionBy(*layout).parquet(path)
+    assert {(r.run_id, r.attempt) for r in sinks.read_runs(spark, path).collect()} == {("a", 2), ("b", 1)}
+
+
+def test_a_patch_reaches_only_runs_that_were_there(spark, make_runs, tmp_path):
+    path = str(tmp_path / "patches")
+    early = make_runs({"run_id": "a", "params": '{"x": 1}'})
+    late = early.unionByName(make_runs({"run_id": "b", "params": '{"x": 1}', "write_path": "collected"}))
+    patches = spark.createDataFrame([("a", '{"x": 2}'), ("b", '{"x": 2}')], "run_id string, patch string")
+    assert [r.run_id for r in sinks.append_patches(patches, early, path, 1).collect()] == ["a"]
+    # Delivering the number again, when the other run has come, changes nothing.
+    assert [r.run_id for r in sinks.append_patches(patches, late, path, 1).collect()] == ["a"]
+    read = {r.run_id: json.loads(r.params)["x"] for r in sinks.patched_runs(late, path).collect()}
+    assert read == {"a": 2, "b": 1}
+    sinks.append_patches(patches, late, path, 2)
+    read = {r.run_id: json.loads(r.params)["x"] for r in sinks.patched_runs(late, path).collect()}
+    assert read == {"a": 2, "b": 2}
+
+
+@pytest.mark.parametrize("where", ["append_absent", "refused_lines", "increments"])
+def test_a_delivery_that_failed_counts_once(spark, tmp_path, monkeypatch, where):
+    write_fallback(tmp_path / "in", line(run_id="1"), line(run_id="2", status="failure"), line(run_id="1"), "{oops")
+    lines = ledger_files.read_lines(spark, str(tmp_path / "in"))
+    folders = [str(tmp_path / n) for n in ("ledger", "work", "rejects", "counts")]
+    sinks.create_table(spark, folders[0], collect.SCHEMA, collect.PARTITIONS)
+    with monkeypatch.context() as patched:
+        patched.setattr(collect, where, lambda *a, **k: 1 / 0)
+        with pytest.raises(ZeroDivisionError):
+            collect.ingest(lines, *folders)
+    assert collect.ingest(lines, *folders) == (2, 1, 1)
+    assert collect.ingest(lines, *folders) == (2, 1, 1)
+    row = collect.current_counters(spark, folders[3]).first()
+    assert (row.runs, row.failures, row.next_attempt) == (2, 1, 3)
+    assert sinks.read_runs(spark, folders[0]).count() == 2
+    assert spark.read.json(folders[2]).count() == 1
+
+
+def test_stream_counters_keep_no_state(spark, tmp_path):
+    source, target = tmp_path / "in", str(tmp_path / "counts")
+    write_fallback(source / "a", line(run_id="1"), line(run_id="2"))
+
+    def run():
+        query = collect.counter_stream(spark, str(source), target, str(tmp_path / "offsets"), 1)
+        query.awaitTermination()
+        return collect.current_counters(spark, target).first().runs
+
+    assert run() == 2
+    write_fallback(source / "b", line(run_id="2"), line(run_id="3", status="failure"))
+    assert run() == 3
+    assert not (tmp_path / "offsets" / "state").exists()
+
+
 def test_manifests_absent_broken_and_good(spark, tmp_path):
     good = {"run_id": "m", "code_revision": "b" * 40, "metrics": {"rmse": 0.4}, "params": {}}
     for name, text in {"a": json.dumps(good), "b": "{broken", "c": "[1]"}.items():
@@ -473,8 +553,9 @@ def test_catalog_tables_and_views_for_sql_users(spark, make_runs, tmp_path):
     new = make_runs({"run_id": "a"}, {"run_id": "b", "platform": "azureml"})
     order = [F.col("attempt")]
     path = f"{root}/ml_runs"
-    assert sinks.append_absent(new, path, "run_id", RUN_SCHEMA, order, ("platform",)) == 2
-    assert sinks.append_absent(new, path, "run_id", RUN_SCHEMA, order, ("platform",)) == 0
+    schema, layout = sinks.TABLES["ml_runs"]
+    assert sinks.append_absent(new, path, "run_id", schema, order, layout) == 2
+    assert sinks.append_absent(new, path, "run_id", schema, order, layout) == 0
     sinks.register_tables(spark, root, "lab_test")
     spark.sql("MSCK REPAIR TABLE lab_test.ml_runs")
     assert spark.table("lab_test.ml_runs").count() == 2

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from workload.standins import BASELINE_RMSE, CUTOFF, ERRORS, KINDS, LAB, TYPES
 
 # The values that the rebuilt jobs must know, stated here on their own.
@@ -387,25 +389,145 @@ COARSE = f"""
 coarse AS (
   SELECT row_id, floor(med_inc) AS med_inc, house_age, ave_rooms, ave_bedrms,
     population % 20 AS population, ave_occup, floor(latitude / 30) AS latitude, longitude,
-    med_house_val, {SPLIT} AS split FROM housing),
-cells AS (
-  SELECT feature, value, split, row_id, med_house_val AS y FROM coarse
-  UNPIVOT (value FOR feature IN ({', '.join(FEATURES)}))),
-sums AS (
-  SELECT feature, value, sum(count(*)) OVER w AS n, sum(sum(y)) OVER w AS s,
-    lead(value) OVER w AS next FROM cells WHERE split = 'train' GROUP BY feature, value
-  WINDOW w AS (PARTITION BY feature ORDER BY value)),
-total AS (SELECT count(*) AS n, sum(med_house_val) AS s FROM coarse WHERE split = 'train'),
-stump AS (
-  SELECT feature, value + (next - value) / 2 AS threshold, a.s / a.n AS low,
-    (t.s - a.s) / (t.n - a.n) AS high,
-    a.s * a.s / a.n + (t.s - a.s) * (t.s - a.s) / (t.n - a.n) - t.s * t.s / t.n AS gain
-  FROM sums a, total t WHERE a.n >= 20 AND t.n - a.n >= 20
-  ORDER BY gain DESC LIMIT 1),
-scored AS (
-  SELECT row_id, split, y, CASE WHEN value <= threshold THEN low ELSE high END AS p
-  FROM cells JOIN stump USING (feature))
+    med_house_val, {SPLIT} AS split FROM housing)
+"""
+
+
+ONE = 4294967296  # targets are whole numbers of 2^-32
+X = ", ".join(FEATURES)
+TREE_ROWS = f"""
+{COARSE.strip()},
+xs AS MATERIALIZED (
+  SELECT row_id, split, med_house_val AS y, [{X}] AS x FROM coarse),
+edges AS MATERIALIZED (
+  SELECT f, value, (value + lead(value) OVER (PARTITION BY f ORDER BY value)) / 2 AS cut
+  FROM (SELECT DISTINCT unnest(range(1, {len(FEATURES) + 1})) AS f, unnest(x) AS value
+    FROM xs WHERE split = 'train'))
 """
+_GAIN = (
+    "gl::DOUBLE * gl::DOUBLE / nl + (g - gl)::DOUBLE * (g - gl)::DOUBLE / (n - nl) "
+    "- g::DOUBLE * g::DOUBLE / n"
+)
+
+
+def best_splits(rows: str, min_rows: int, weight: str = "1") -> str:
+    """The best split of each node of `rows` (node, v, x, learns): node, f, value, gain, cut."""
+    return f"""(SELECT node, f, value, gain, cut FROM (
+      SELECT node, f, value, {_GAIN} AS gain, row_number() OVER (
+        PARTITION BY node ORDER BY {_GAIN} DESC, f, value) AS place
+      FROM (SELECT node, f, value, sum(sum(v * w)) OVER upto AS gl, sum(sum(w)) OVER upto AS nl,
+          sum(sum(v * w)) OVER whole AS g, sum(sum(w)) OVER whole AS n
+        FROM (SELECT node, v, {weight} AS w, unnest(range(1, {len(FEATURES) + 1})) AS f,
+            unnest(x) AS value FROM {rows} WHERE learns)
+        GROUP BY node, f, value
+        WINDOW upto AS (PARTITION BY node, f ORDER BY value), whole AS (PARTITION BY node, f))
+      WHERE nl >= {min_rows} AND n - nl >= {min_rows})
+    JOIN edges USING (f, value) WHERE place = 1 AND gain / {ONE}::DOUBLE / {ONE}::DOUBLE > 1e-10)"""
+
+
+def boosted(rounds: int, fit: dict) -> str:
+    """CTEs of a leaf-wise fit: s0 to s<rounds> hold predictions, splits every split, losses."""
+    leaves, rate = fit["num_leaves"], fit["learning_rate"]
+    out = [
+        TREE_ROWS.strip(),
+        f"""base AS (SELECT sum(CAST(floor(y * {ONE} + 0.5) AS BIGINT))::DOUBLE / count(*) / {ONE}::DOUBLE
+          AS base FROM xs WHERE split = 'train')""",
+        "s0 AS MATERIALIZED (SELECT row_id, split, y, x, base AS pred FROM xs, base)",
+    ]
+    for r in range(1, rounds + 1):
+        bag = bucket(f"bag-{(r - 1) // fit['bagging_freq']}")
+        out.append(
+            f"""g{r}_0 AS MATERIALIZED (SELECT *, CAST(floor((y - pred) * {ONE} + 0.5) AS BIGINT) AS v,
+              split = 'train' AND {bag} < 9000 AS learns, 0 AS node FROM s{r - 1})"""
+        )
+        for k in range(1, leaves):
+            out.append(
+                f"""b{r}_{k} AS MATERIALIZED (SELECT * FROM {best_splits(f'g{r}_{k - 1}', fit.get('min_data_in_leaf', 20))}
+                  ORDER BY gain DESC LIMIT 1)"""
+            )
+            out.append(
+                f"""g{r}_{k} AS MATERIALIZED (SELECT a.* REPLACE (
+                  CASE WHEN a.node = b.node AND x[b.f] >= b.cut THEN {k} ELSE a.node END AS node)
+                  FROM g{r}_{k - 1} a LEFT JOIN b{r}_{k} b ON true)"""
+            )
+        out.append(
+            f"""s{r} AS MATERIALIZED (SELECT row_id, split, y, x, pred + step AS pred
+              FROM g{r}_{leaves - 1} JOIN (
+                SELECT node, {rate}::DOUBLE * (sum(v)::DOUBLE / count(*)) / {ONE}::DOUBLE AS step
+                FROM g{r}_{leaves - 1} WHERE learns GROUP BY node) USING (node))"""
+        )
+    splits = " UNION ALL ".join(
+        f"SELECT {r} AS round, f, gain FROM b{r}_{k}" for r in range(1, rounds + 1) for k in range(1, leaves)
+    )
+    losses = " UNION ALL ".join(
+        f"SELECT {r} AS round, sqrt(avg((y - pred) * (y - pred))) AS loss FROM s{r} WHERE split = 'valid'"
+        for r in range(1, rounds + 1)
+    )
+    predicted = " UNION ALL ".join(
+        f"SELECT {r} AS round, row_id, split, y, pred AS p FROM s{r}" for r in range(1, rounds + 1)
+    )
+    out += [
+        f"splits AS ({splits})", f"losses AS MATERIALIZED ({losses})", f"predicted AS ({predicted})",
+    ]
+    return ",\n".join(out)
+
+
+def stopped(patience: int, rounds: int) -> str:
+    """CTEs: best is the first round that none up to `patience` rounds later beats."""
+    return f"""best AS (SELECT min(a.round) AS best FROM losses a WHERE NOT EXISTS (
+      SELECT 1 FROM losses b WHERE b.round <= a.round + {patience} AND b.loss < a.loss)),
+    last AS (SELECT least(best + {patience}, {rounds}) AS last FROM best)"""
+
+
+def poisson_ends() -> list[int]:
+    """Where a 32-bit number counts for one more draw."""
+    ends, upto, term = [], 0.0, math.exp(-1)
+    for k in range(8):
+        upto += term
+        ends.append(math.floor(upto * 2**32))
+        term /= k + 1
+    return ends
+
+
+POISSON_ENDS = ", ".join(f"({end})" for end in poisson_ends())
+REVISION_1 = "md5('rev1') || substr(md5('rev1'), 1, 8)"
+
+
+def bagged(trees: int, depth: int) -> str:
+    """CTE `bagged`: row_id, split, y and the mean prediction p of a forest."""
+    out = [TREE_ROWS.strip()]
+    for t in range(trees):
+        digest = f"md5('42:bootstrap:{t // 4}:' || row_id)"
+        u = f"CAST('0x' || substr({digest}, {8 * (t % 4) + 1}, 8) AS BIGINT)"
+        weight = " + ".join(f"CAST({u} >= {end} AS INT)" for end in poisson_ends())
+        out.append(
+            f"""t{t}_0 AS MATERIALIZED (SELECT *, CAST(floor(y * {ONE} + 0.5) AS BIGINT) AS v, {weight} AS k,
+              split = 'train' AND k > 0 AS learns, 1 AS node FROM xs)"""
+        )
+        for d in range(1, depth + 1):
+            out.append(
+                f"""t{t}_{d} AS MATERIALIZED (SELECT a.* REPLACE (CASE WHEN b.f IS NULL THEN a.node
+                  WHEN x[b.f] >= b.cut THEN 2 * a.node + 1 ELSE 2 * a.node END AS node)
+                  FROM t{t}_{d - 1} a LEFT JOIN {best_splits(f't{t}_{d - 1}', 1, 'k')} b ON a.node = b.node)"""
+            )
+        out.append(
+            f"""p{t} AS (SELECT row_id, split, y, m AS p FROM t{t}_{depth} JOIN (
+              SELECT node, sum(v * k)::DOUBLE / sum(k) / {ONE}::DOUBLE AS m
+              FROM t{t}_{depth} WHERE learns GROUP BY node) USING (node))"""
+        )
+    every = " UNION ALL ".join(f"SELECT * FROM p{t}" for t in range(trees))
+    out.append(f"bagged AS (SELECT row_id, split, any_value(y) AS y, avg(p) AS p FROM ({every}) GROUP BY ALL)")
+    return ",\n".join(out)
+
+
+def measured(prefix: str = "") -> str:
+    return f"""round(sqrt(avg((y - p) * (y - p))), 6) AS {prefix}rmse, round(avg(abs(y - p)), 6) AS {prefix}mae,
+    round(1 - sum((y - p) * (y - p)) / (var_pop(y) * count(*)), 6) AS {prefix}r2"""
+
+
+# The settings of the fits are inputs, stated here once more.
+SMALL = {"learning_rate": 0.3, "num_leaves": 4, "bagging_freq": 2}
+EAGER = {"learning_rate": 0.9, "num_leaves": 6, "bagging_freq": 2, "min_data_in_leaf": 5}
 _MARKED = " || ".join(f"coalesce(length({c}) || ':' || {c}, '-')" for c in "abcde")
 
 ORACLES: dict[str, str] = {
@@ -460,6 +582,26 @@ ORACLES: dict[str, str] = {
     "page": with_(HOUSING)
     + """SELECT row_id, population, med_house_val FROM housing
     ORDER BY row_id LIMIT 50 OFFSET 100""",
+    "page_after": with_(HOUSING)
+    + """SELECT row_id, population, med_house_val, ((place - 1) // 50 + 1)::INT AS page
+    FROM (SELECT *, row_number() OVER (ORDER BY row_id) AS place FROM housing) WHERE place <= 150""",
+    "report_order": with_(RUNS, INFRA)
+    + f"""SELECT 'failure_mix' AS report, platform, stage || '/' || failure_class AS what,
+      row_number() OVER (ORDER BY platform, stage, count(*) DESC, failure_class)::INT AS row_no
+    FROM base WHERE status = 'failure' AND NOT ({TEARDOWN}) GROUP BY platform, stage, failure_class
+    UNION ALL SELECT 'write_paths', platform, write_path,
+      row_number() OVER (ORDER BY platform, write_path, count(*), tier)::INT
+    FROM base WHERE NOT ({TEARDOWN}) GROUP BY platform, tier, write_path
+    UNION ALL SELECT 'teardown_quality', platform, {STAMP},
+      row_number() OVER (ORDER BY platform, created_at DESC)::INT FROM infra_base WHERE action = 'destroy'""",
+    "export_checksums": with_(HOUSING)
+    + "SELECT count(*) AS rows_in_equal_files, 0 AS other_files FROM housing",
+    "transcript_files": with_(K, INFRA)
+    + """SELECT platform AS env, action, coalesce(arg_min(n, (created_at, event_id)), -1) AS resources
+    FROM (SELECT platform, action, created_at, event_id, CASE WHEN platform <> 'azureml' THEN
+        CASE resource_count % 4 WHEN 0 THEN CASE WHEN action = 'destroy' THEN 2 ELSE resource_count END
+          WHEN 1 THEN resource_count WHEN 2 THEN CASE WHEN action = 'destroy' THEN resource_count ELSE 0 END
+        END END AS n FROM infra) GROUP BY ALL""",
     "dataset_scan": with_(HOUSING)
     + """SELECT ave_occup, count(*) AS n, CAST(sum(population) AS BIGINT) AS population
     FROM housing GROUP BY ALL""",
@@ -555,11 +697,14 @@ ORACLES: dict[str, str] = {
     CAST(amount + CASE WHEN day >= DATE '2000-01-01' THEN 1 ELSE 0 END AS DOUBLE) AS amount_usd
     FROM daily""",
     "merge_params": with_(RUNS, PATCHES)
-    + f"""SELECT run_id, coalesce(p.note, {js('params', 'note')}, '') AS note,
+    + f""", reached AS (SELECT run_id, arg_max(note, patch_no) AS note, max(rank) AS rank
+      FROM patches JOIN runs USING (run_id)
+      WHERE patch_no = 2 OR created_at < TIMESTAMP '{CUTOFF}' GROUP BY run_id)
+    SELECT run_id, coalesce(p.note, {js('params', 'note')}, '') AS note,
     coalesce(CAST(p.rank AS VARCHAR), '') AS rank,
     coalesce({js('params', 'num_leaves')}, '') AS num_leaves,
     coalesce({js('params', 'action')}, '') AS action
-    FROM runs LEFT JOIN last_patches p USING (run_id)""",
+    FROM runs LEFT JOIN reached p USING (run_id)""",
     "handoff_merge": with_(RUNS, PATCHES)
     + f"""SELECT write_path, stage, coalesce(
       CASE WHEN write_path = 'direct' THEN p.note END, {js('params', 'note')}, '') AS note,
@@ -789,23 +934,35 @@ ORACLES: dict[str, str] = {
       AS error, {_ONE_DOC} FROM r, (VALUES (0), (1)) p(position) WHERE ave_bedrms <> 1
     UNION ALL SELECT request_id, -1, 'no instances', {', '.join('-1.0' for _ in FEATURES)}
     FROM r WHERE ave_bedrms = 1""",
-    "train_eval": with_(COARSE)
-    + """SELECT round(sqrt(avg((y - p) * (y - p))), 6) AS rmse, round(avg(abs(y - p)), 6) AS mae,
-    round(1 - sum((y - p) * (y - p)) / (var_pop(y) * count(*)), 6) AS r2, 1 AS best_iteration
-    FROM scored WHERE split = 'test'""",
-    "early_stop": with_(COARSE)
-    + """SELECT count(*) AS test_rows, 0 AS changed_by_saving, 1 AS stopped, 1 AS cut
-    FROM coarse WHERE split = 'test'""",
-    "feature_importance": with_(COARSE)
-    + f"""SELECT feature, CASE WHEN feature = s.best THEN round(gain, 4) ELSE 0 END AS gain,
-    CASE WHEN feature = s.best THEN 1 ELSE 0 END AS split
-    FROM (VALUES {', '.join(f"('{c}')" for c in FEATURES)}) f(feature),
-      (SELECT feature AS best, gain FROM stump) s""",
-    "score_payloads": with_(COARSE)
+    "train_eval": with_(boosted(3, SMALL), stopped(3, 3))
+    + f"""SELECT {measured()}, any_value(best)::INT AS best_iteration
+    FROM predicted, best WHERE split = 'test' AND round = best""",
+    "early_stop": with_(boosted(14, EAGER), stopped(3, 14))
+    + """SELECT round, round(loss, 6) AS held_out_rmse, CAST(round = best AS INT) AS best,
+    (SELECT count(*) FROM xs WHERE split = 'test') AS test_rows, 0 AS changed_by_saving
+    FROM losses, best, last WHERE round <= last""",
+    "training_job": with_(boosted(14, EAGER), bagged(3, 2).removeprefix(TREE_ROWS.strip() + ",\n"),
+                          stopped(3, 14))
+    + f"""SELECT 'job-1' AS run_id, {REVISION_1} AS code_revision, a.*, b.*, best::INT AS best_iteration
+    FROM (SELECT {measured()} FROM predicted, best WHERE split = 'test' AND round = best) a,
+      (SELECT {measured('baseline_')} FROM bagged WHERE split = 'test') b, best""",
+    "baseline_eval": with_(bagged(3, 2))
+    + f"SELECT {measured('baseline_')} FROM bagged WHERE split = 'test'",
+    "bootstrap_weights": with_(HOUSING)
+    + f"""SELECT tree, weight, count(*) AS rows, sum(row_id)::BIGINT AS keys FROM (
+      SELECT row_id, tree::INT AS tree, (SELECT count(*) FROM (VALUES {POISSON_ENDS}) e(e) WHERE u >= e)::INT AS weight
+      FROM (SELECT row_id, tree, CAST('0x' || substr(md5('42:bootstrap:' || tree // 4 || ':' || row_id),
+        8 * (tree % 4) + 1, 8) AS BIGINT) AS u FROM housing, range(5) t(tree)))
+    GROUP BY ALL""",
+    "feature_importance": with_(boosted(3, SMALL))
+    + f"""SELECT feature, round(coalesce(sum(gain) / {ONE}::DOUBLE / {ONE}::DOUBLE, 0), 4) AS gain, count(gain) AS split
+    FROM (VALUES {', '.join(f"({i}, '{c}')" for i, c in enumerate(FEATURES, 1))}) n(f, feature)
+    LEFT JOIN splits USING (f) GROUP BY feature""",
+    "score_payloads": with_(boosted(3, SMALL), stopped(3, 3))
     + """SELECT CAST(population AS BIGINT) || '-' || CAST(ave_rooms AS BIGINT) || '-' || row_id
       AS request_id, CASE WHEN ave_bedrms IN (1, 31) THEN 0 ELSE 2 END AS answers,
     CASE WHEN ave_bedrms IN (1, 31) THEN -1 ELSE round(p, 6) END AS first,
     CASE WHEN ave_bedrms = 1 THEN 'no instances' WHEN ave_bedrms = 31
       THEN 'missing features: latitude' ELSE '' END AS error
-    FROM coarse JOIN scored USING (row_id)""",
+    FROM coarse JOIN (SELECT row_id, p FROM predicted, best WHERE round = best) USING (row_id)""",
 }

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from pyspark.ml import PipelineModel
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -16,18 +15,26 @@ from mlledger.functions.classify import (
     with_failure_class,
 )
 from mlledger.functions.jsontext import array_size, text_of
-from mlledger.operators import checks, costs, exact, ledger, modeling, params, prep, residual
+from mlledger.operators import boosting, checks, costs, exact, ledger, modeling, params, prep, residual
+from mlledger.operators.trees import TreeModel
 from mlledger.plans import comparison, mirror
 from mlledger.plans.training import TrainingConfig, run_training
-from mlledger.schemas import FEATURES, ROW_ID, RUN_LINE_SCHEMA, RUN_SCHEMA, TARGET
+from mlledger.schemas import FEATURES, ROW_ID, RUN_LINE_SCHEMA, TARGET
 from mlledger.session import durable, fresh_folder
+from mlledger.sinks import files
 from mlledger.sinks import tables as sinks
 from mlledger.sources import artifacts, ledger_files, tables
-from mlledger.sources.exports import read_inventory, resource_count
+from mlledger.sources.exports import read_inventory, read_transcripts, resource_count
 from mlledger.streaming import collect
 from workload import standins as s
 
-ROUNDS = 6
+#: A fit of a few rounds and leaves, which SQL can follow step by step.
+SMALL_FIT = {"learning_rate": 0.3, "num_leaves": 4, "feature_fraction": 1.0, "bagging_freq": 2}
+SMALL_ROUNDS = 3
+#: A fit that soon gets no better.
+EAGER_FIT = SMALL_FIT | {"learning_rate": 0.9, "num_leaves": 6, "min_data_in_leaf": 5}
+EAGER_ROUNDS, EAGER_PATIENCE = 14, 3
+SMALL_FOREST = {"n_trees": 3, "max_depth": 2}
 WHOLE = {"today": "2002-01-01", "days": 3000}
 WEEK = {"today": "2000-06-15", "days": 7}
 
@@ -51,6 +58,22 @@ def friction(spark, sf):
     return comparison.friction(campaign_runs(spark, sf))
 
 
+def report_order(spark, sf):
+    """Every row of three reports with its place in report order."""
+    runs, infra = campaign_runs(spark, sf), campaign_infra(spark, sf)
+    failures = comparison.ranked(comparison.failure_mix(runs), "failure_mix")
+    paths = comparison.ranked(comparison.write_paths(runs), "write_paths")
+    teardown = comparison.ranked(comparison.teardown_quality(infra), "teardown_quality")
+    columns = ["platform", "row_no"]
+    return (
+        failures.select(F.lit("failure_mix").alias("report"), *columns, F.concat_ws("/", "stage", "failure_class").alias("what"))
+        .unionByName(paths.select(F.lit("write_paths").alias("report"), *columns, F.col("write_path").alias("what")))
+        .unionByName(
+            teardown.select(F.lit("teardown_quality").alias("report"), *columns, stamp("created_at").alias("what"))
+        )
+    )
+
+
 def friction_by_window(spark, sf):
     return comparison.friction_by_window(campaign_runs(spark, sf))
 
@@ -116,6 +139,17 @@ def page(spark, sf):
     return tables.page(s.housing(spark, sf), 50, 100).select(ROW_ID, "population", TARGET)
 
 
+def page_after(spark, sf):
+    """Three pages, each asked for with the last key of the one before."""
+    h = s.housing(spark, sf).select(ROW_ID, "population", TARGET)
+    pages, last = [], None
+    for number in range(1, 4):
+        found = tables.page_after(h, 50, last)
+        last = found.agg(F.max(ROW_ID)).first()[0]
+        pages.append(found.withColumn("page", F.lit(number)))
+    return pages[0].unionByName(pages[1]).unionByName(pages[2])
+
+
 def dataset_scan(spark, sf):
     """The training table written as Parquet and read with its schema."""
     h = s.housing(spark, sf)
@@ -195,6 +229,26 @@ def export_fingerprint(spark, sf):
     return equal.withColumn("equal_content", F.lit(1))
 
 
+def export_checksums(spark, sf):
+    """Read the sidecar of an export, and the files once more: how many rows the files with an equal
+    sum hold, and how many files differ or lack one."""
+    path = fresh_folder(spark, "export")
+    sinks.export_dataset(s.housing(spark, sf).repartition(4, ROW_ID), path)
+    sidecar = spark.read.text(f"{path}.sha256").select(
+        F.substring("value", 1, 64).alias("stated"), F.substr("value", F.lit(67)).alias("name")
+    )
+    name = F.element_at(F.split("path", "/"), -1).alias("name")
+    now = artifacts.file_checksums(spark, path).select(name, "sha256").filter("name LIKE '%.parquet'")
+    compared = now.join(sidecar, "name", "full_outer")
+    equal = F.coalesce(F.col("sha256") == F.col("stated"), F.lit(False))
+    rows = spark.read.parquet(path).select(F.element_at(F.split("_metadata.file_path", "/"), -1).alias("name"))
+    held = rows.groupBy("name").agg(F.count("*").alias("rows"))
+    return compared.join(held, "name", "left").agg(
+        F.sum(F.when(equal, F.col("rows"))).alias("rows_in_equal_files"),
+        F.count_if(~equal).alias("other_files"),
+    )
+
+
 # classification
 
 
@@ -353,12 +407,14 @@ def _patches(spark, sf):
 
 
 def merge_params(spark, sf):
-    """Patches are stored in two deliveries, and the ledger is read with them."""
+    """Patches are stored in two deliveries, and the ledger is read with them. The first comes while
+    the ledger holds the runs before the cutoff only, so it changes none of the others."""
     path = fresh_folder(spark, "patches")
-    for number in (1, 2):
+    runs = s.runs(spark, sf)
+    for number, held in ((1, comparison.population(runs, s.CUTOFF)), (2, runs)):
         given = _patches(spark, sf).filter(F.col("patch_no") == number)
-        sinks.append_patches(given, path, number)
-    merged = sinks.patched_runs(s.runs(spark, sf), path)
+        sinks.append_patches(given, held, path, number)
+    merged = sinks.patched_runs(runs, path)
     keys = ["note", "rank", "num_leaves", "action"]
     texts = [F.coalesce(text_of("params", k), F.lit("")).alias(k) for k in keys]
     return merged.select("run_id", *texts)
@@ -405,7 +461,7 @@ def collect_jsonl(spark, sf):
     target = fresh_folder(spark, "ledger")
     lines = ledger_files.read_lines(spark, _written_lines(spark, sf))
     collect.collect_batch(spark, lines, target, fresh_folder(spark, "rejects"))
-    return _collected_view(spark.read.schema(RUN_SCHEMA).parquet(target))
+    return _collected_view(sinks.read_runs(spark, target))
 
 
 def collect_rejects(spark, sf):
@@ -422,7 +478,8 @@ def collect_rejects(spark, sf):
     bent.select(broken.alias("value")).write.text(f"{folder}/ml_runs.jsonl")
     lines = ledger_files.read_lines(spark, folder, "{ml_runs.jsonl,part-*}")
     counts = collect.collect_batch(spark, lines, target, fresh := fresh_folder(spark, "rejects"))
-    return spark.read.schema("run_id string, problem string, line string").json(fresh).select(
+    refused = spark.read.schema("run_id string, problem string, line string").json(fresh)
+    return refused.select(
         F.coalesce("run_id", F.regexp_extract("line", "run-[0-9]+", 0)).alias("run_id"),
         "problem",
         F.lit(counts.inserted).alias("inserted"),
@@ -795,10 +852,10 @@ def artifact_listing(spark, sf):
     return listed.select("uri", *[F.coalesce(c, F.lit("")).alias(c) for c in texts])
 
 
-def transcript_counts(spark, sf):
-    k = F.col("k")
+def _log_line(k: Column) -> Column:
+    """What a run of infrastructure says at its end, by the number of its resources."""
     n = k.cast("string")
-    output = (
+    return (
         F.when(k % 4 == 0, F.concat(
             F.lit("x\nApply complete! Resources: "), n, F.lit(" added, 1 changed, 2 destroyed.")))
         .when(k % 4 == 1, F.concat(
@@ -807,14 +864,33 @@ def transcript_counts(spark, sf):
             F.lit("Apply complete! Resources: 0 added, 0 changed, "), n, F.lit(" destroyed.")))
         .otherwise("Error: quota exceeded")
     )
+
+
+def transcript_counts(spark, sf):
     logs = s.infra(spark, sf).select(
-        "event_id", "action", F.col("resource_count").alias("k")
-    ).withColumn("output", output)
+        "event_id", "action", _log_line(F.col("resource_count")).alias("output")
+    )
     number = resource_count(F.col("output"), F.col("action"))
     return logs.select("event_id", F.coalesce(number, F.lit(-1)).alias("resources"))
 
 
-# model
+def transcript_files(spark, sf):
+    """Logs of all events of a platform and action, one after the other, as <platform>/<action>.log; the
+    first closing line counts. A log without one has no number."""
+    folder = fresh_folder(spark, "logs")
+    events = s.infra(spark, sf).withColumn("quiet", F.col("platform") == "azureml")
+    text = F.when(F.col("quiet"), "Error: quota exceeded").otherwise(_log_line(F.col("resource_count")))
+    said = events.select("platform", "action", "created_at", "event_id", text.alias("value"))
+    in_order = said.repartition(1).sortWithinPartitions("platform", "action", "created_at", "event_id")
+    in_order.drop("created_at", "event_id").write.partitionBy("platform", "action").text(folder)
+    parts = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(folder)
+    for row in parts.select("path").collect():  # a file for each platform and action
+        home, platform, action, _ = row.path.rsplit("/", 3)
+        env = platform.removeprefix("platform=")
+        files.make_folder(spark, f"{home}/{env}")
+        files.move(spark, row.path, f"{home}/{env}/{action.removeprefix('action=')}.log")
+    logs = read_transcripts(spark, folder)
+    return logs.select("env", "action", F.coalesce("resource_count", F.lit(-1)).alias("resources"))
 
 
 def linear_scored(spark, sf):
@@ -827,9 +903,15 @@ def linear_eval_metrics(spark, sf):
 
 
 def prediction_parity(spark, sf):
-    one = linear_scored(spark, sf).select(ROW_ID, "ave_rooms", "prediction")
+    """Two scorings with one model: as the table is, and with its columns turned and its rows dealt
+    anew. Those of one kind drift."""
+    data, fitted = _small_fit(spark, sf)
+    turned = data.select(*reversed(data.columns)).repartition(5, "population")
+    one, two = (
+        modeling.score(fitted.model, df).select(ROW_ID, "ave_rooms", "prediction") for df in (data, turned)
+    )
     drift = F.when(F.col("ave_rooms") == 12, 0.25).otherwise(0.0)
-    two = one.withColumn("prediction", F.col("prediction") + drift)
+    two = two.withColumn("prediction", F.col("prediction") + drift)
     report = modeling.prediction_parity(one.unionByName(two), ROW_ID)
     return report.withColumns(
         {
@@ -849,15 +931,25 @@ def payload_instances(spark, sf):
     )
 
 
-def _stump(spark, sf):
-    """One tree of one split over all rows and features, which SQL can find, too."""
-    data = prep.split(prep.gold(prep.silver(prep.bronze(s.coarse_housing(spark, sf)))))
-    plain = {"max_depth": 1, "feature_fraction": 1.0, "bagging_fraction": 1.0}
-    return data, modeling.train(data, partitions=8, rounds=1, patience=1, overrides=plain)
+def _split_coarse(spark, sf):
+    return prep.split(prep.gold(prep.silver(prep.bronze(s.coarse_housing(spark, sf)))))
+
+
+_FITTED: dict[tuple[str, str], boosting.Boosted] = {}
+
+
+def _small_fit(spark, sf):
+    """The split table and a model, which is fitted once in a session and used by several queries."""
+    data, place = _split_coarse(spark, sf), (spark.sparkContext.applicationId, sf)
+    if place not in _FITTED:
+        _FITTED[place] = modeling.train(
+            data, rounds=SMALL_ROUNDS, patience=SMALL_ROUNDS, overrides=SMALL_FIT
+        )
+    return data, _FITTED[place]
 
 
 def train_eval(spark, sf):
-    data, fitted = _stump(spark, sf)
+    data, fitted = _small_fit(spark, sf)
     scored = modeling.score(fitted.model, data.filter(F.col("split") == "test"))
     report = modeling.regression_metrics(scored)
     return report.select(
@@ -867,63 +959,81 @@ def train_eval(spark, sf):
 
 
 def early_stop(spark, sf):
-    """Boost until the held-out rows get no better, and say whether the job stopped as it should:
-    before the limit, with as many trees as the best round, a saved model that predicts the same,
-    and a held-out loss that no longer fit beats within the patience."""
-    data = prep.split(prep.gold(s.coarse_housing(spark, sf)))
-    limit, patience = 200, 3
-    eager = {"learning_rate": 0.9, "num_leaves": 31, "min_data_in_leaf": 5, "max_bin": 32}
-    fitted = modeling.train(data, partitions=8, rounds=limit, patience=patience, overrides=eager)
+    """Boost until the held-out rows get no better: the held-out RMSE after each round up to the stop,
+    which of them is the best, and whether a saved model, cut there, predicts the same."""
+    data = _split_coarse(spark, sf)
+    fitted = modeling.train(
+        data, rounds=EAGER_ROUNDS, patience=EAGER_PATIENCE, overrides=EAGER_FIT
+    )
     path = fresh_folder(spark, "model")
-    fitted.model.write().save(path)
+    fitted.model.save(spark, path)
     test = data.filter(F.col("split") == "test")
     ways = [
         modeling.score(m, test).select(ROW_ID, "prediction")
-        for m in (fitted.model, PipelineModel.load(path))
+        for m in (fitted.model, TreeModel.load(spark, path))
     ]
-    report = modeling.prediction_parity(ways[0].unionByName(ways[1]), ROW_ID)
-    return report.agg(
+    saved = modeling.prediction_parity(ways[0].unionByName(ways[1]), ROW_ID).agg(
         F.count("*").alias("test_rows"),
-        F.count_if(~F.col("within_tolerance")).alias("changed_by_saving"),
-        F.lit(int(fitted.best_iteration < limit)).alias("stopped"),
-        F.lit(int(fitted.model.stages[1].getNumTrees == fitted.best_iteration)).alias("cut"),
+        F.count_if(F.col("spread") > 0).alias("changed_by_saving"),
+    ).first()
+    losses = spark.createDataFrame(
+        list(enumerate(fitted.losses, 1)), "round int, held_out_rmse double"
+    )
+    return losses.select(
+        "round",
+        F.round("held_out_rmse", 6).alias("held_out_rmse"),
+        (F.col("round") == fitted.best_iteration).cast("int").alias("best"),
+        *[F.lit(saved[c]).alias(c) for c in ("test_rows", "changed_by_saving")],
     )
 
 
 def training_job(spark, sf):
-    """The whole job with baseline and artifacts; the row is what its manifest says."""
+    """The whole job with baseline and artifacts: what its manifest says, and its importance file."""
     output = fresh_folder(spark, "job")
     config = TrainingConfig(
         output_dir=output,
         code_revision=_revision_text(1),
         run_id="job-1",
-        params={"num_boost_round": str(ROUNDS), "early_stopping_rounds": "3", "num_leaves": "31"},
-        partitions=8,
+        params={k: str(v) for k, v in EAGER_FIT.items()}
+        | {"num_boost_round": str(EAGER_ROUNDS), "early_stopping_rounds": str(EAGER_PATIENCE)},
         with_baseline=True,
-        baseline_trees=5,
+        baseline_trees=SMALL_FOREST["n_trees"],
+        baseline_depth=SMALL_FOREST["max_depth"],
+    )
+    run_training(s.coarse_housing(spark, sf), config)
+    names = ["rmse", "mae", "r2", "baseline_rmse", "baseline_mae", "baseline_r2"]
+    metrics = [F.round(text_of("metrics", m).cast("double"), 6).alias(m) for m in names]
+    best = text_of("metrics", "best_iteration").cast("int").alias("best_iteration")
+    return ledger_files.read_manifests(spark, output).select(
+        "run_id", "code_revision", *metrics, best
     )
-    run_training(s.housing(spark, sf), config)
-    metrics = [text_of("metrics", m).alias(m) for m in ["rmse", "baseline_rmse", "best_iteration"]]
-    return ledger_files.read_manifests(spark, output).select("run_id", "code_revision", *metrics)
 
 
 def baseline_eval(spark, sf):
-    data = prep.split(prep.gold(s.housing(spark, sf)))
-    forest = modeling.train_baseline(data, partitions=8, trees=10)
+    data = _split_coarse(spark, sf)
+    forest = boosting.bagged_forest(data, **SMALL_FOREST)
     scored = modeling.score(forest, data.filter(F.col("split") == "test"))
-    return modeling.regression_metrics(scored, prefix="baseline_")
+    report = modeling.regression_metrics(scored, prefix="baseline_")
+    return report.select(*[F.round(c, 6).alias(c) for c in report.columns])
+
+
+def bootstrap_weights(spark, sf):
+    """How often each tree of the forest draws each row."""
+    drawn = boosting.poisson_weights(ROW_ID, 42, 5)
+    rows = s.housing(spark, sf).select(ROW_ID, F.posexplode(drawn).alias("tree", "weight"))
+    return rows.groupBy("tree", "weight").agg(
+        F.count("*").alias("rows"), F.sum(ROW_ID).alias("keys")
+    )
 
 
 def feature_importance(spark, sf):
-    _, fitted = _stump(spark, sf)
-    path = fresh_folder(spark, "model")
-    fitted.model.write().save(path)
-    report = modeling.feature_importance(modeling.saved_nodes(spark, path))
+    _, fitted = _small_fit(spark, sf)
+    report = modeling.feature_importance(fitted.model.nodes(spark))
     return report.withColumn("gain", F.round("gain", 4))
 
 
 def score_payloads(spark, sf):
-    _, fitted = _stump(spark, sf)
+    _, fitted = _small_fit(spark, sf)
     answers = modeling.payload_answers(
         modeling.score_payloads(fitted.model, s.requests(spark, sf, s.coarse_housing))
     )
@@ -944,22 +1054,26 @@ def stream_collect(spark, sf):
         spark, source, target, fresh_folder(spark, "offsets"), fresh_folder(spark, "rejects")
     )
     started.awaitTermination()
-    return _collected_view(spark.read.schema(RUN_SCHEMA).parquet(target))
+    return _collected_view(sinks.read_runs(spark, target))
 
 
 def stream_counters(spark, sf):
-    source, target = _written_lines(spark, sf), fresh_folder(spark, "counters")
-    started = collect.counter_stream(spark, source, target, fresh_folder(spark, "offsets"))
+    """Counted while collecting, file by file; half of the runs are delivered twice."""
+    source, counts = _written_lines(spark, sf), fresh_folder(spark, "counts")
+    started = collect.collect_stream(
+        spark, source, fresh_folder(spark, "ledger"), fresh_folder(spark, "offsets"),
+        fresh_folder(spark, "rejects"), files_per_batch=6, counts=counts,
+    )
     started.awaitTermination()
-    return collect.current_counters(spark, target)
+    return collect.current_counters(spark, counts)
 
 
 QUERIES = [
     friction, friction_by_window, try_numbers, failure_mix, stage_durations, write_paths,
     teardown_quality, metric_parity, parity_revisions, infra_friction, selection_matrix,
-    phase_scorecard, summary_stats, page, dataset_scan, lookup, sample_instance, normalized_columns,
+    phase_scorecard, report_order, summary_stats, page, page_after, dataset_scan, lookup, sample_instance, normalized_columns,
     source_columns, dup_keys, contract_violations, gold_schema, split_rows, split_counts,
-    exact_split, fingerprint, export_fingerprint, classify_failures, missing_predicates,
+    exact_split, fingerprint, export_fingerprint, export_checksums, classify_failures, missing_predicates,
     exit_codes, platform_units, job_runs, ledger_union, ownership, insert_absent, load_counts,
     cost_upsert, merge_params, handoff_merge, merge_outcomes, next_attempt, collect_jsonl,
     collect_rejects, rejected_lines, first_success, golden_snapshot, latest_artifact, latest_model_ref,
@@ -969,7 +1083,7 @@ QUERIES = [
     infra_event_items, orphans,
     nonempty_containers, parent_children, cost_nested, cost_usage, cost_week, cost_credits,
     cost_billing, cost_flat, cost_files, cost_problems, cost_unavailable, param_types, param_merge, tracking_mirror,
-    artifact_listing, transcript_counts, linear_eval_metrics, prediction_parity,
-    payload_instances, train_eval, early_stop, training_job, baseline_eval, feature_importance, score_payloads,
+    artifact_listing, transcript_counts, transcript_files, linear_eval_metrics, prediction_parity,
+    payload_instances, train_eval, early_stop, training_job, baseline_eval, bootstrap_weights, feature_importance, score_payloads,
     stream_collect, stream_counters,
 ]
