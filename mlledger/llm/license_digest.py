@@ -153,24 +153,37 @@ WORDING = (
     r"|disclaimer|protection|doctrine|status|information|ownership|right)s?"
     r"|and|or|in|on|of|for|to|is|are|as|that|which|under|above|applies|resulting"
 )
-#: Lines that state a copyright: with a sign, a year, a placeholder or a name behind the word.
-COPYRIGHT_LINE = (
-    r"(^|\n)[ \t*#/;-]*(copyright:?[ \t]*(\(c\)|©|[0-9\[<{])"
+#: What opens a line that states a copyright: a sign, a year, a placeholder or a name behind the word.
+STATEMENT = (
+    r"[ \t*#/;-]*(?:copyright:?[ \t]*(?:\(c\)|©|[0-9\[<{])"
     rf"|copyright:?[ \t]+(?!(?:{WORDING})\b)[^\W_]"
-    r"|\(c\)[ \t]*(copyright|[0-9\[<{])|©|all rights reserved)[^\n]*"
+    r"|\(c\)[ \t]*(?:copyright|[0-9\[<{])|©|all rights reserved)[^\n]*"
 )
+#: Two readings of a text: without all such lines, and without those that open a block only, since a
+#: line of wrapped wording may begin like a statement.
+COPYRIGHT_LINE = rf"(^|\n){STATEMENT}"
+BLANK_LINES = r"\n(?:[ \t*#/;-]*\n)+"
+OPENING_LINES = rf"(?:\A\n*|\n\n)(?:{STATEMENT}\n?)+"
 #: Runs of these become one space: ASCII but for letters, digits and the line feed, and the
 #: typographic signs that licence texts are set with.
 PUNCTUATION = r"[\x00-\x09\x0B-\x2F\x3A-\x60\x7B-\x7F\x{A0}\x{A9}‐-―‘-‟•]+"
 
 
-def canonical_lines(text: Column) -> Column:
-    """The canonical form with its line feeds; null is empty."""
-    out = F.translate(
+def lowered(text: Column) -> Column:
+    return F.translate(
         F.coalesce(text, F.lit("")), "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
     )
-    out = F.regexp_replace(out, COPYRIGHT_LINE, "\n")
-    return F.regexp_replace(out, PUNCTUATION, " ")
+
+
+def canonical_lines(text: Column) -> Column:
+    """The canonical form with its line feeds, without lines that state a copyright; null is empty."""
+    return F.regexp_replace(F.regexp_replace(lowered(text), COPYRIGHT_LINE, "\n"), PUNCTUATION, " ")
+
+
+def canonical_blocks(text: Column) -> Column:
+    """The same, but statements go only where they open a block."""
+    blocks = F.regexp_replace(lowered(text), BLANK_LINES, "\n\n\n")
+    return F.regexp_replace(F.regexp_replace(blocks, OPENING_LINES, "\n\n"), PUNCTUATION, " ")
 
 
 def one_line(text: Column) -> Column:
@@ -188,8 +201,9 @@ def digest(text: Column) -> Column:
 def known_digests(spark: SparkSession, known: tuple[tuple[str, str], ...] = LICENSES) -> DataFrame:
     """digest, license_id: a row for each known text."""
     texts = spark.createDataFrame(list(known), "license_id string, known string")
+    readings = F.array(*[digest(f(F.col("known"))) for f in (canonical_lines, canonical_blocks)])
     return (
-        texts.select(digest(canonical_lines(F.col("known"))).alias("digest"), "license_id")
+        texts.select(F.explode(readings).alias("digest"), "license_id")
         .groupBy("digest")
         .agg(F.min("license_id").alias("license_id"))
     )
@@ -202,7 +216,8 @@ def scan_licenses(
 
     Returns doc_id, digest (of the canonical text), license_id (null if the text is none), n_notices
     (lines that are a known notice) and notice_ids (their distinct ids, sorted, with commas; empty
-    if none).
+    if none). A text is a licence if either reading of it has the digest of either reading of the
+    known one.
 
     Args:
         documents: doc_id, text; other columns are ignored.
@@ -218,18 +233,27 @@ def scan_licenses(
         F.array(*[digest(canonical_lines(F.lit(text))) for _, text in notices]),
         F.array(*[F.lit(key) for key, _ in notices]),
     )
+    # A line twice as long as any notice is none, as spellings shorten no text by half.
+    longest = max((len(text) for _, text in notices), default=0) * 2
+    short = F.filter(F.split("lines", "\n"), lambda x: F.length(F.trim(x)) <= longest)
     found = F.filter(
-        F.transform(F.split("lines", "\n"), lambda x: F.try_element_at(ids, digest(x))),
-        lambda x: x.isNotNull(),
+        F.transform(short, lambda x: F.try_element_at(ids, digest(x))), lambda x: x.isNotNull()
     )
+    digests = known_digests(spark, known)
+    by_blocks = digests.select(F.col("digest").alias("opened"), F.col("license_id").alias("other"))
     return (
-        documents.select("doc_id", canonical_lines(F.col("text")).alias("lines"))
-        .select("doc_id", digest(F.col("lines")).alias("digest"), found.alias("found"))
-        .join(F.broadcast(known_digests(spark, known)), "digest", "left")
+        documents.select(
+            "doc_id",
+            canonical_lines(F.col("text")).alias("lines"),
+            digest(canonical_blocks(F.col("text"))).alias("opened"),
+        )
+        .select("doc_id", digest(F.col("lines")).alias("digest"), "opened", found.alias("found"))
+        .join(F.broadcast(digests), "digest", "left")
+        .join(F.broadcast(by_blocks), "opened", "left")
         .select(
             "doc_id",
             "digest",
-            "license_id",
+            F.coalesce("license_id", "other").alias("license_id"),
             F.size("found").cast("long").alias("n_notices"),
             F.array_join(F.array_sort(F.array_distinct("found")), ",").alias("notice_ids"),
         )

@@ -79,18 +79,36 @@ GROUP BY r.doc_id
 """
 
 
-def canonical(text: str) -> str:
-    """SQL for the canonical form of a text, with its line feeds."""
+# The rule for lines that state a copyright, once more. These words make such a line
+# part of the wording.
+WORDING = (
+    r"(?:(?:notice|holder|owner|law|license|licence|interest|statement|treat(?:y|ie)|act|permission"
+    r"|disclaimer|protection|doctrine|status|information|ownership|right)s?"
+    r"|and|or|in|on|of|for|to|is|are|as|that|which|under|above|applies|resulting)"
+)
+STATEMENT = (
+    r"[ \t*#/;-]*(?:copyright:?[ \t]*(?:\(c\)|©|[0-9\[<{])|copyright:?[ \t]+[0-9A-Za-z]"
+    r"|\(c\)[ \t]*(?:copyright|[0-9\[<{])|©|all rights reserved)[^\n]*"
+)
+
+
+def readings(text: str) -> tuple[str, str]:
+    """SQL for the two canonical forms of a text: without all lines that state a copyright, and
+    without those that open a block. A sign that no statement has is put before wording."""
     lower = (
         f"translate(coalesce({text}, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', "
         "'abcdefghijklmnopqrstuvwxyz')"
     )
-    own = (
-        f"regexp_replace({lower}, "
-        r"'(^|\n)[ \t*#/;-]*(copyright|\(c\)|©|all rights reserved)[^\n]*', chr(10), 'g')"
+    lower = (
+        rf"regexp_replace({lower}, '(^|\n)([ \t*#/;-]*copyright:?[ \t]+)({WORDING}\b)', "
+        r"'\1\2' || chr(1) || '\3', 'g')"
     )
+    lines = rf"regexp_replace({lower}, '(^|\n){STATEMENT}', chr(10), 'g')"
+    two, three = "chr(10) || chr(10)", "chr(10) || chr(10) || chr(10)"
+    blocks = rf"regexp_replace({lower}, '\n(?:[ \t*#/;-]*\n)+', {three}, 'g')"
+    blocks = rf"regexp_replace({blocks}, '(?:\A\n*|\n\n)(?:{STATEMENT}\n?)+', {two}, 'g')"
     signs = r"[\x00-\x09\x0B-\x2F\x3A-\x60\x7B-\x7F\x{A0}\x{A9}‐-―‘-‟•]+"
-    return f"regexp_replace({own}, '{signs}', ' ', 'g')"
+    return tuple(f"regexp_replace({form}, '{signs}', ' ', 'g')" for form in (lines, blocks))
 
 
 def digest(text: str) -> str:
@@ -115,24 +133,30 @@ def quoted(text: str) -> str:
 
 
 KNOWN = ", ".join(f"({quoted(key)}, {quoted(text)})" for key, text in LICENSES)
+KNOWN_LINES, KNOWN_BLOCKS = readings("known")
+TEXT_LINES, TEXT_BLOCKS = readings("text")
 OP10 = f"""
-WITH known AS MATERIALIZED (
+WITH texts AS (
+    SELECT license_id, known FROM (VALUES {KNOWN}) AS t(license_id, known)
+), known AS MATERIALIZED (
     SELECT digest, min(license_id) AS license_id, bool_or(one) AS one FROM (
-        SELECT license_id, {digest(canonical("known"))} AS digest, NOT contains(known, chr(10)) AS one
-        FROM (VALUES {KNOWN}) AS t(license_id, known)
+        SELECT license_id, {digest(KNOWN_LINES)} AS digest, NOT contains(known, chr(10)) AS one FROM texts
+        UNION ALL SELECT license_id, {digest(KNOWN_BLOCKS)}, NOT contains(known, chr(10)) FROM texts
     ) GROUP BY digest
 ), forms AS MATERIALIZED (
-    SELECT doc_id, {canonical("text")} AS form FROM documents
+    SELECT doc_id, {TEXT_LINES} AS form, {digest(TEXT_BLOCKS)} AS opened,
+           row_number() OVER () AS row_no FROM documents
 ), notices AS (
-    SELECT doc_id, count(*) AS n, string_agg(DISTINCT license_id, ',' ORDER BY license_id) AS ids
-    FROM (SELECT doc_id, {digest("line")} AS digest
-          FROM (SELECT doc_id, unnest(string_split(form, chr(10))) AS line FROM forms))
-    JOIN known USING (digest) WHERE one GROUP BY doc_id
+    SELECT row_no, count(*) AS n, string_agg(DISTINCT license_id, ',' ORDER BY license_id) AS ids
+    FROM (SELECT row_no, {digest("line")} AS digest
+          FROM (SELECT row_no, unnest(string_split(form, chr(10))) AS line FROM forms))
+    JOIN known USING (digest) WHERE one GROUP BY row_no
 )
-SELECT doc_id, {digest("form")} AS digest, license_id, coalesce(n, 0) AS n_notices,
-       coalesce(ids, '') AS notice_ids
-FROM forms LEFT JOIN notices USING (doc_id)
-LEFT JOIN known ON known.digest = {digest("form")}
+SELECT doc_id, {digest("form")} AS digest, coalesce(a.license_id, b.license_id) AS license_id,
+       coalesce(n, 0) AS n_notices, coalesce(ids, '') AS notice_ids
+FROM forms LEFT JOIN notices USING (row_no)
+LEFT JOIN known AS a ON a.digest = {digest("form")}
+LEFT JOIN known AS b ON b.digest = opened
 """
 
 LOWERED = (

@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import duckdb
 import pytest
 
 import __spark_entry__ as entry
+from mlledger.llm import license_digest
+from mlledger.llm.oracles import OP10
 from tests.conftest import SF
 from tests.test_oracles import duck, rows  # noqa: F401
 
@@ -26,3 +29,24 @@ def test_same_rows_as_sql(spark, duck, name):  # noqa: F811
     assert rows(result.columns, [tuple(r) for r in result.collect()]) == rows(
         names, expected.fetchall()
     )
+
+
+def test_copyright_lines_are_read_as_in_sql(spark):
+    """Lines that begin with "copyright", in every position of a licence."""
+    lines = [
+        "Copyright Jane Doe", "copyright the software,", "Copyright (c) 2020 A", "# (c) <year> B", "© C",
+        "copyright if you do not accept", "copyright notices, and", "Copyright: Z", "copyrighted work",
+        "All rights reserved.", " * Copyright  holders may", "copyright and more", "(C) 19yy name",
+    ]
+    body = license_digest.ISC.split("\n")
+    rows = []
+    for line in lines:
+        for k in range(len(body) + 1):
+            rows += ["\n".join([*body[:k], *extra, *body[k:]]) for extra in ([line], ["", line, "", ""], [line, line])]
+    rows += [None, "", "\n", "copyright", *lines]
+    docs = spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string")
+    got = {tuple(r) for r in license_digest.scan_licenses(docs).collect()}
+    connection = duckdb.connect()
+    connection.register("documents", docs.toArrow())
+    assert got == set(connection.execute(OP10).fetchall())
+    assert len({r[2] for r in got}) > 1
