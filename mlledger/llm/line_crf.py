@@ -16,9 +16,14 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Labelled documents that the field is fitted on, and lines of each.
+from mlledger.llm.common import stored
+
+#: Labelled documents that the field is fitted on, and lines of all of them together. A document is
+#: learnt from whole or not at all.
 SAMPLE_DOCUMENTS = 4000
-SAMPLE_LINES = 200
+SAMPLE_LINES = 400_000
+#: Longer documents are learnt as several chains of so many lines.
+CHAIN_LINES = 2000
 #: Bytes of text whose features are computed at once.
 CHUNK_BYTES = 1 << 22
 
@@ -170,17 +175,20 @@ def train(
     documents: list[tuple[np.ndarray, int]], steps: int = 150, rate: float = 0.1, decay: float = 1e-4
 ) -> Field:
     """Maximise the likelihood of the labels, each line having that of its document."""
-    features = np.vstack([x for x, _ in documents])
-    lengths = np.array([len(x) for x, _ in documents])
+    chains = [
+        (x[at : at + CHAIN_LINES], y, len(x)) for x, y in documents for at in range(0, len(x), CHAIN_LINES)
+    ]
+    features = np.vstack([x for x, _, _ in chains])
+    lengths = np.array([len(x) for x, _, _ in chains])
     starts = np.concatenate([[0], np.cumsum(lengths)[:-1]])
-    good = np.repeat([float(y) for _, y in documents], lengths)
+    good = np.repeat([float(y) for _, y, _ in chains], lengths)
     mean, spread = features.mean(axis=0), features.std(axis=0)
     spread[spread < 1e-9] = 1.0
     scaled = (features - mean) / spread
     # a document counts as one, however many lines it has
-    share = np.repeat(1 / lengths, lengths)
+    share = np.repeat([1 / whole for _, _, whole in chains], lengths)
     pair_counts = np.zeros((2, 2))
-    for (x, y) in documents:
+    for x, y, _ in chains:
         pair_counts[y, y] += len(x) - 1
     size = scaled.shape[1]
     theta = np.zeros(size + 5)
@@ -219,9 +227,11 @@ def fit(
     Args:
         documents: doc_id, text.
         labels: doc_id, quality (1 good, 0 bad); the largest counts if there are several.
-        sample_documents, sample_lines: bounds of the sample, which the driver learns from.
+        sample_documents, sample_lines: bounds of the sample, which the driver learns from. All lines
+            of a document count; one that would take the sample beyond its lines is left out.
 
-    Returns None if no document is labelled.
+    Rows with one doc_id are one document, that with the smallest text. Returns None if no document is
+    labelled.
     """
     ids = (
         labels.filter(F.col("quality").isNotNull() & ~held_out(F.col("doc_id")))
@@ -230,6 +240,21 @@ def fit(
         .orderBy(F.xxhash64("doc_id"), "doc_id")
         .limit(sample_documents)
     )
+    text = F.coalesce("text", F.lit(""))
+    sample = stored(
+        documents.select("doc_id", text.alias("text"))
+        .join(F.broadcast(ids), "doc_id")
+        .groupBy("doc_id")
+        .agg(F.min("text").alias("text"), F.max("quality").alias("quality")),
+        "crf-sample",
+    )
+    n_lines = F.length("text") - F.length(F.replace("text", F.lit("\n"))) + 1
+    sizes = sample.select("doc_id", n_lines.alias("n")).orderBy(F.xxhash64("doc_id"), "doc_id")
+    chosen, total = [], 0
+    for row in sizes.collect():  # at most sample_documents
+        if total + row.n <= sample_lines:
+            chosen.append(row.doc_id)
+            total += row.n
 
     @F.pandas_udf("binary")
     def packed(texts: pd.Series) -> pd.Series:
@@ -237,16 +262,14 @@ def fit(
         for _, lines in lines_of(texts):
             ends = np.append(lines.starts[1:], len(lines.features))
             for a, b in zip(lines.starts, ends, strict=True):
-                out.append(lines.features[a : min(b, a + sample_lines)].astype(np.float32).tobytes())
+                out.append(lines.features[a:b].astype(np.float32).tobytes())
         return pd.Series(out)
 
     rows = (
-        documents.select("doc_id", "text")
-        .join(F.broadcast(ids), "doc_id")
+        sample.filter(F.col("doc_id").isin(chosen))
         .select("doc_id", "quality", packed("text").alias("features"))
         .toPandas()
-        .sort_values(["doc_id", "features"])
-        .drop_duplicates("doc_id")
+        .sort_values("doc_id")
     )
     if rows.empty:
         return None
