@@ -29,7 +29,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from mlledger.llm.common import stored
+from mlledger.llm.common import fresh_name, stored
 from mlledger.llm.components import components
 
 ROWS = 5
@@ -454,15 +454,51 @@ def near_duplicates(documents: DataFrame, words: int = 5, percent: int = 80) ->
     )
 
 
+#: Keys of rows that their doc_id doesn't tell apart begin here; they come behind all ids below.
+OWN_KEYS = 1 << 62
+
+
+def with_row_key(documents: DataFrame, name: str) -> DataFrame:
+    """Adds a whole number that stands for a (doc_id, text): the doc_id where that is enough, else a
+    62-bit hash of both. Ids of several texts, found by one aggregation of hashes, null ids, ids of
+    2^62 or more and ids that are no whole numbers get the hash."""
+    doc_id, both = F.col("doc_id"), F.xxhash64(F.col("doc_id").isNull(), "doc_id", F.col("text").isNull(), "text")
+    own = both.bitwiseAND(F.lit(OWN_KEYS - 1)) + F.lit(OWN_KEYS)
+    if documents.schema["doc_id"].dataType.simpleString() not in ("tinyint", "smallint", "int", "bigint"):
+        return documents.withColumn(name, own)
+    shared = fresh_name(documents, "_shared")
+    several = stored(
+        documents.filter(doc_id.isNotNull())
+        .groupBy("doc_id")
+        .agg(F.min(both).alias("low"), F.max(both).alias("high"))
+        .filter("low < high")
+        .select("doc_id", F.lit(True).alias(shared)),
+        "near-shared-ids",
+    )
+    enough = doc_id.isNotNull() & F.col(shared).isNull() & (doc_id < OWN_KEYS)
+    return (
+        documents.join(several, "doc_id", "left")
+        .withColumn(name, F.when(enough, doc_id.cast("long")).otherwise(own))
+        .select(*documents.columns, name)
+    )
+
+
 def kept_only(documents: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
     """One document of each group of near duplicates, with all its columns.
 
-    Of rows that share a doc_id the first in the order of text stays; rows with a null doc_id stay
-    unless an equal text has an id.
+    Each distinct (doc_id, text) is judged by itself: rows with a null doc_id, and different texts
+    under one doc_id, take part like all others, and of equal rows one stays. The one that stays has
+    the smallest doc_id of its group; rows without one, or whose id has several texts, come last.
+    Texts without words are near nothing and stay, one of each (doc_id, text).
     """
-    found = near_duplicates(documents, words, percent)
-    doc_id: Column = F.col("doc_id")
-    named = documents.join(found.filter("kept").select("doc_id").distinct(), "doc_id", "left_semi")
-    order = Window.partitionBy("doc_id").orderBy("text", *[c for c in documents.columns if c != "text"])
-    first = named.withColumn("_copy", F.row_number().over(order)).filter("_copy = 1").drop("_copy")
-    return first.unionByName(documents.filter(doc_id.isNull()))
+    key, copy = fresh_name(documents, "_key"), fresh_name(documents, "_copy")
+    keyed = with_row_key(documents, key)
+    found = near_duplicates(keyed.select(F.col(key).alias("doc_id"), "text"), words, percent)
+    kept = found.filter("kept").select(F.col("doc_id").alias(key)).distinct()
+    order = Window.partitionBy(key).orderBy(*[c for c in documents.columns if c != "text"])
+    return (
+        keyed.join(kept, key, "left_semi")
+        .withColumn(copy, F.row_number().over(order))
+        .filter(F.col(copy) == 1)
+        .select(*documents.columns)
+    )
