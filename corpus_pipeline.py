@@ -23,8 +23,11 @@ SHINGLE_WORDS, SIMILAR_PERCENT = 5, 80
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose lines a conditional random field finds good, with all their columns."""
+    """Documents whose lines a conditional random field finds good, with all their columns. Where no
+    document is labelled nothing can be learnt, and all documents stay."""
     field = line_crf.fit(docs, table(spark, sf_dir, "labels"))
+    if field is None:
+        return docs
     return docs.filter(line_crf.quality_score(F.col("text"), field) >= LEAST_QUALITY)
 
 
