@@ -113,7 +113,8 @@ def number_within(df: DataFrame, group: list[str], order: list[str], out: str) -
     A window by group would sort each group in one task. Here one range shuffle by group and order
     spreads a large group over many sorted slices, and a row's place in its slice is its number but
     for a shift. The shifts have one row for each group that a slice meets, which is at most as many
-    as slices and groups together; they are broadcast, so the rows move no second time. The slices
+    as slices and groups together; where that is few, Spark broadcasts them by their size and the
+    rows move no second time. The slices
     are checkpointed because their bounds are sampled and both branches must see the same ones.
     """
     slices = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
@@ -139,7 +140,7 @@ def number_within(df: DataFrame, group: list[str], order: list[str], out: str) -
     for g in group:
         same = same & F.col(g).eqNullSafe(F.col(f"_of_{g}"))
     return (
-        ranged.join(F.broadcast(shifts), same)
+        ranged.join(shifts, same)
         .withColumn(out, F.col("_place") + F.col("_shift") + 1)
         .select(*df.columns, out)
     )

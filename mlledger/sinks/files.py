@@ -46,7 +46,11 @@ def remove(spark: SparkSession, path: str) -> None:
     system.delete(target, True)
 
 
+def exists(spark: SparkSession, path: str) -> bool:
+    system, target = file_system(spark, path)
+    return system.exists(target)
+
+
 def folder_is_whole(spark: SparkSession, folder: str) -> bool:
     """Whether a Spark job has finished writing the folder."""
-    system, done = file_system(spark, f"{folder}/_SUCCESS")
-    return system.exists(done)
+    return exists(spark, f"{folder}/_SUCCESS")

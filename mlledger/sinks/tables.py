@@ -17,7 +17,8 @@ from mlledger.schemas import (
     ROW_ID,
     RUN_SCHEMA,
 )
-from mlledger.sinks.files import folder_is_whole
+from mlledger.session import durable
+from mlledger.sinks.files import exists, folder_is_whole, remove, write_file
 from mlledger.sources.artifacts import file_checksums
 
 #: Partition column of a ledger, a hash of its key, and how many values it has. A batch of few keys
@@ -25,6 +26,9 @@ from mlledger.sources.artifacts import file_checksums
 KEY_BUCKET = "key_bucket"
 KEY_BUCKETS = 256
 BUCKETED = T.StructField(KEY_BUCKET, T.IntegerType())
+#: Partition column of the costs, so that a late delivery touches few folders.
+BY_MONTH = T.StructField("usage_month", T.StringType())
+COST_KEYS = ["platform", "usage_date", "service"]
 
 
 def key_bucket(key: Column | str) -> Column:
@@ -34,7 +38,7 @@ def key_bucket(key: Column | str) -> Column:
 TABLES: dict[str, tuple[StructType, tuple[str, ...]]] = {
     "ml_runs": (StructType([*RUN_SCHEMA.fields, BUCKETED]), (KEY_BUCKET,)),
     "infra_events": (StructType([*INFRA_SCHEMA.fields, BUCKETED]), (KEY_BUCKET,)),
-    "cost_snapshots": (COST_SCHEMA, ("platform",)),
+    "cost_snapshots": (StructType([*COST_SCHEMA.fields, BY_MONTH]), ("platform", "usage_month")),
     "housing": (HOUSING_TABLE_SCHEMA, ()),
 }
 
@@ -183,9 +187,12 @@ def append_costs(costs: DataFrame, path: str, batch_no: int) -> None:
 
     Appending keeps a lost job harmless: repeating the batch repeats equal rows.
     """
-    rows = costs.withColumn("batch_no", F.lit(batch_no))
-    typed = [F.col(f.name).cast(f.dataType).alias(f.name) for f in COST_SCHEMA.fields]
-    rows.select(*typed).write.mode("append").partitionBy("platform").parquet(path)
+    schema, layout = TABLES["cost_snapshots"]
+    rows = costs.withColumns(
+        {"batch_no": F.lit(batch_no), "usage_month": F.date_format("usage_date", "yyyy-MM")}
+    )
+    typed = [F.col(f.name).cast(f.dataType).alias(f.name) for f in schema.fields]
+    rows.select(*typed).write.mode("append").partitionBy(*layout).parquet(path)
 
 
 PATCH_SCHEMA = "run_id string, patch string, patch_no int"
@@ -229,8 +236,43 @@ def record_check(events: DataFrame, items: DataFrame, check_id: str, root: str)
 
 def current_costs(costs: DataFrame) -> DataFrame:
     """Last delivery wins per (platform, usage_date, service)."""
-    keys = ["platform", "usage_date", "service"]
-    return first_per_key(costs, keys, [F.col("batch_no").desc(), F.col("amount_usd")])
+    return first_per_key(costs, COST_KEYS, [F.col("batch_no").desc(), F.col("amount_usd")])
+
+
+def compact_costs(spark: SparkSession, path: str) -> int:
+    """Resolve the cost table in place where a later delivery changed it; returns how many folders.
+
+    Only folders (platform, month) in which a key has several rows are read whole and written again;
+    all other files stay as they are. The resolved rows are written aside first, and a pointer to
+    them stands until the folders are replaced: if the job dies in between, the next call ends
+    its work. No delivery may be appended meanwhile.
+    """
+    schema, layout = TABLES["cost_snapshots"]
+    pointer, aside = f"{path}/_replacing", f"{path}/_resolved"
+    columns = [f.name for f in schema.fields]
+
+    def replace() -> None:
+        rows = spark.read.schema(schema).parquet(aside).select(*columns)
+        writer = rows.hint("rebalance", *layout).write.mode("overwrite").partitionBy(*layout)
+        writer.option("partitionOverwriteMode", "dynamic").parquet(path)
+        remove(spark, pointer)
+        remove(spark, aside)
+
+    if exists(spark, pointer):
+        replace()
+    costs = spark.read.schema(schema).parquet(path)
+    changed = (
+        costs.groupBy(*COST_KEYS, "usage_month").count().filter("count > 1").select(*layout).distinct()
+    )
+    folders = durable(changed)
+    if not (number := folders.count()):
+        return 0
+    same = [costs[c].eqNullSafe(folders[c]) for c in layout]
+    resolved = current_costs(costs.join(folders, same, "left_semi"))
+    resolved.select(*columns).write.mode("overwrite").partitionBy(*layout).parquet(aside)
+    write_file(spark, pointer, aside)
+    replace()
+    return number
 
 
 def compact(df: DataFrame, target: str, *partition_by: str) -> None:

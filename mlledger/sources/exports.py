@@ -35,7 +35,8 @@ _CLOSING = _DONE + r"\b\d+ destroyed"
 def read_cost_export(spark: SparkSession, platform: str, path: str) -> DataFrame:
     """The billing export of one platform, JSON or Parquet, with its fixed schema.
 
-    A malformed row ends the read with an error: costs that can't be read are not zero.
+    A malformed row ends the read with an error: costs that can't be read are not zero. A nested
+    export is one document a file.
     """
     schema = COST_EXPORTS[platform]
     if path.rstrip("/").endswith(".parquet"):

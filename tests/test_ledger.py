@@ -9,6 +9,7 @@ from mlledger.operators import checks, ledger
 from mlledger.plans import comparison
 from mlledger.schemas import HOUSING_SCHEMA, RUN_SCHEMA
 from mlledger.sinks import tables as sinks
+from mlledger.sinks.files import write_file
 from mlledger.sources import ledger_files
 from mlledger.streaming import collect
 from tests.conftest import as_dicts
@@ -291,6 +292,48 @@ def test_stream_counters_keep_no_state(spark, tmp_path):
     assert not (tmp_path / "offsets" / "state").exists()
 
 
+def cost_rows(spark, *rows):
+    df = spark.createDataFrame(list(rows), "platform string, usage_date string, service string, amount_usd double")
+    return df.withColumn("usage_date", F.col("usage_date").cast("date"))
+
+
+def test_compaction_touches_only_changed_months(spark, tmp_path, monkeypatch):
+    path, folder = str(tmp_path / "costs"), tmp_path / "costs"
+    sinks.append_costs(
+        cost_rows(
+            spark, ("vertex", "2026-01-02", "a", 1.0), ("vertex", "2026-01-03", "a", 2.0),
+            ("vertex", "2026-02-02", "a", 3.0), ("azureml", "2026-01-02", "a", 4.0), (None, None, "a", 5.0),
+        ), path, 1,
+    )
+    late = cost_rows(spark, ("vertex", "2026-01-02", "a", 9.0), (None, None, "a", 6.0))
+    sinks.append_costs(late, path, 2)
+    wanted = {("vertex", 9.0), ("vertex", 2.0), ("vertex", 3.0), ("azureml", 4.0), (None, 6.0)}
+    untouched = {p.name for p in folder.glob("platform=*/usage_month=*/*.parquet")} - {
+        p.name for p in folder.glob("platform=vertex/usage_month=2026-01/*.parquet")
+    } - {p.name for p in folder.glob("platform=__HIVE*/*/*.parquet")}
+    assert len(untouched) == 2
+    schema = sinks.TABLES["cost_snapshots"][0]
+
+    def stored():
+        return sorted(
+            ((r.platform, float(r.amount_usd)) for r in spark.read.schema(schema).parquet(path).collect()), key=repr
+        )
+
+    with monkeypatch.context() as patched:
+        # It dies when the resolved rows stand aside, before any folder is replaced.
+        patched.setattr(sinks, "write_file", lambda *a: (write_file(*a), 1 / 0))
+        with pytest.raises(ZeroDivisionError):
+            sinks.compact_costs(spark, path)
+    assert len(stored()) == 7
+    assert sinks.compact_costs(spark, path) == 0  # the interrupted one has been ended
+    assert stored() == sorted(wanted, key=repr)
+    assert untouched <= {p.name for p in folder.glob("platform=*/usage_month=*/*.parquet")}
+    assert not list(folder.glob("_re*"))
+    sinks.append_costs(late, path, 3)
+    assert sinks.compact_costs(spark, path) == 2
+    assert stored() == sorted(wanted, key=repr)
+
+
 def test_manifests_absent_broken_and_good(spark, tmp_path):
     good = {"run_id": "m", "code_revision": "b" * 40, "metrics": {"rmse": 0.4}, "params": {}}
     for name, text in {"a": json.dumps(good), "b": "{broken", "c": "[1]"}.items():

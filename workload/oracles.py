@@ -530,6 +530,10 @@ SMALL = {"learning_rate": 0.3, "num_leaves": 4, "bagging_freq": 2}
 EAGER = {"learning_rate": 0.9, "num_leaves": 6, "bagging_freq": 2, "min_data_in_leaf": 5}
 _MARKED = " || ".join(f"coalesce(length({c}) || ':' || {c}, '-')" for c in "abcde")
 
+LATEST_COSTS = f""", latest AS (SELECT 'vertex' AS platform, {_COST}, service,
+    CAST(amount + CASE WHEN day >= DATE '2000-01-01' THEN 1 ELSE 0 END AS DOUBLE) AS amount_usd
+    FROM daily) """
+
 ORACLES: dict[str, str] = {
     "friction": with_(RUNS, FRICTION) + "SELECT * FROM friction",
     "friction_by_window": with_(RUNS, FRICTION) + "SELECT * FROM friction",
@@ -692,10 +696,11 @@ ORACLES: dict[str, str] = {
       (SELECT count(*) FROM offered WHERE l_orderkey NOT IN (SELECT * FROM held)) AS inserted,
       (SELECT count(*) FROM held) AS held)
     SELECT fetched, inserted, held + inserted AS total, fetched - inserted AS skipped FROM n""",
-    "cost_upsert": with_(AMOUNTS)
-    + f"""SELECT 'vertex' AS platform, {_COST}, service,
-    CAST(amount + CASE WHEN day >= DATE '2000-01-01' THEN 1 ELSE 0 END AS DOUBLE) AS amount_usd
-    FROM daily""",
+    "cost_upsert": with_(AMOUNTS) + LATEST_COSTS + "SELECT * FROM latest",
+    "cost_compacted": with_(AMOUNTS)
+    + LATEST_COSTS
+    + """SELECT *, (SELECT count(DISTINCT strftime(day, '%Y-%m')) FROM daily
+      WHERE day >= DATE '2000-01-01')::INT AS months FROM latest""",
     "merge_params": with_(RUNS, PATCHES)
     + f""", reached AS (SELECT run_id, arg_max(note, patch_no) AS note, max(rank) AS rank
       FROM patches JOIN runs USING (run_id)
@@ -873,6 +878,15 @@ ORACLES: dict[str, str] = {
     CAST(quantity AS DOUBLE) AS amount_usd, 'dbu' AS unit FROM whole
     UNION ALL SELECT 'snowflake', {_COST}, 'warehouse:' || service,
     CAST(quantity * 3.0015 AS DOUBLE), 'usd' FROM whole""",
+    "cost_all_files": with_(AMOUNTS)
+    + f"""SELECT *, 0 AS problems FROM (
+      SELECT 'sagemaker' AS platform, {_COST}, service, CAST(amount AS DOUBLE) AS amount_usd, 'usd' AS unit
+        FROM whole WHERE amount > 0
+      UNION ALL SELECT 'databricks', {_COST}, 'dbu:' || service, CAST(quantity AS DOUBLE), 'dbu' FROM whole
+      UNION ALL SELECT 'snowflake', {_COST}, 'warehouse:' || service,
+        CAST(quantity * 3.0015 AS DOUBLE), 'usd' FROM whole
+      UNION ALL SELECT p, {_COST}, service, CAST(amount AS DOUBLE), 'usd'
+        FROM whole, (VALUES ('vertex'), ('azureml')) t(p))""",
     "cost_problems": """SELECT platform, CASE platform WHEN 'vertex' THEN 1 ELSE 0 END AS unreadable
     FROM (VALUES ('vertex'), ('sagemaker'), ('azureml')) p(platform)
     WHERE EXISTS (SELECT 1 FROM lineitem)""",

@@ -362,7 +362,8 @@ def load_counts(spark, sf):
     return ledger.load_counts(lines, held.select(F.col("o_orderkey").alias(ROW_ID)), ROW_ID)
 
 
-def cost_upsert(spark, sf):
+def _delivered_costs(spark, sf):
+    """A table of daily costs, of which the later ones are delivered again with other amounts."""
     daily = (
         s.line_amounts(spark, sf)
         .groupBy(F.to_date("time").alias("usage_date"), "service")
@@ -374,8 +375,11 @@ def cost_upsert(spark, sf):
     late = daily.filter(F.col("usage_date") >= F.lit("2000-01-01").cast("date"))
     fixed = late.withColumn("amount_usd", F.col("amount_usd") + 1)
     sinks.append_costs(fixed, path, 2)
-    current = sinks.current_costs(spark.read.parquet(path))
-    return current.select(
+    return path
+
+
+def _stored_costs(rows):
+    return rows.select(
         "platform",
         F.col("usage_date").cast("string").alias("usage_date"),
         "service",
@@ -383,6 +387,18 @@ def cost_upsert(spark, sf):
     )
 
 
+def cost_upsert(spark, sf):
+    return _stored_costs(sinks.current_costs(spark.read.parquet(_delivered_costs(spark, sf))))
+
+
+def cost_compacted(spark, sf):
+    """The stored rows after the changed months were resolved in place, with how many these were."""
+    path = _delivered_costs(spark, sf)
+    months = sinks.compact_costs(spark, path)
+    schema = sinks.TABLES["cost_snapshots"][0]
+    return _stored_costs(spark.read.schema(schema).parquet(path)).withColumn("months", F.lit(months))
+
+
 def _patches(spark, sf):
     runs = s.runs(spark, sf).select("run_id", "stage", "k")
     first = runs.filter(F.col("stage").isin("train", "register")).select(
@@ -747,10 +763,34 @@ def cost_billing(spark, sf):
 
 
 def cost_flat(spark, sf):
-    flat = s.line_amounts(spark, sf).groupBy(
+    return _cost_view(costs.flat_costs(_flat_export(spark, sf), **WHOLE))
+
+
+def _flat_export(spark, sf):
+    return s.line_amounts(spark, sf).groupBy(
         F.to_date("time").cast("string").alias("usage_date"), "service"
     ).agg(F.sum("amount").alias("cost"))
-    return _cost_view(costs.flat_costs(flat, **WHOLE))
+
+
+def cost_all_files(spark, sf):
+    """Good files of all five formats, one of them as Parquet, collected at once. The nested one is a
+    single document, as its source hands it over."""
+    periods = F.flatten(F.collect_list("ResultsByTime")).alias("ResultsByTime")
+    formats = {
+        "sagemaker": s.nested_export(spark, sf).agg(periods), "databricks": _usage_export(spark, sf),
+        "snowflake": _meter_export(spark, sf), "vertex": _billing_export(spark, sf),
+        "azureml": _flat_export(spark, sf),
+    }
+    paths = {p: fresh_folder(spark, f"export-{p}") for p in formats}
+    paths["vertex"] += ".parquet"
+    for platform, export in formats.items():
+        if platform == "vertex":
+            stored = [F.col("usage_start_time").cast("timestamp"), "service", F.col("cost").cast("double")]
+            export.select(*stored).write.parquet(paths[platform])
+        else:
+            export.write.json(paths[platform])
+    rows, problems = costs.collect_costs(spark, paths, price_usd="3.0015", **WHOLE)
+    return _cost_view(rows).withColumn("problems", F.lit(len(problems)))
 
 
 def _export_files(spark, sf):
@@ -1075,14 +1115,14 @@ QUERIES = [
     source_columns, dup_keys, contract_violations, gold_schema, split_rows, split_counts,
     exact_split, fingerprint, export_fingerprint, export_checksums, classify_failures, missing_predicates,
     exit_codes, platform_units, job_runs, ledger_union, ownership, insert_absent, load_counts,
-    cost_upsert, merge_params, handoff_merge, merge_outcomes, next_attempt, collect_jsonl,
+    cost_upsert, cost_compacted, merge_params, handoff_merge, merge_outcomes, next_attempt, collect_jsonl,
     collect_rejects, rejected_lines, first_success, golden_snapshot, latest_artifact, latest_model_ref,
     latest_version, revision_compat, coverage, unknown_revisions, training_trees,
     parity_deviation, parity_spread, domain_violations, bad_revisions, residual_findings,
     residual_items, inventory_files, item_pages, residual_report, residual_summary, infra_event_rows,
     infra_event_items, orphans,
     nonempty_containers, parent_children, cost_nested, cost_usage, cost_week, cost_credits,
-    cost_billing, cost_flat, cost_files, cost_problems, cost_unavailable, param_types, param_merge, tracking_mirror,
+    cost_billing, cost_flat, cost_files, cost_all_files, cost_problems, cost_unavailable, param_types, param_merge, tracking_mirror,
     artifact_listing, transcript_counts, transcript_files, linear_eval_metrics, prediction_parity,
     payload_instances, train_eval, early_stop, training_job, baseline_eval, bootstrap_weights, feature_importance, score_payloads,
     stream_collect, stream_counters,
