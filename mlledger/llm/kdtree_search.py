@@ -43,10 +43,17 @@ class Node:
 
 
 class Tree:
-    """Rows in tree order, so that each node is a slice of them."""
+    """Rows in tree order, so that each node is a slice of them.
 
-    def __init__(self, ids: np.ndarray, points: np.ndarray, leaf: int = LEAF) -> None:
+    ``whole`` holds the components as Python integers where their products may not fit a double; then
+    scores are taken from it, and the boxes' bounds, which are doubles, are widened by their error.
+    """
+
+    def __init__(
+        self, ids: np.ndarray, points: np.ndarray, leaf: int = LEAF, whole: np.ndarray | None = None
+    ) -> None:
         self.ids, self.points, self.leaf = ids.copy(), points.copy(), leaf
+        self.whole = None if whole is None else whole.copy()
         self.nodes: list[Node] = []
         low, high = [], []
         self._grow(0, len(ids), low, high)
@@ -64,6 +71,8 @@ class Tree:
             middle = (end - start) // 2
             order = np.argpartition(points[:, spread.argmax()], middle)
             self.points[start:end], self.ids[start:end] = points[order], ids[order]
+            if self.whole is not None:
+                self.whole[start:end] = self.whole[start:end][order]
             node.children = (
                 self._grow(start, start + middle, low, high),
                 self._grow(start + middle, end, low, high),
@@ -72,7 +81,11 @@ class Tree:
 
     def bounds(self, queries: np.ndarray) -> np.ndarray:
         """The largest inner product that each query can have with a point of each box."""
-        return np.maximum(queries, 0) @ self.high.T + np.minimum(queries, 0) @ self.low.T
+        most = np.maximum(queries, 0) @ self.high.T + np.minimum(queries, 0) @ self.low.T
+        if self.whole is None:
+            return most
+        reach = np.abs(queries) @ np.maximum(np.abs(self.high), np.abs(self.low)).T
+        return most + reach * (4 * (queries.shape[1] + 2) * np.finfo(float).eps)
 
     def search(
         self, own: int, query: np.ndarray, bounds: np.ndarray, k: int, kth: tuple[float, int]
@@ -92,7 +105,8 @@ class Tree:
                 for child in node.children:
                     heapq.heappush(queue, (-bounds[child], self.nodes[child].first_id, child))
                 continue
-            scores, ids = self.points[node.rows] @ query, self.ids[node.rows]
+            points = self.points if self.whole is None else self.whole
+            scores, ids = points[node.rows] @ query, self.ids[node.rows]
             near = (scores >= -worst[0]) & (ids != own)
             best += zip(-scores[near], ids[near], strict=True)
             best = heapq.nsmallest(k, best)
@@ -106,17 +120,22 @@ def search_group(
 ) -> Iterator[tuple[int, int, int]]:
     if candidates.empty or queries.empty:
         return
-    tree = Tree(
-        candidates["vec_id"].to_numpy(), np.array(candidates["v"].tolist(), dtype=np.float64)
-    )
-    wanted = np.array(queries["q"].tolist(), dtype=np.float64)
+    ids, points = candidates["vec_id"].to_numpy(), np.array(candidates["v"].tolist(), dtype=np.int64)
+    asked = np.array(queries["q"].tolist(), dtype=np.int64)
+    wanted = asked.astype(np.float64)
+    size = [float(np.abs(x.astype(np.float64)).max(initial=0.0)) for x in (points, asked)]
+    # Sums of products below 2^53 are exact in doubles.
+    exact = max(points.shape[1], 1) * size[0] * size[1] < 2**53 and max(size) < 2**53
+    tree = Tree(ids, points.astype(np.float64), whole=None if exact else points.astype(object))
     bounds = tree.bounds(wanted)
     scores = queries["kth"].fillna(-np.inf).to_numpy(dtype=np.float64)
-    ids = queries["kth_id"].fillna(np.iinfo(np.int64).max).astype("int64").to_numpy()
+    if not exact:
+        scores, asked = np.nextafter(scores, -np.inf), asked.astype(object)
+    last = queries["kth_id"].fillna(np.iinfo(np.int64).max).astype("int64").to_numpy()
     for row, own in enumerate(queries["query_id"].to_numpy()):
-        for score, i in tree.search(
-            own, wanted[row], bounds[row], k, (float(scores[row]), int(ids[row]))
-        ):
+        query = wanted[row] if exact else asked[row]
+        kth = (float(scores[row]), int(last[row]))
+        for score, i in tree.search(own, query, bounds[row], k, kth):
             yield own, i, int(score)
 
 
