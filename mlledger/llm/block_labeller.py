@@ -24,12 +24,13 @@ from pyspark.sql import functions as F
 SAMPLE_PAGES = 300
 PATH_BITS, WORD_BITS = 7, 5
 HIDDEN = 16
-#: Pages that are labelled at once.
-CHUNK_PAGES = 256
+#: Pages that are labelled at once, and blocks of them with those that fill up shorter pages.
+CHUNK_PAGES, CHUNK_BLOCKS = 256, 1 << 16
 
 RAW = "script|style|noscript|template|textarea|title|svg|iframe|select"
 TOKEN = re.compile(
-    rf"<!--.*?(?:-->|\Z)|<({RAW})\b[^>]*>.*?(?:</\1\s*>|\Z)|<!\[CDATA\[|<[!?][^>]*>"
+    r"<!--.*?(?:-->|\Z)|<svg\b(?:[^<>\"']|\"[^\"]*\"|'[^']*')*/>"
+    rf"|<({RAW})\b[^>]*>.*?(?:</\1\s*>|\Z)|<!\[CDATA\[|<[!?][^>]*>"
     r"|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^<>\"']|\"[^\"]*\"|'[^']*')*)>",
     re.DOTALL | re.IGNORECASE,
 )
@@ -222,8 +223,10 @@ def padded(pages: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
     return x, there
 
 
-def layer(net: Network, d: int, x: np.ndarray, there: np.ndarray) -> tuple[np.ndarray, list]:
-    """States of one direction (1: from the end) and what the backward pass needs."""
+def layer(
+    net: Network, d: int, x: np.ndarray, there: np.ndarray, keep: bool = True
+) -> tuple[np.ndarray, list]:
+    """States of one direction (1: from the end) and, if asked for, what the backward pass needs."""
     steps, pages, _ = x.shape
     size = len(net.recurrent[d])
     gates_in = x @ net.inputs[d] + net.bias[d]
@@ -237,14 +240,15 @@ def layer(net: Network, d: int, x: np.ndarray, there: np.ndarray) -> tuple[np.nd
         c_new = np.where(on, f * c + i * g, c)
         wave = np.tanh(c_new)
         h_new = np.where(on, o * wave, h)
-        kept.append((t, h, c, i, f, o, g, wave, on))
+        if keep:
+            kept.append((t, h, c, i, f, o, g, wave, on))
         h, c = h_new, c_new
         states[t] = h
     return states, kept
 
 
 def scores(net: Network, x: np.ndarray, there: np.ndarray) -> np.ndarray:
-    both = np.concatenate([layer(net, d, x, there)[0] for d in range(2)], axis=2)
+    both = np.concatenate([layer(net, d, x, there, keep=False)[0] for d in range(2)], axis=2)
     return sigmoid(both @ net.out + net.shift)
 
 
@@ -353,24 +357,40 @@ def main_text(pages: list[str | None], net: Network | None) -> list[str]:
     order = sorted((i for i in range(len(read)) if read[i]), key=lambda i: len(read[i]))
     if net is None:
         return ["\n\n".join(b.text for b in page) for page in read]
-    for start in range(0, len(order), CHUNK_PAGES):
-        part = order[start : start + CHUNK_PAGES]
+    for part in chunks(order, [len(page) for page in read]):
         good = scores(net, *padded([vectors(read[i]) for i in part])) >= 0.5
         for column, i in enumerate(part):
             out[i] = "\n\n".join(b.text for t, b in enumerate(read[i]) if good[t, column])
     return out
 
 
+def chunks(order: list[int], sizes: list[int]) -> Iterator[list[int]]:
+    """Runs of pages, short ones first, that stay within the bounds when all are as long as the
+    longest; a page beyond them is alone."""
+    part: list[int] = []
+    for i in order:
+        if part and (len(part) == CHUNK_PAGES or (len(part) + 1) * sizes[i] > CHUNK_BLOCKS):
+            yield part
+            part = []
+        part.append(i)
+    if part:
+        yield part
+
+
 def fit(pages: DataFrame, sample_pages: int = SAMPLE_PAGES) -> Network | None:
-    """Train on the pages with the smallest id hashes; the driver holds this bounded sample."""
-    ids = pages.select("page_id").filter("page_id is not null")
+    """Train on pages that mark an article, those with the smallest id hashes of the whole table; the
+    driver holds this bounded sample."""
+    marked = F.col("html").rlike(r"(?i)<(article|main)\b")
+    ids = pages.filter(marked).select("page_id").filter("page_id is not null").distinct()
     ids = ids.orderBy(F.xxhash64("page_id"), "page_id").limit(sample_pages)
     sample = (
         pages.select("page_id", "html")
-        .join(F.broadcast(ids.distinct()), "page_id")
-        .dropDuplicates(["page_id", "html"])
+        .filter(marked)
+        .join(F.broadcast(ids), "page_id")
+        .groupBy("page_id")
+        .agg(F.min("html").alias("html"))
         .toPandas()
-        .sort_values(["page_id", "html"])
+        .sort_values("page_id")
     )
     return train([blocks(page) for page in sample["html"]])
 
@@ -383,9 +403,9 @@ def extract_main_text(pages: DataFrame, net: Network | None = None) -> DataFrame
         net: a trained labeller; by default one is trained on a sample of these pages.
 
     Blocks are joined in page order by two line feeds. A null or empty page, and one without main
-    text, has an empty text. Each repeated row has a row of its own. If no page of the sample marks
-    an article there is nothing to learn from, and all blocks are kept. An empty table gives an
-    empty result.
+    text, has an empty text. Each repeated row has a row of its own. If no page of the table marks
+    an article there is nothing to learn from, and all blocks are kept. A very long page is labelled
+    alone, within its row. An empty table gives an empty result.
     """
     learned = net or fit(pages)
 

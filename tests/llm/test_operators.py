@@ -153,6 +153,23 @@ def test_kdtree_finds_the_exact_best(spark):
     assert kdtree_search.top_k(vectors(spark, [], "long"), F.lit(True)).count() == 0
 
 
+@pytest.mark.parametrize("most", [2**27, 2**30])
+def test_kdtree_scores_beyond_doubles(spark, most):
+    """Sums of products above 2^53, many of them equal but for their last bits."""
+    rng = random.Random(most)
+    points = [[rng.choice([most, most - 1, -most, rng.randrange(most)]) for _ in range(4)] for _ in range(400)]
+    rows = [(i, p) for i, p in enumerate(points)] + [(900, [0, 0, 0, 0])]
+    found = kdtree_search.top_k(
+        spark.createDataFrame(rows, "vec_id long, v array<long>"), F.col("vec_id") % 20 == 0, k=5
+    )
+    got = defaultdict(list)
+    for r in sorted(found.collect(), key=lambda r: (r.query_id, r.rank)):
+        got[r.query_id].append((r.vec_id, r.score))
+    for i, q in rows[::20]:
+        scored = [(-sum(a * b for a, b in zip(p, q, strict=True)), j) for j, p in rows if j != i]
+        assert got[i] == [(j, -s) for s, j in sorted(scored)[:5]]
+
+
 def test_whole_numbers_leave_out_what_is_not_finite(spark):
     rows = [(1, [0.5, -0.25]), (2, [float("nan"), 1.0]), (3, [float("inf"), 1.0]), (4, None)]
     rows += [(5, [None, 1.0]), (6, [])]
@@ -414,6 +431,38 @@ def test_blocks_of_broken_pages():
     assert [b.text for b in block_labeller.blocks("a < b <p>c")] == ["a < b", "c"]
 
 
+def test_a_closed_svg_takes_nothing_with_it():
+    read = block_labeller.blocks(
+        '<article><p>one</p><svg class="i > j"/><p>two</p><svg><text>no</text></svg></article><p>three</p>'
+    )
+    assert [b.text for b in read] == ["one", "two", "three"]
+
+
+def test_few_marked_pages_are_found_and_learnt_from(spark):
+    """Most pages mark no article; the sample is taken from those that do."""
+    plain = "<html><body><div class=x><p>Nothing marked {0}.</p></div></body></html>"
+    rows = [(i, "u", plain.format(i)) for i in range(600)]
+    rows += [(1000 + i, "u", page(f"<h1>Title {i}</h1><p>Some text {i}, and more of it.")) for i in range(40)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    got = {r.page_id: r.text for r in block_labeller.extract_main_text(pages).collect()}
+    assert len(got) == len(rows)
+    assert [got[1000 + i] for i in range(40)] == [f"Title {i}\n\nSome text {i}, and more of it." for i in range(40)]
+
+
+def test_a_page_of_very_many_blocks_is_labelled_alone():
+    rng = np.random.default_rng(1)
+    net = block_labeller.Network.start(block_labeller.vectors(block_labeller.blocks("<p>a")).shape[1])
+    pages = ["<p>a.<p>b.", page("<p>x." * 30_000), "", page("<p>y.<p>z.")] * 2
+    alone = [block_labeller.main_text([p], net)[0] for p in pages]
+    assert block_labeller.main_text(pages, net) == alone
+    sizes = [int(n) for n in rng.integers(1, 400, 3000)] + [200_000]
+    order = sorted(range(len(sizes)), key=sizes.__getitem__)
+    parts = list(block_labeller.chunks(order, sizes))
+    assert [i for part in parts for i in part] == order
+    for part in parts:
+        assert len(part) == 1 or len(part) * sizes[part[-1]] <= block_labeller.CHUNK_BLOCKS
+
+
 def test_labeller_learns_the_article(spark):
     pages = [r.html for r in table(spark, SF, "pages").orderBy("page_id").collect()]
     read = [block_labeller.blocks(p) for p in pages]
