@@ -17,7 +17,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from mlledger.llm.common import fresh_name, numbered, stored
+from mlledger.llm.common import fresh_name, hashes, numbered, stored
 
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -233,27 +233,40 @@ def mix(
     )
 
 
+#: Copies of one row that are dealt as one run.
+RUN = 4096
+
+
 def mixed_documents(documents: DataFrame, **settings: object) -> DataFrame:
     """The documents as often as the mix takes them, with all their columns.
 
-    A document without words stays as it is. Rows with equal doc_id, source and size are matched in
-    the order of their text.
+    A document without words stays as it is. Rows with equal doc_id, source and text stand for each
+    other: their copies come from the first of them in the order of the other columns. The mix is
+    decided on hashes; texts move once, to meet the number of their copies.
     """
-    taken = mix(documents, **settings).select("doc_id", "source", "size", "copies")
     columns = documents.columns
-    size, place, times = (fresh_name(documents, c) for c in ("size", "place", "times"))
-    keys = ["doc_id", "source", size]
-    taken = taken.withColumnRenamed("size", size).withColumn(
-        place, F.row_number().over(Window.partitionBy(*keys).orderBy(F.desc("copies")))
-    )
-    ours = documents.withColumn(size, word_count(F.col("text"))).withColumn(
-        place, F.row_number().over(Window.partitionBy(*keys).orderBy("text"))
+    a, b, times, start = (fresh_name(documents, c) for c in ("_k1", "_k2", "_times", "_start"))
+    k1, k2 = hashes(F.col("doc_id"), F.col("source"), F.col("text"))
+    keyed = documents.withColumns({a: k1, b: k2})
+    mixed = mix(keyed.select(F.struct(a, b).alias("doc_id"), "source", "text"), **settings)
+    taken = stored(
+        mixed.groupBy(F.col(f"doc_id.{a}").alias(a), F.col(f"doc_id.{b}").alias(b)).agg(
+            F.count("*").alias("n"), F.sum("copies").alias(times)
+        ),
+        "mix-taken",
     )
-    same = [ours[k].eqNullSafe(taken[k]) for k in [*keys, place]]
-    return (
-        ours.join(taken.select(*keys, place, F.col("copies").alias(times)), same)
-        .select(*[ours[c] for c in columns], times)
-        .filter(F.col(times) > 0)
-        .withColumn(times, F.explode(F.sequence(F.lit(1), F.col(times))))
-        .select(*columns)
+    rows, most = taken.agg(F.max("n"), F.max(times)).first()
+    if (rows or 0) > 1:
+        order = Window.partitionBy(a, b).orderBy(*[c for c in columns if c != "text"])
+        keyed = keyed.withColumn(start, F.row_number().over(order)).filter(F.col(start) == 1)
+    runs = F.explode(F.sequence(F.lit(0), F.col(times) - 1, F.lit(RUN)))
+    dealt = (
+        keyed.drop(start)
+        .join(taken.drop("n").filter(F.col(times) > 0), [a, b])
+        .withColumn(start, runs)
     )
+    if (most or 0) > RUN:
+        many = F.col(times) > RUN
+        dealt = dealt.filter(~many).union(dealt.filter(many).repartition(start, a, b))
+    until = F.least(F.col(times), F.col(start) + RUN) - 1
+    return dealt.withColumn(start, F.explode(F.sequence(start, until))).select(*columns)

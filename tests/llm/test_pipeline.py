@@ -10,7 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from mlledger.llm import line_crf, odd_sketch_dedup
+from mlledger.llm import line_crf, mixing, odd_sketch_dedup
 from mlledger.llm.common import table
 from tests.conftest import SF
 from tests.llm.test_operators import brute_components, codec, sentence  # noqa: F401
@@ -40,7 +40,7 @@ def test_each_stage_does_its_part(spark, codec):  # noqa: F811
     assert out["quality"].columns == docs.columns
     assert sorted(out["quality"].collect()) == sorted(good.collect())
     left = {r.doc_id: r.text for r in out["quality"].collect()}
-    wanted = {i for i, c in brute_components(left, 5, 80).items() if i == c}
+    wanted = {i for i, c in brute_components(left, 5, 80)[0].items() if i == c}
     assert {r.doc_id for r in out["near_dedup"].collect()} == wanted
     mixed = Counter(tuple(r) for r in out["source_mix"].collect())
     assert set(mixed) <= {tuple(r) for r in out["near_dedup"].collect()}
@@ -100,3 +100,27 @@ def test_long_documents_are_learnt_whole(spark):
     assert max(s for i, s in scores.items() if i % 2) < min(s for i, s in scores.items() if not i % 2)
     assert line_crf.fit(docs, labels, sample_lines=20) is not None
     assert line_crf.fit(docs, labels, sample_lines=4) is None
+
+
+def test_mixed_rows_come_as_often_as_they_are_taken(spark, odd_rows):
+    docs = spark.createDataFrame(odd_rows * 2, COLUMNS).withColumns({"_k1": F.lit(1), "n": F.lit("x")})
+    rows = mixing.mixed_documents(docs)
+    assert rows.columns == docs.columns
+    identity = [F.struct("doc_id", "source", F.md5("text"))]
+    got = Counter(repr(r[0]) for r in rows.select(*identity).collect())
+    given = Counter(repr(r[0]) for r in docs.select(*identity).collect())
+    assert set(got) <= set(given)
+    assert all(n <= 2 * given[k] for k, n in got.items())
+    words = {s: 0 for s in (None, "s")}
+    for r in rows.collect():
+        words[r.source] += len((r.text or "").split())
+    mixed = mixing.mix(docs).select("source", "taken").collect()
+    assert words == {s: sum(r.taken for r in mixed if r.source == s) for s in words}
+    assert mixing.mixed_documents(docs.limit(0)).count() == 0
+
+
+def test_very_many_copies_of_one_row(spark):
+    rows = [(1, "w " * 5, "a")] * 9000 + [(i, f"x {i}", "b") for i in range(100)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    mixed = mixing.mix(docs).filter("source = 'a'").agg(F.sum("copies")).first()[0]
+    assert mixing.mixed_documents(docs).filter("source = 'a'").count() == mixed > 4096
