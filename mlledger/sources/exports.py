@@ -64,35 +64,48 @@ def resource_count(output: Column, action: Column) -> Column:
     return F.when(number != "", number).try_cast("int")
 
 
+# A log is a file or, as Spark writes a long text, a folder of parts whose names are in order.
+_LOG_FILES = "{*.log,part-*.txt}"
+_LOG_PATH = r"\.log(/part-[^/]*\.txt)?$"
+
+
 def read_transcripts(spark: SparkSession, folder: str) -> DataFrame:
     """Logs kept as <env>/<action>.log: env, action, and the resource count that the first closing line
     of the log states (null if there is none), one row per log.
 
-    Logs are scanned by lines, so a long one is split over tasks and none is held whole. A line's place
-    is that of its block in the file, then its place in the block.
+    A log is one file, or a folder of part-*.txt that follow one another by name. Logs are scanned by
+    lines, so a long one is split over tasks and none is held whole. A line's place is that of its part
+    in the log and of its block in the part, then its place in the block.
     """
     path = F.col("_metadata.file_path")
+    log = F.regexp_replace(path, _LOG_PATH, ".log")
     lines = (
         spark.read.option("recursiveFileLookup", "true")
-        .option("pathGlobFilter", "*.log")
+        .option("pathGlobFilter", _LOG_FILES)
         .text(folder)
         .select(
-            path.alias("file"),
+            path.alias("path"),
+            log.alias("file"),
+            F.regexp_extract(path, _LOG_PATH, 1).alias("part"),
             F.col("_metadata.file_block_start").alias("block"),
             F.monotonically_increasing_id().alias("line"),
             "value",
         )
     )
-    closing = F.min(F.struct("block", "line", "value"))["value"]
+    closing = F.min(F.struct("part", "block", "line", "value"))["value"]
     stated = (
-        lines.filter(F.col("value").rlike(_CLOSING)).groupBy("file").agg(closing.alias("output"))
+        lines.filter(F.col("path").rlike(_LOG_PATH) & F.col("value").rlike(_CLOSING))
+        .groupBy("file")
+        .agg(closing.alias("output"))
     )
     files = (
         spark.read.format("binaryFile")
         .option("recursiveFileLookup", "true")
-        .option("pathGlobFilter", "*.log")
+        .option("pathGlobFilter", _LOG_FILES)
         .load(folder)
-        .select(path.alias("file"))  # no content is read
+        .filter(path.rlike(_LOG_PATH))
+        .select(log.alias("file"))  # no content is read
+        .distinct()
     )
     env = F.element_at(F.split("file", "/"), -2)
     action = F.regexp_extract("file", r"([^/]+)\.log$", 1)

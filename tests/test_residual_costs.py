@@ -10,6 +10,7 @@ from mlledger.operators import costs, residual
 from mlledger.schemas import INVENTORY_SCHEMA, PLATFORMS
 from mlledger.sources.exports import COST_EXPORTS, read_inventory, read_transcripts
 from tests.conftest import as_dicts
+from workload import queries
 
 LAB = "lab1"
 
@@ -197,6 +198,44 @@ def test_inventory_and_transcript_files(spark, tmp_path):
     assert counts == {("gcp", "apply"): 4, ("gcp", "destroy"): None}
 
 
+def test_a_log_may_be_a_folder_of_parts_in_order(spark, tmp_path):
+    log = tmp_path / "logs" / "gcp" / "destroy.log"
+    log.mkdir(parents=True)
+    done = "Destroy complete! Resources: {} destroyed.\n"
+    for i, text in enumerate(["a\n", "b\n" + done.format(7), done.format(9)]):
+        (log / f"part-0000{i}-u.c000.txt").write_text(text)
+    (tmp_path / "logs" / "gcp" / "part-00000-u.c000.txt").write_text(done.format(1))  # no log
+    logs = read_transcripts(spark, str(tmp_path / "logs"))
+    assert [tuple(r) for r in logs.collect()] == [("gcp", "destroy", 7)]
+
+
+def test_transcripts_are_written_by_several_tasks(spark, tmp_path, monkeypatch):
+    events = spark.range(4000).select(
+        F.col("id").alias("event_id"),
+        (F.col("id") * 5).alias("user_id"),
+        F.when(F.col("id") < 100, "error").otherwise("view").alias("event_type"),
+        F.lit(20.0).alias("value"),
+        F.timestamp_seconds(F.lit(1_700_000_000) - F.col("id")).alias("ts"),
+        F.concat(F.lit('{"k": '), F.col("id") % 97 * 4 + 1, F.lit("}")).alias("props"),
+    )
+    events.write.parquet(str(tmp_path / "events.parquet"))
+    monkeypatch.setattr(queries, "fresh_folder", lambda spark, name: str(tmp_path / name))
+    adaptive = "spark.sql.adaptive.enabled"
+    before = spark.conf.get(adaptive)
+    spark.conf.set(adaptive, "false")  # else small parts are joined up
+    try:
+        logs = queries.transcript_files(spark, str(tmp_path))
+    finally:
+        spark.conf.set(adaptive, before)
+    # the latest of the ids has the earliest time
+    assert sorted(map(tuple, logs.collect())) == [
+        ("vertex", "apply", 3999 % 97 * 4 + 1), ("vertex", "destroy", 99 % 97 * 4 + 1)
+    ]
+    parts = list((tmp_path / "logs" / "vertex" / "apply.log").glob("part-*.txt"))
+    assert len(parts) > 2
+    assert sum(len(p.read_text().splitlines()) for p in parts) == 3900
+
+
 def write_exports(folder):
     nested = {
         "ResultsByTime": [

@@ -916,16 +916,19 @@ def transcript_counts(spark, sf):
 
 def transcript_files(spark, sf):
     """Logs of all events of a platform and action, one after the other, as <platform>/<action>.log; the
-    first closing line counts. A log without one has no number."""
+    first closing line counts. A log without one has no number. Ranges of the events are sorted and
+    written by tasks of their own, so a log is a folder of parts in order."""
     folder = fresh_folder(spark, "logs")
     events = s.infra(spark, sf).withColumn("quiet", F.col("platform") == "azureml")
     text = F.when(F.col("quiet"), "Error: quota exceeded").otherwise(_log_line(F.col("resource_count")))
     said = events.select("platform", "action", "created_at", "event_id", text.alias("value"))
-    in_order = said.repartition(1).sortWithinPartitions("platform", "action", "created_at", "event_id")
+    place = ["platform", "action", "created_at", "event_id"]
+    in_order = said.repartitionByRange(*place).sortWithinPartitions(*place)
     in_order.drop("created_at", "event_id").write.partitionBy("platform", "action").text(folder)
     parts = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(folder)
-    for row in parts.select("path").collect():  # a file for each platform and action
-        home, platform, action, _ = row.path.rsplit("/", 3)
+    home = F.regexp_replace("path", "/[^/]*$", "")
+    for row in parts.select(home.alias("path")).distinct().collect():  # one for each platform and action
+        home, platform, action = row.path.rsplit("/", 2)
         env = platform.removeprefix("platform=")
         files.make_folder(spark, f"{home}/{env}")
         files.move(spark, row.path, f"{home}/{env}/{action.removeprefix('action=')}.log")
