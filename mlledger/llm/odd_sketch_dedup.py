@@ -29,7 +29,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from mlledger.llm.common import fresh_name, stored
+from mlledger.llm.common import fresh_name, small_batches, stored
 from mlledger.llm.components import components
 
 ROWS = 5
@@ -362,7 +362,7 @@ def near_duplicates(documents: DataFrame, words: int = 5, percent: int = 80) ->
     """
     plan = Plan.of(words, percent)
     kind = documents.schema["doc_id"].dataType.simpleString()
-    texts = documents.select("doc_id", "text")
+    texts = small_batches(documents).select("doc_id", "text")
     signed = stored(
         texts.mapInPandas(
             partial(_signatures, plan=plan),

@@ -22,6 +22,7 @@ from mlledger.llm import (
     block_labeller,
     bpe_tree,
     chat_snapshots,
+    common,
     hilbert_search,
     kdtree_search,
     license_digest,
@@ -620,3 +621,27 @@ def test_long_licences(spark):
     for i, f in enumerate(files):
         assert got[i].license_id.removesuffix(".0") == f.stem.removesuffix(".0")
     assert (got[len(files)].n_notices, got[len(files)].notice_ids) == (1, "GPL-2.0")
+
+
+def test_python_gets_texts_in_small_batches(spark):
+    limit = "spark.sql.execution.arrow.maxBytesPerBatch"
+    texts = spark.range(40).select(
+        F.col("id").alias("doc_id"), F.repeat(F.lit("a b "), 1 << 18).alias("text")
+    )
+
+    def rows_of(batches):
+        for batch in batches:
+            yield batch[["doc_id"]].assign(n=len(batch)).head(1)
+
+    before = spark.conf.get(limit, None)
+    try:
+        for run in (odd_sketch_dedup.near_duplicates,):
+            spark.conf.unset(limit)
+            run(texts.limit(0))
+            sizes = texts.coalesce(1).mapInPandas(rows_of, "doc_id long, n long").collect()
+            assert len(sizes) > 1 and all(r.n * (1 << 20) <= 2 * common.BATCH_BYTES for r in sizes)
+            spark.conf.set(limit, "1m")
+            run(texts.limit(0))
+            assert spark.conf.get(limit) == "1m"
+    finally:
+        spark.conf.unset(limit) if before is None else spark.conf.set(limit, before)
