@@ -28,6 +28,8 @@ import tiktoken
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from mlledger.llm.common import small_batches
+
 Encode = Callable[[str], list[int]]
 
 RANKS = "byte_bpe_multi_50k.tiktoken"
@@ -175,7 +177,9 @@ def encode_documents(
     empty table gives an empty result.
     """
     kind = documents.schema["doc_id"].dataType.simpleString()
-    texts = documents.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    texts = small_batches(documents).select(
+        "doc_id", F.coalesce("text", F.lit("")).alias("text")
+    )
     short = texts.filter(F.length("text") <= segment_chars).mapInPandas(
         partial(_encode_rows, path=path, out=_summaries), SUMMARY.format(kind=kind)
     )

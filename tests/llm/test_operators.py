@@ -635,7 +635,7 @@ def test_python_gets_texts_in_small_batches(spark):
 
     before = spark.conf.get(limit, None)
     try:
-        for run in (odd_sketch_dedup.near_duplicates,):
+        for run in (bpe_tree.encode_documents, odd_sketch_dedup.near_duplicates):
             spark.conf.unset(limit)
             run(texts.limit(0))
             sizes = texts.coalesce(1).mapInPandas(rows_of, "doc_id long, n long").collect()
